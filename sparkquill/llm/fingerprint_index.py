@@ -282,9 +282,9 @@ def dedup_windows(docs: DataFrame, n_batches: int = 2, key: str = "doc_id", text
     if pairs is None:
         found = spark.createDataFrame([], "doc_id long, tkey long, data array<binary>")
     else:
-        shared = pairs.mapInArrow(by_document, "doc_id long, tkey long, kind int, data binary").groupBy("doc_id", "tkey").agg(F.collect_list("data").alias("data"))
+        shared = pairs.mapInArrow(by_document, "doc_id long, tkey long, kind int, data binary").groupBy("doc_id", "tkey").agg(F.collect_list("data").alias("data")).hint("shuffle_hash")
         asked = held.join(shared, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "data")
         packed = asked.mapInArrow(map_windows(n, window, gram), PACKED).repartition(n, "bucket")
-        found = packed.mapInArrow(removed_windows, "doc_id long, tkey long, kind int, data binary").groupBy("doc_id", "tkey").agg(F.collect_list("data").alias("data"))
+        found = packed.mapInArrow(removed_windows, "doc_id long, tkey long, kind int, data binary").groupBy("doc_id", "tkey").agg(F.collect_list("data").alias("data")).hint("shuffle_hash")
     joined = held.join(found, ["doc_id", "tkey"], "left").select("doc_id", "text", "data")
     return joined.mapInArrow(cut_words(window), "doc_id long, kept string, n_words long, n_removed long")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint_index, html_extract, mixing, quality_rules, sharding, token_counts, token_files
+from . import decontamination, fingerprint_index, html_extract, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, token_files
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -38,6 +38,10 @@ def mix_path() -> list:
     return [F.get(F.array(*map(F.lit, DOMAINS)), F.pmod(number, F.lit(len(DOMAINS))).cast("int")), F.col("lang"), F.col("source")]
 
 
+def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mix_path(), n_words(), mix_weight, total=0.6, max_epochs=4, seed=7)
@@ -69,13 +73,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_suffixes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.learn_rules(docs, table(spark, sf_dir, "labels"))
     return quality_rules.apply_rules(docs.select("doc_id", "text"), rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op3_hilbert_sharding, op4_html_blocks, op5_token_files, op6_fingerprint_index, op7_token_counts, op9_decision_list)
+    f.__name__: f for f in (op1_template_leaks, op2_mixing, op3_hilbert_sharding, op4_html_blocks, op5_token_files, op6_fingerprint_index, op7_token_counts, op8_suffix_array, op9_decision_list, op10_ngram_join)
 }
 SQL: dict[str, str] = {}
