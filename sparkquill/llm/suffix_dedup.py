@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fingerprint_index import KEYED, keyed, runs_of
+from .fingerprint_index import keyed, runs_of
 from .shared import PACKED, PACKED_ARROW, delta, pack, packed_batches, partitions, scatter, unpack
 from .text import U, byte_values, mix, powers, sliding_min, text_slices
 
@@ -36,10 +36,14 @@ LENGTH, GRAM, PARTS = 200, 32, 6
 #: Parts with one core that are sorted together; more are dealt as pairs of blocks.
 BLOCK = 4096
 #: Bytes that are sorted at once, if no core has more.
-CHUNK = 2 << 20
+CHUNK = 900_000
+#: Bytes of texts that are hashed at once.
+SLICE = 1_000_000
 #: Kinds of rows: to look up; known to repeat.
 ASK, COVER = 0, 1
-KEYED_DDL = "doc_id long, tkey long, kind int, data binary"
+#: For a document, arrays of what is asked and of what is covered, several one behind the other.
+FOUND = "doc_id long, tkey long, asked binary, covered binary"
+FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("asked", pa.binary()), ("covered", pa.binary())])
 
 
 @lru_cache(4)
@@ -55,7 +59,7 @@ class Hasher:
     """Hashes of any span of some bytes by prefix sums."""
 
     def __init__(self, data: np.ndarray, seed: int) -> None:
-        n = 1 << max(22, int(len(data) + 1).bit_length())
+        n = 1 << max(20, int(len(data) + 1).bit_length())
         values, p, self.inverse = tables(n, seed)
         self.sums = np.append(U(0), np.cumsum(values[data] * p[: len(data)], dtype=U))
 
@@ -96,7 +100,7 @@ def map_anchors(n_buckets: int):
         def rows() -> Iterator[tuple]:
             for b in batches:
                 ids, tkeys = b.column(0).to_numpy(), b.column(1).to_numpy()
-                for i, j, data, offsets in text_slices(b.column(2)):
+                for i, j, data, offsets in text_slices(b.column(2), SLICE):
                     at, h = anchors(data, offsets)
                     row = np.searchsorted(offsets, at, "right") - 1
                     lo, hi = np.maximum(at - (LENGTH - GRAM), offsets[row]), np.minimum(at + LENGTH, offsets[row + 1])
@@ -126,22 +130,51 @@ def by_bucket(bucket: np.ndarray, entries: np.ndarray, packed) -> Iterator[tuple
         yield int(bucket[lo]), ASK, packed(entries[lo:hi])
 
 
-def to_documents(kind: int, own: np.ndarray, tkey: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    order = np.lexsort((columns[0], tkey, own))
-    own, tkey = own[order], tkey[order]
-    columns = tuple(c[order] for c in columns)
-    for lo, hi in runs_of((own[1:] != own[:-1]) | (tkey[1:] != tkey[:-1]), len(own)):
-        yield int(own[lo]), int(tkey[lo]), kind, pack(*(c[lo:hi] for c in columns))
-
-
-def received(batches: Iterator[pa.RecordBatch], asked: list) -> Iterator[tuple]:
-    """Known spans of packed rows, passed on by document; what is asked goes to the list."""
-    for b in batches:
-        for kind, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if kind == COVER:
-                yield from to_documents(COVER, *unpack(data, "i8", "i8", "i8", "i8"))
-            else:
-                asked.append(data)
+class Found(dict):
+    """Packed arrays by document: what is asked, what is covered."""
+
+    def put(self, kind: int, own: np.ndarray, tkey: np.ndarray, *columns: np.ndarray) -> None:
+        order = np.lexsort((columns[0], tkey, own))
+        own, tkey = own[order], tkey[order]
+        columns = tuple(c[order] for c in columns)
+        for lo, hi in runs_of((own[1:] != own[:-1]) | (tkey[1:] != tkey[:-1]), len(own)):
+            self.setdefault((int(own[lo]), int(tkey[lo])), ([], []))[kind].append(pack(*(c[lo:hi] for c in columns)))
+
+    def rows(self) -> Iterator[tuple]:
+        for key, (asked, covered) in self.items():
+            yield *key, b"".join(asked), b"".join(covered)
+
+    def receive(self, batches: Iterator[pa.RecordBatch]) -> list[bytes]:
+        """Takes what is known to be covered; returns what is asked."""
+        asked = []
+        for b in batches:
+            for kind, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if kind == COVER:
+                    self.put(COVER, *unpack(data, "i8", "i8", "i8", "i8"))
+                else:
+                    asked.append(data)
+        return asked
+
+
+def unpack_all(lists: list[dict], name: str, *types: str) -> list[np.ndarray]:
+    """The arrays of all entries of a document."""
+    found, width = [], sum(np.dtype(t).itemsize for t in types)
+    for x in lists:
+        data, at = x[name], 0
+        while at < len(data):
+            part = unpack(data[at:] if at else data, *types)
+            found.append(part)
+            at += 8 + width * len(part[0])
+    return [np.concatenate([x[i] for x in found]) if found else np.zeros(0, t) for i, t in enumerate(types)]
+
+
+def pass_covered(found: list, ids: np.ndarray, tkeys: np.ndarray, n_buckets: int) -> Iterator[tuple]:
+    """Packed rows of the documents' covered spans."""
+    s, e = zip(*(unpack_all(x, "covered", "i8", "i8") for x in found)) if found else ((), ())
+    n = np.array([len(x) for x in s], int)
+    if n.sum():
+        own = np.repeat(ids, n)
+        yield from scatter((own % n_buckets).astype(np.int32), COVER, own, np.repeat(tkeys, n), np.concatenate(s), np.concatenate(e))
 
 
 def grouped(key: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> tuple:
@@ -157,11 +190,11 @@ def match_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Anchors of one partition: contexts that occur twice are covered, other shared anchors are asked on."""
 
     def rows() -> Iterator[tuple]:
-        asked: list = []
-        yield from received(batches, asked)
-        if not asked:
+        out = Found()
+        held = [unpack(x, "u8", "u8", "u8", "?", "i8", "i8", "i8", "i8", "i8") for x in out.receive(batches)]
+        if not held:
+            yield from out.rows()
             return
-        held = [unpack(x, "u8", "u8", "u8", "?", "i8", "i8", "i8", "i8", "i8") for x in asked]
         h, c1, c2, many = (np.concatenate([x[c] for x in held]) for c in range(4))
         own, tkey, place, begin, end = (np.concatenate([np.cumsum(x[c]) for x in held]) for c in range(4, 9))
         order, key, group, head = grouped(h, c1, c2)
@@ -170,12 +203,13 @@ def match_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         twice = many[group]
         shared = contexts[key] > 1
         c = order[twice]
-        yield from to_documents(COVER, own[c], tkey[c], begin[c], end[c])
+        out.put(COVER, own[c], tkey[c], begin[c], end[c])
         keep = shared & (~twice | head)
         c = order[keep]
-        yield from to_documents(ASK, own[c], tkey[c], place[c], twice[keep])
+        out.put(ASK, own[c], tkey[c], place[c], twice[keep])
+        yield from out.rows()
 
-    yield from packed_batches(rows(), KEYED)
+    yield from packed_batches(rows(), FOUND_ARROW)
 
 
 def spans(at: np.ndarray, n: np.ndarray) -> tuple:
@@ -191,27 +225,19 @@ def spans(at: np.ndarray, n: np.ndarray) -> tuple:
 
 
 def map_parts(n_buckets: int):
-    """(doc_id, tkey, text, kinds, lists) to packed parts of the anchors asked for; covered spans are passed on."""
+    """(doc_id, tkey, text, found) to packed parts of the anchors asked for; covered spans are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 ids, tkeys, found = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
-                for i, j, data, offsets in text_slices(b.column(2), 4 << 20):
-                    at, rep, row = [], [], []
-                    for d in range(i, j):
-                        for x in found[d]:
-                            if x["kind"] == COVER:
-                                s, e = unpack(x["data"], "i8", "i8")
-                                yield int(ids[d] % n_buckets), COVER, pack(np.full(len(s), ids[d]), np.full(len(s), tkeys[d]), s, e)
-                            else:
-                                p, r = unpack(x["data"], "i8", "?")
-                                at.append(p)
-                                rep.append(r)
-                                row.append(np.full(len(p), d - i))
-                    if not at:
+                yield from pass_covered(found, ids, tkeys, n_buckets)
+                for i, j, data, offsets in text_slices(b.column(2), SLICE):
+                    got = [unpack_all(found[d], "asked", "i8", "?") for d in range(i, j)]
+                    row = np.repeat(np.arange(j - i), [len(x[0]) for x in got])
+                    if not len(row):
                         continue
-                    at, rep, row = (np.concatenate(x) for x in (at, rep, row))
+                    at, rep = (np.concatenate([x[c] for x in got]) for c in (0, 1))
                     a, part, lo, hi, core_lo, core_hi = spans(at, np.diff(offsets)[row])
                     r, base = row[a], offsets[row[a]]
                     core = Hasher(data, 33)(base + core_lo, base + core_hi)
@@ -230,24 +256,24 @@ def match_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts of one partition: those that occur twice are covered, others with a shared core are asked on, with keys to sort under."""
 
     def rows() -> Iterator[tuple]:
-        asked: list = []
-        yield from received(batches, asked)
-        if not asked:
+        out = Found()
+        held = [unpack(x, "u8", "u8", "u8", "?", "i8", "i8", "i8", "i8") for x in out.receive(batches)]
+        if not held:
+            yield from out.rows()
             return
-        held = [unpack(x, "u8", "u8", "u8", "?", "i8", "i8", "i8", "i8") for x in asked]
         core, c1, c2, known = (np.concatenate([x[c] for x in held]) for c in range(4))
         own, tkey, lo, hi = (np.concatenate([np.cumsum(x[c]) for x in held]) for c in range(4, 8))
         order, key, group, head = grouped(core, c1, c2)
         twice = np.bincount(group)[group] > 1
         distinct = np.bincount(key[head])
         c = order[twice & ~known[order]]
-        yield from to_documents(COVER, own[c], tkey[c], lo[c], hi[c] + LENGTH)
+        out.put(COVER, own[c], tkey[c], lo[c], hi[c] + LENGTH)
         keep = (distinct[key] > 1) & head  # one row for each distinct part
         c, key, sure = order[keep], key[keep], (twice | known[order])[keep]
         core, own, tkey, lo, hi = core[c], own[c], tkey[c], lo[c], hi[c]
         n = np.bincount(key, minlength=len(distinct))
         small = n[key] <= BLOCK
-        yield from to_documents(ASK, own[small], tkey[small], lo[small], hi[small], core[small].view(np.int64), sure[small])
+        out.put(ASK, own[small], tkey[small], lo[small], hi[small], core[small].view(np.int64), sure[small])
         for k in np.flatnonzero(n > BLOCK).tolist():
             rows_ = np.flatnonzero(key == k)
             blocks = -(-len(rows_) // (BLOCK // 2))
@@ -255,31 +281,31 @@ def match_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for other in range(blocks):
                 low, high = np.minimum(mine, other), np.maximum(mine, other)
                 pair = mix(core[rows_] + (low * 1_000_003 + high + 1).astype(U)).view(np.int64)
-                yield from to_documents(ASK, own[rows_], tkey[rows_], lo[rows_], hi[rows_], pair, sure[rows_])
+                out.put(ASK, own[rows_], tkey[rows_], lo[rows_], hi[rows_], pair, sure[rows_])
+        yield from out.rows()
 
-    yield from packed_batches(rows(), KEYED)
+    yield from packed_batches(rows(), FOUND_ARROW)
 
 
 def map_strings(n_buckets: int):
-    """(doc_id, tkey, text, kinds, lists) to the bytes of the parts asked for, by key; covered spans are passed on."""
+    """(doc_id, tkey, text, found) to the bytes of the parts asked for, by key; covered spans are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 ids, tkeys, found = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
-                for i, j, data, offsets in text_slices(b.column(2), 4 << 20):
+                yield from pass_covered(found, ids, tkeys, n_buckets)
+                for i, j, data, offsets in text_slices(b.column(2), SLICE):
                     waiting: dict[int, list[bytes]] = {}
+                    buffer = data.tobytes()
                     for d in range(i, j):
-                        text = data[offsets[d - i] : offsets[d - i + 1]]
-                        for x in found[d]:
-                            if x["kind"] == COVER:
-                                s, e = unpack(x["data"], "i8", "i8")
-                                yield int(ids[d] % n_buckets), COVER, pack(np.full(len(s), ids[d]), np.full(len(s), tkeys[d]), s, e)
-                                continue
-                            lo, hi, key, sure = unpack(x["data"], "i8", "i8", "i8", "?")
-                            for p, q, k, y in zip(lo.tolist(), hi.tolist(), key.tolist(), sure.tolist()):
-                                entry = np.array([k, ids[d], tkeys[d], p, q - p + LENGTH, y], np.int64).tobytes() + text[p : q + LENGTH].tobytes()
-                                waiting.setdefault(k % n_buckets, []).append(entry)
+                        lo, hi, key, sure = unpack_all(found[d], "asked", "i8", "i8", "i8", "?")
+                        if not len(lo):
+                            continue
+                        n, base = hi - lo + LENGTH, int(offsets[d - i])
+                        heads = np.stack([key, np.full(len(lo), ids[d]), np.full(len(lo), tkeys[d]), lo, n, sure], axis=1).astype(np.int64).tobytes()
+                        for q, (k, p, m) in enumerate(zip((key % n_buckets).tolist(), lo.tolist(), n.tolist())):
+                            waiting.setdefault(k, []).append(heads[48 * q : 48 * q + 48] + buffer[base + p : base + p + m])
                     for k, entries in waiting.items():
                         yield k, ASK, b"".join(entries)
 
@@ -288,9 +314,12 @@ def map_strings(n_buckets: int):
     return run
 
 
-def suffix_array(data: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(data: np.ndarray, group: np.ndarray, depth: int, last: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Places ordered by group, then by at least depth bytes from there. data: 0 ends a string; group: by place.
 
+    Only the places of each string up to last are needed; those up to the next smaller suffix, from
+    which they are induced, come with them.
+
     Two-stage sorting: suffixes smaller than their successors are sorted directly, by words of eight
     bytes after what a whole tie has in common; the rest follow from a scan of the buckets by first byte.
     """
@@ -300,6 +329,12 @@ def suffix_array(data: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
     change = np.where(step != 0, np.arange(n), n - 1)
     small = step[np.minimum.accumulate(change[::-1])[::-1]] > 0  # smaller than its successor
     small[data == 0] = True
+    ends = np.flatnonzero(small)
+    ends = ends[np.searchsorted(ends, last)]
+    need = np.zeros(n + 1, np.int8)
+    need[begins] = 1
+    np.add.at(need, ends + 1, -1)
+    need = np.cumsum(need[:n], dtype=np.int8) > 0
     padded = np.append(data, np.zeros(depth + 16, np.uint8))
     hasher = Hasher(padded, 35)
 
@@ -312,7 +347,7 @@ def suffix_array(data: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
         heads = np.flatnonzero(np.append(True, tie[1:] != tie[:-1]))
         return np.minimum.reduceat(h, heads) == np.maximum.reduceat(h, heads)
 
-    at = np.flatnonzero(small)
+    at = np.flatnonzero(small & need)
     at = at[np.lexsort((word(at), group[at]))]
     w = word(at)
     new = np.append(True, (w[1:] != w[:-1]) | (group[at][1:] != group[at][:-1])) if len(at) else np.zeros(0, bool)
@@ -335,7 +370,8 @@ def suffix_array(data: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
         new[live] |= split
     # scan: a bucket's larger suffixes by the rank of their successors, then its smaller ones
     rank = np.zeros(n, np.int64)
-    by_byte = np.argsort(data, kind="stable")
+    by_byte = np.flatnonzero(need & ~small)
+    by_byte = by_byte[np.argsort(data[by_byte], kind="stable")]
     bounds = np.searchsorted(data[by_byte], np.arange(257))
     small_by_byte = at[np.argsort(data[at], kind="stable")]
     small_bounds = np.searchsorted(data[small_by_byte], np.arange(257))
@@ -344,7 +380,6 @@ def suffix_array(data: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
     count = 0
     for c in range(256):
         big = by_byte[bounds[c] : bounds[c + 1]]
-        big = big[~small[big]]
         if len(big):
             turns = run[big]
             order = np.argsort(turns, kind="stable")
@@ -357,62 +392,63 @@ def suffix_array(data: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
         s = small_by_byte[small_bounds[c] : small_bounds[c + 1]]
         rank[s] = count + np.arange(len(s))
         count += len(s)
-    return np.lexsort((rank, group))
+    out = np.flatnonzero(need)
+    return out[np.lexsort((rank[out], group[out]))]
 
 
 def next_of_run(data: np.ndarray) -> np.ndarray:
     """How many equal bytes follow from each place, itself included."""
     n = len(data)
-    ends = np.append(np.flatnonzero(data[1:] != data[:-1]), n - 1)
-    return ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1
+    ends = np.full(n, n - 1)
+    ends[:-1] = np.where(data[1:] != data[:-1], np.arange(n - 1), n - 1)
+    return np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n) + 1
 
 
-def repeated(strings: list[np.ndarray], key: np.ndarray, row: np.ndarray, start: np.ndarray, depth: int = LENGTH) -> list[np.ndarray]:
-    """For each string the places whose depth bytes also start elsewhere in a string of the same key.
+def repeated(data: np.ndarray, sizes: np.ndarray, key: np.ndarray, row: np.ndarray, start: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(string, place in it), in order, of places whose depth bytes also start elsewhere in a string of the same key.
 
-    A string lies in a row from start on; two strings may share places of a row, which count once.
+    data: the strings one behind the other. A string lies in a row from start on; two strings may share
+    places of a row, which count once.
     """
-    sizes = np.array([len(s) for s in strings])
-    data = np.zeros(int(sizes.sum()) + len(strings), np.uint8)
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    for s, lo in zip(strings, begins.tolist()):
-        data[lo : lo + len(s)] = s + 1  # no byte of UTF-8 is 255
-    owner = np.repeat(np.arange(len(strings)), sizes + 1)
-    sa = suffix_array(data, key[owner], depth)
-    left = (begins + sizes)[owner] - np.arange(len(data))
-    sa = sa[left[sa] >= depth]
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    text = np.zeros(len(data) + len(sizes), np.uint8)
+    begins = ends - sizes + np.arange(len(sizes))
+    inside = np.ones(len(text), bool)
+    inside[begins + sizes] = False
+    text[inside] = data + 1  # no byte of UTF-8 is 255
+    sa = suffix_array(text, key[owner], depth, begins + sizes - depth, begins)
+    sa = sa[sa <= (begins + sizes - depth)[owner[sa]]]
+    if not len(sa):
+        return sa, sa
+    # neighbours with depth bytes in common, by 128-bit digests, are one class
     group = key[owner[sa]]
-    equal = np.zeros(len(sa), bool)  # common prefix with the one before is long enough
-    for lo in range(1, len(sa), 50_000):
-        a, b = sa[lo - 1 : lo + 49_999], sa[lo : lo + 50_000]
-        a = a[: len(b)]
-        close = np.flatnonzero((group[lo - 1 : lo - 1 + len(b)] == group[lo : lo + len(b)]) & (data[a + depth - 1] == data[b + depth - 1]) & (data[a] == data[b]))
-        common = (data[a[close][:, None] + np.arange(depth)] == data[b[close][:, None] + np.arange(depth)]).all(axis=1)
-        equal[lo + close] = common
-    heads = np.flatnonzero(~equal)
+    same = group[1:] == group[:-1]
+    for seed in (36, 37):
+        h = Hasher(text, seed)(sa, sa + depth)
+        same &= h[1:] == h[:-1]
+    heads = np.flatnonzero(np.append(True, ~same))
     place = (row << 40)[owner[sa]] + start[owner[sa]] + sa - begins[owner[sa]]
-    several = np.minimum.reduceat(place, heads) != np.maximum.reduceat(place, heads) if len(sa) else heads > 0
+    several = np.minimum.reduceat(place, heads) != np.maximum.reduceat(place, heads)
     found = np.sort(sa[np.repeat(several, np.diff(np.append(heads, len(sa))))])
-    cuts = np.searchsorted(found, np.append(begins, len(data)))
-    return [found[x:y] - lo for x, y, lo in zip(cuts[:-1], cuts[1:], begins)]
+    return owner[found], found - begins[owner[found]]
 
 
 def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts of one partition, as bytes, to the spans that repeat."""
 
     def rows() -> Iterator[tuple]:
-        asked: list = []
-        yield from received(batches, asked)
+        out = Found()
         heads, strings = [], []
-        for data in asked:
+        for data in out.receive(batches):
             at = 0
             while at < len(data):
                 head = np.frombuffer(data, np.int64, 6, at)
-                at += 48
                 heads.append(head)
-                strings.append(np.frombuffer(data, np.uint8, int(head[4]), at))
-                at += int(head[4])
+                strings.append(data[at + 48 : at + 48 + int(head[4])])
+                at += 48 + int(head[4])
         if not heads:
+            yield from out.rows()
             return
         heads = np.stack(heads)
         order = np.argsort(heads[:, 0], kind="stable")
@@ -429,15 +465,18 @@ def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 hi = len(order)
             own = heads[lo:hi]
             _, row = np.unique(own[:, 1:3], axis=0, return_inverse=True)
-            found = repeated([strings[k] for k in order[lo:hi].tolist()], own[:, 0], row.astype(np.int64), own[:, 3])
-            for head, places in zip(own, found):
-                if not head[5] and len(places):
-                    start = places + head[3]
-                    cut = np.flatnonzero(np.diff(start) > 1)
-                    yield int(head[1]), int(head[2]), COVER, pack(start[np.append(0, cut + 1)], start[np.append(cut, len(start) - 1)] + LENGTH)
+            joined = np.frombuffer(b"".join([strings[k] for k in order[lo:hi].tolist()]), np.uint8)
+            which, place = repeated(joined, own[:, 4], own[:, 0], row.astype(np.int64), own[:, 3])
+            open_ = own[which, 5] == 0
+            which, place = which[open_], place[open_] + own[which[open_], 3]
+            if len(which):  # runs of places are spans
+                new = np.append(True, (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1))
+                first, end = place[new], place[np.append(np.flatnonzero(new)[1:] - 1, len(place) - 1)] + LENGTH
+                out.put(COVER, own[which[new], 1], own[which[new], 2], first, end)
             lo = hi
+        yield from out.rows()
 
-    yield from packed_batches(rows(), KEYED)
+    yield from packed_batches(rows(), FOUND_ARROW)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
@@ -449,8 +488,7 @@ def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, sizes, gone, starts, ends = [], [], [], [], []
         for d in range(b.num_rows):
             text = texts[d].as_buffer().to_pybytes()
-            pieces = [unpack(x["data"], "i8", "i8") for x in found[d] or []]
-            s, e = (np.concatenate([x[c] for x in pieces]) if pieces else np.zeros(0, np.int64) for c in (0, 1))
+            s, e = unpack_all(found[d] or [], "covered", "i8", "i8")
             order = np.argsort(s, kind="stable")
             s, e = s[order], np.maximum.accumulate(e[order]) if len(s) else e
             new = np.append(True, s[1:] > e[:-1]) if len(s) else np.zeros(0, bool)
@@ -477,13 +515,13 @@ def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     held = rows.repartition(n, "doc_id", "tkey")
 
     def gather(found: DataFrame) -> DataFrame:
-        return found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("kind", "data")).alias("found")).hint("shuffle_hash")
+        return found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("asked", "covered")).alias("found")).hint("shuffle_hash")
 
-    first = rows.mapInArrow(map_anchors(n), PACKED).repartition(n, "bucket").mapInArrow(match_contexts, KEYED_DDL)
+    first = rows.mapInArrow(map_anchors(n), PACKED).repartition(n, "bucket").mapInArrow(match_contexts, FOUND)
     asked = held.join(gather(first), ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "found")
-    second = asked.mapInArrow(map_parts(n), PACKED).repartition(n, "bucket").mapInArrow(match_parts, KEYED_DDL)
+    second = asked.mapInArrow(map_parts(n), PACKED).repartition(n, "bucket").mapInArrow(match_parts, FOUND)
     asked = held.join(gather(second), ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "found")
-    third = asked.mapInArrow(map_strings(n), PACKED).repartition(n, "bucket").mapInArrow(sort_suffixes, KEYED_DDL)
+    third = asked.mapInArrow(map_strings(n), PACKED).repartition(n, "bucket").mapInArrow(sort_suffixes, FOUND)
     joined = held.join(gather(third), ["doc_id", "tkey"], "left").select("doc_id", "text", "found")
     out = joined.mapInArrow(cut_spans, "doc_id long, kept binary, n_bytes long, n_removed long, starts array<bigint>, ends array<bigint>")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
