@@ -6,7 +6,7 @@ set of immutable runs, each sorted by fingerprint within buckets; a run has one
 fingerprint: a document that has it and whether others have it too. A new batch is merge-joined with
 the runs bucket by bucket, which names the documents whose windows must be compared, and makes the
 compacted run that replaces them. Verification then compares those documents' windows by 128-bit
-digests of their words. Nothing is dropped: a fingerprint that two documents share is always verified.
+digests (96 bits beside the bucket) of their words. Nothing is dropped: a fingerprint that two documents share is always verified.
 
 Hot fingerprints: within a map batch one that many documents have is sent on once; the documents are
 named there and then.
@@ -25,9 +25,10 @@ from .shared import PACKED, PACKED_ARROW, delta, pack, packed_batches, partition
 from .text import U, grams, ragged, sliding_min, span_hashes, text_slices, word_spans
 
 WINDOW, GRAM = 13, 5
+#: Bytes of texts that are hashed at once.
+SLICE = 1_000_000
 #: Kinds of packed rows: an index entry; a document and a fingerprint it shares.
 ENTRY, SHARED = 0, 1
-KEYED = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -50,17 +51,22 @@ def fingerprints(words: np.ndarray, at: np.ndarray, window: int, gram: int) -> n
     return sliding_min(grams(words, gram), window - gram + 1)[at] if len(at) else np.zeros(0, U)
 
 
+def reduced(fp: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket and 32 bits of a fingerprint. Buckets grow with the input; what collides is told apart when verified."""
+    return (fp % U(n_buckets)) << U(32) | (fp // U(n_buckets)) & U(0xFFFFFFFF)
+
+
 def map_entries(n_buckets: int, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                ids, tkeys = b.column(0), b.column(1).to_numpy()
+                ids = b.column(0)
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 ids = ids.fill_null(0).to_numpy()
                 fps, docs = [], []
-                for i, j, data, offsets in text_slices(b.column(2)):
+                for i, j, data, offsets in text_slices(b.column(2), SLICE):
                     starts, ends, row, _, at = windows_of(data, offsets, window)
-                    fp, doc = fingerprints(span_hashes(data, starts, ends, 1), at, window, gram), row[at] + i
+                    fp, doc = reduced(fingerprints(span_hashes(data, starts, ends, 1), at, window, gram), n_buckets), row[at] + i
                     keep = known[doc]
                     keep[1:] &= (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])
                     fps.append(fp[keep])
@@ -74,10 +80,10 @@ def map_entries(n_buckets: int, window: int, gram: int):
                 head = np.ones(len(fp), bool)
                 head[1:] = fp[1:] != fp[:-1]
                 many = np.diff(np.append(np.flatnonzero(head), len(fp))) > 1
-                bucket = (fp % U(n_buckets)).astype(np.int32)
-                yield from scatter(bucket[head], ENTRY, fp[head], ids[doc[head]], tkeys[doc[head]], many)
+                bucket = (fp >> U(32)).astype(np.int32)
+                yield from scatter(bucket[head], ENTRY, fp[head].astype(np.uint32), ids[doc[head]], many)
                 both = np.repeat(many, np.diff(np.append(np.flatnonzero(head), len(fp))))
-                yield from scatter(bucket[both], SHARED, fp[both], ids[doc[both]], tkeys[doc[both]])
+                yield from scatter(bucket[both], SHARED, fp[both], ids[doc[both]])
 
         yield from packed_batches(rows(), PACKED_ARROW)
 
@@ -96,16 +102,16 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     held.setdefault(bucket, []).append(data)
         for bucket, pieces in held.items():
-            fp, doc, tkey, many = (np.concatenate(x) for x in zip(*(unpack(p, "u8", "i8", "i8", "?") for p in pieces)))
+            fp, doc, many = (np.concatenate(x) for x in zip(*(unpack(p, "u4", "i8", "?") for p in pieces)))
             order = np.argsort(fp, kind="stable")  # the pieces are sorted runs, which a stable sort merges
-            fp, doc, tkey, many = fp[order], doc[order], tkey[order], many[order]
+            fp, doc, many = fp[order], doc[order], many[order]
             heads = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
             n = np.diff(np.append(heads, len(fp)))
             known = np.add.reduceat(many.astype(np.int64), heads) > 0
             shared = np.repeat((n > 1) | known, n) & ~many
             if shared.any():
-                yield bucket, SHARED, pack(fp[shared], doc[shared], tkey[shared])
-            yield bucket, ENTRY, pack(fp[heads], doc[heads], tkey[heads], (n > 1) | known)
+                yield bucket, SHARED, pack(fp[shared].astype(U) | U(bucket) << U(32), doc[shared])
+            yield bucket, ENTRY, pack(fp[heads], doc[heads], (n > 1) | known)
 
     yield from packed_batches(rows(), PACKED_ARROW)
 
@@ -139,19 +145,22 @@ class FingerprintIndex:
         return self.read(out, SHARED)
 
 
+LISTS = pa.schema([("doc_id", pa.int64()), ("data", pa.binary())])
+
+
 def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed shared pairs to (doc_id, tkey, packed fingerprints)."""
+    """Packed shared pairs to (doc_id, fingerprints)."""
 
     def rows() -> Iterator[tuple]:
         for b in batches:
             for data in b.column(2).to_pylist():
-                fp, doc, tkey = unpack(data, "u8", "i8", "i8")
-                order = np.lexsort((tkey, doc))
-                fp, doc, tkey = fp[order], doc[order], tkey[order]
-                for lo, hi in runs_of((doc[1:] != doc[:-1]) | (tkey[1:] != tkey[:-1]), len(doc)):
-                    yield int(doc[lo]), int(tkey[lo]), 0, fp[lo:hi].tobytes()
+                fp, doc = unpack(data, "u8", "i8")
+                order = np.argsort(doc, kind="stable")
+                fp, doc = fp[order], doc[order]
+                for lo, hi in runs_of(doc[1:] != doc[:-1], len(doc)):
+                    yield int(doc[lo]), fp[lo:hi].tobytes()
 
-    yield from packed_batches(rows(), KEYED)
+    yield from packed_batches(rows(), LISTS)
 
 
 def runs_of(changes: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -160,38 +169,44 @@ def runs_of(changes: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def map_windows(n_buckets: int, window: int, gram: int):
-    """(doc_id, tkey, text, fingerprints) to packed windows: 128-bit digest, document, place; and places known here."""
+    """(doc_id, tkey, text, fingerprints) to packed windows: a 96-bit digest beside the bucket, document, place; and places known here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 ids, tkeys, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
-                for i, j, data, offsets in text_slices(b.column(2), 8 << 20):
+                found = []
+                for i, j, data, offsets in text_slices(b.column(2), SLICE):
                     starts, ends, row, first, at = windows_of(data, offsets, window)
                     w1 = span_hashes(data, starts, ends, 1)
-                    fp, doc = fingerprints(w1, at, window, gram), row[at]
+                    fp, doc = reduced(fingerprints(w1, at, window, gram), n_buckets), row[at]
                     held = np.searchsorted(doc, np.arange(j - i + 1))
                     hit = np.zeros(len(fp), bool)
                     for d in range(j - i):
                         have = np.frombuffer(b"".join(lists[i + d]), U)
                         hit[held[d] : held[d + 1]] = np.isin(fp[held[d] : held[d + 1]], have)
                     at, doc = at[hit], doc[hit]
-                    h1, h2 = grams(w1, window)[at] if len(at) else np.zeros(0, U), grams(span_hashes(data, starts, ends, 2), window)[at] if len(at) else np.zeros(0, U)
-                    own, place = ids[doc + i], at - first[doc]
-                    order = np.lexsort((own, h2, h1))
-                    a, b_, o = h1[order], h2[order], own[order]
-                    heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b_[1:] != b_[:-1]))) if len(a) else np.zeros(0, int)
-                    least = np.zeros(len(o), np.int64)
-                    least[order] = np.repeat(o[heads], np.diff(np.append(heads, len(o))))
-                    known = least < own
-                    yield from scatter((own[known] % n_buckets).astype(np.int32), SHARED, own[known], tkeys[doc[known] + i], place[known].astype(np.int32))
-                    asked = np.flatnonzero(~known)
-                    bucket = (h1[asked] % U(n_buckets)).astype(np.int32)
-                    order = np.argsort(bucket, kind="stable")
-                    asked, bucket = asked[order], bucket[order]
-                    for lo, hi in runs_of(bucket[1:] != bucket[:-1], len(bucket)):
-                        k = asked[lo:hi]
-                        yield int(bucket[lo]), ENTRY, pack(h1[k], h2[k], delta(own[k]), delta(tkeys[doc[k] + i]), delta(place[k].astype(np.int32)))
+                    if len(at):
+                        h2 = grams(span_hashes(data, starts, ends, 2), window)[at]
+                        found.append((grams(w1, window)[at], h2.astype(np.uint32), doc + i, (at - first[doc]).astype(np.int32)))
+                if not found:
+                    continue
+                h1, h2, doc, place = (np.concatenate(x) for x in zip(*found))
+                own = ids[doc]
+                order = np.lexsort((own, h2, h1))
+                x, y, o = h1[order], h2[order], own[order]
+                heads = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+                least = np.zeros(len(o), np.int64)
+                least[order] = np.repeat(o[heads], np.diff(np.append(heads, len(o))))
+                known = least < own
+                yield from scatter((own[known] % n_buckets).astype(np.int32), SHARED, own[known], tkeys[doc[known]], place[known])
+                asked = np.flatnonzero(~known)
+                bucket = (h1[asked] % U(n_buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                asked, bucket = asked[order], bucket[order]
+                for lo, hi in runs_of(bucket[1:] != bucket[:-1], len(bucket)):
+                    k = asked[lo:hi]
+                    yield int(bucket[lo]), ENTRY, pack(h1[k], h2[k], delta(own[k]), delta(tkeys[doc[k]]), delta(place[k]))
 
         yield from packed_batches(rows(), PACKED_ARROW)
 
@@ -199,7 +214,7 @@ def map_windows(n_buckets: int, window: int, gram: int):
 
 
 def removed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed windows of one partition to (doc_id, tkey, places) of those that a smaller document has."""
+    """Packed windows of one partition to (doc_id, tkey and places) of those that a smaller document has."""
 
     def rows() -> Iterator[tuple]:
         held = []
@@ -208,7 +223,7 @@ def removed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 if kind == SHARED:
                     yield from places(*unpack(data, "i8", "i8", "i4"))
                 else:
-                    held.append(unpack(data, "u8", "u8", "i8", "i8", "i4"))
+                    held.append(unpack(data, "u8", "u4", "i8", "i8", "i4"))
         if held:
             h1, h2 = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             own, tkey, place = (np.concatenate([np.cumsum(x[i], dtype=x[i].dtype) for x in held]) for i in (2, 3, 4))
@@ -224,22 +239,23 @@ def removed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         order = np.lexsort((place, tkey, own))
         own, tkey, place = own[order], tkey[order], place[order]
         for lo, hi in runs_of((own[1:] != own[:-1]) | (tkey[1:] != tkey[:-1]), len(own)):
-            yield int(own[lo]), int(tkey[lo]), 0, place[lo:hi].tobytes()
+            yield int(own[lo]), tkey[lo : lo + 1].tobytes() + place[lo:hi].tobytes()
 
-    yield from packed_batches(rows(), KEYED)
+    yield from packed_batches(rows(), LISTS)
 
 
 
 def cut_words(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(2).to_pylist()
-            for i, j, data, offsets in text_slices(b.column(1), 8 << 20):
+            tkeys, lists = b.column(1).to_pylist(), b.column(3).to_pylist()
+            for i, j, data, offsets in text_slices(b.column(2), SLICE):
                 starts, ends, row, first, _ = windows_of(data, offsets, window)
                 gone = np.zeros(len(starts) + 1, np.int32)
                 for d in range(j - i):
-                    if lists[i + d]:
-                        p = np.unique(np.frombuffer(b"".join(lists[i + d]), np.int32)) + first[d]
+                    own = [np.frombuffer(x, np.int32, -1, 8) for x in lists[i + d] or [] if np.frombuffer(x, np.int64, 1)[0] == tkeys[i + d]]
+                    if own:
+                        p = np.unique(np.concatenate(own)) + first[d]
                         np.add.at(gone, p, 1)
                         np.add.at(gone, p + window, -1)
                 stays = np.cumsum(gone)[:-1] == 0
@@ -278,13 +294,13 @@ def dedup_windows(docs: DataFrame, n_batches: int = 2, key: str = "doc_id", text
             new = index.add(part)
             pairs = new if pairs is None else pairs.unionByName(new)
     n = partitions(spark)
-    held = rows.repartition(n, "doc_id", "tkey")
+    held = rows.repartition(n, "doc_id")
     if pairs is None:
-        found = spark.createDataFrame([], "doc_id long, tkey long, data array<binary>")
+        found = spark.createDataFrame([], "doc_id long, data array<binary>")
     else:
-        shared = pairs.mapInArrow(by_document, "doc_id long, tkey long, kind int, data binary").groupBy("doc_id", "tkey").agg(F.collect_list("data").alias("data")).hint("shuffle_hash")
-        asked = held.join(shared, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "data")
+        shared = pairs.mapInArrow(by_document, "doc_id long, data binary").groupBy("doc_id").agg(F.collect_list("data").alias("data")).hint("shuffle_hash")
+        asked = held.join(shared, "doc_id").select("doc_id", "tkey", "text", "data")
         packed = asked.mapInArrow(map_windows(n, window, gram), PACKED).repartition(n, "bucket")
-        found = packed.mapInArrow(removed_windows, "doc_id long, tkey long, kind int, data binary").groupBy("doc_id", "tkey").agg(F.collect_list("data").alias("data")).hint("shuffle_hash")
-    joined = held.join(found, ["doc_id", "tkey"], "left").select("doc_id", "text", "data")
+        found = packed.mapInArrow(removed_windows, "doc_id long, data binary").groupBy("doc_id").agg(F.collect_list("data").alias("data")).hint("shuffle_hash")
+    joined = held.join(found, "doc_id", "left").select("doc_id", "tkey", "text", "data")
     return joined.mapInArrow(cut_words(window), "doc_id long, kept string, n_words long, n_removed long")

@@ -100,23 +100,25 @@ def map_anchors(n_buckets: int):
         def rows() -> Iterator[tuple]:
             for b in batches:
                 ids, tkeys = b.column(0).to_numpy(), b.column(1).to_numpy()
+                got = []
                 for i, j, data, offsets in text_slices(b.column(2), SLICE):
                     at, h = anchors(data, offsets)
                     row = np.searchsorted(offsets, at, "right") - 1
                     lo, hi = np.maximum(at - (LENGTH - GRAM), offsets[row]), np.minimum(at + LENGTH, offsets[row + 1])
                     shape = (at - lo).astype(U) * U(1 << 20)
-                    c1, c2 = Hasher(data, 31)(lo, hi) + shape, Hasher(data, 32)(lo, hi) + shape
-                    order = np.lexsort((c2, c1))
-                    head = np.append(True, (c1[order][1:] != c1[order][:-1]) | (c2[order][1:] != c2[order][:-1])) if len(at) else np.zeros(0, bool)
-                    count = np.diff(np.append(np.flatnonzero(head), len(at)))
-                    first = np.sort(order[head])
-                    many = np.zeros(len(at), bool)
-                    many[order[head]] = count > 1
-                    again = np.setdiff1d(np.arange(len(at)), first, assume_unique=True)
-                    own, tk, place = ids[row + i], tkeys[row + i], at - offsets[row]
-                    begin, end = lo - offsets[row], hi - offsets[row]
-                    yield from scatter((own[again] % n_buckets).astype(np.int32), COVER, own[again], tk[again], begin[again], end[again])
-                    yield from by_bucket((h[first] % U(n_buckets)).astype(np.int32), first, lambda k: pack(h[k], c1[k], c2[k], many[k], delta(own[k]), delta(tk[k]), delta(place[k]), delta(begin[k]), delta(end[k])))
+                    got.append((h, Hasher(data, 31)(lo, hi) + shape, Hasher(data, 32)(lo, hi) + shape, row + i, at - offsets[row], lo - offsets[row], hi - offsets[row]))
+                if not got or not sum(len(x[0]) for x in got):
+                    continue
+                h, c1, c2, row, place, begin, end = (np.concatenate(x) for x in zip(*got))
+                own, tk = ids[row], tkeys[row]
+                order = np.lexsort((c2, c1))
+                head = np.append(True, (c1[order][1:] != c1[order][:-1]) | (c2[order][1:] != c2[order][:-1]))
+                first = np.sort(order[head])
+                many = np.zeros(len(h), bool)
+                many[order[head]] = np.diff(np.append(np.flatnonzero(head), len(h))) > 1
+                again = np.setdiff1d(np.arange(len(h)), first, assume_unique=True)
+                yield from scatter((own[again] % n_buckets).astype(np.int32), COVER, own[again], tk[again], begin[again], end[again])
+                yield from by_bucket((h[first] % U(n_buckets)).astype(np.int32), first, lambda k: pack(h[k], c1[k], c2[k], many[k], delta(own[k]), delta(tk[k]), delta(place[k]), delta(begin[k]), delta(end[k])))
 
         yield from packed_batches(rows(), PACKED_ARROW)
 
@@ -232,6 +234,7 @@ def map_parts(n_buckets: int):
             for b in batches:
                 ids, tkeys, found = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
                 yield from pass_covered(found, ids, tkeys, n_buckets)
+                made = []
                 for i, j, data, offsets in text_slices(b.column(2), SLICE):
                     got = [unpack_all(found[d], "asked", "i8", "?") for d in range(i, j)]
                     row = np.repeat(np.arange(j - i), [len(x[0]) for x in got])
@@ -240,12 +243,14 @@ def map_parts(n_buckets: int):
                     at, rep = (np.concatenate([x[c] for x in got]) for c in (0, 1))
                     a, part, lo, hi, core_lo, core_hi = spans(at, np.diff(offsets)[row])
                     r, base = row[a], offsets[row[a]]
-                    core = Hasher(data, 33)(base + core_lo, base + core_hi)
+                    core = mix(Hasher(data, 33)(base + core_lo, base + core_hi) + part.astype(U))
                     shape = (hi - lo).astype(U) * U(1 << 20) + (core_lo - lo).astype(U)
                     c1, c2 = (Hasher(data, s)(base + lo, base + hi + LENGTH) + shape for s in (31, 32))
-                    core = mix(core + part.astype(U))
-                    own, tk, known = ids[r + i], tkeys[r + i], rep[a]
-                    yield from by_bucket((core % U(n_buckets)).astype(np.int32), np.arange(len(a)), lambda k: pack(core[k], c1[k], c2[k], known[k], delta(own[k]), delta(tk[k]), delta(lo[k]), delta(hi[k])))
+                    made.append((core, c1, c2, rep[a], r + i, lo, hi))
+                if made:
+                    core, c1, c2, known, row, lo, hi = (np.concatenate(x) for x in zip(*made))
+                    own, tk = ids[row], tkeys[row]
+                    yield from by_bucket((core % U(n_buckets)).astype(np.int32), np.arange(len(core)), lambda k: pack(core[k], c1[k], c2[k], known[k], delta(own[k]), delta(tk[k]), delta(lo[k]), delta(hi[k])))
 
         yield from packed_batches(rows(), PACKED_ARROW)
 
@@ -295,8 +300,8 @@ def map_strings(n_buckets: int):
             for b in batches:
                 ids, tkeys, found = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
                 yield from pass_covered(found, ids, tkeys, n_buckets)
+                waiting: dict[int, list[bytes]] = {}
                 for i, j, data, offsets in text_slices(b.column(2), SLICE):
-                    waiting: dict[int, list[bytes]] = {}
                     buffer = data.tobytes()
                     for d in range(i, j):
                         lo, hi, key, sure = unpack_all(found[d], "asked", "i8", "i8", "i8", "?")
@@ -306,8 +311,8 @@ def map_strings(n_buckets: int):
                         heads = np.stack([key, np.full(len(lo), ids[d]), np.full(len(lo), tkeys[d]), lo, n, sure], axis=1).astype(np.int64).tobytes()
                         for q, (k, p, m) in enumerate(zip((key % n_buckets).tolist(), lo.tolist(), n.tolist())):
                             waiting.setdefault(k, []).append(heads[48 * q : 48 * q + 48] + buffer[base + p : base + p + m])
-                    for k, entries in waiting.items():
-                        yield k, ASK, b"".join(entries)
+                for k, entries in waiting.items():
+                    yield k, ASK, b"".join(entries)
 
         yield from packed_batches(rows(), PACKED_ARROW)
 
