@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import relational, retrieval
+from ..sources import views
+
 FLAGSHIP = "answer_questions"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+
+
+def ask(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.run(spark, sf_dir, spark_text(text))
+
+
+def spark_text(text: str) -> str:
+    """Names that Spark has for what another engine calls differently."""
+    return text.replace("sha256(", "sha2_256(").replace("sha2_256(concat('v1|', text))", "sha2(concat('v1|', text), 256)").replace("cardinality_of(", "size(")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return {name: partial(ask, text) for name, text in relational.QUERIES.items()} | retrieval.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return {name: views.oracle(text).replace("cardinality_of(", "len(") for name, text in relational.QUERIES.items()} | retrieval.SQL
