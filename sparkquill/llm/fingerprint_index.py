@@ -148,19 +148,37 @@ class FingerprintIndex:
 LISTS = pa.schema([("doc_id", pa.int64()), ("data", pa.binary())])
 
 
-def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed shared pairs to (doc_id, fingerprints)."""
+def regrouped(*types: str):
+    """Packed arrays, a document's id first, dealt by it, to one row (doc_id, the other arrays packed) for each document."""
 
-    def rows() -> Iterator[tuple]:
-        for b in batches:
-            for data in b.column(2).to_pylist():
-                fp, doc = unpack(data, "u8", "i8")
-                order = np.argsort(doc, kind="stable")
-                fp, doc = fp[order], doc[order]
-                for lo, hi in runs_of(doc[1:] != doc[:-1], len(doc)):
-                    yield int(doc[lo]), fp[lo:hi].tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [unpack(x, *types) for b in batches for x in b.column(2).to_pylist()]
+        if not held:
+            return
+        columns = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
+        order = np.argsort(columns[0], kind="stable")
+        columns = [c[order] for c in columns]
+        doc = columns[0]
+        yield from packed_batches(((int(doc[lo]), pack(*(c[lo:hi] for c in columns[1:]))) for lo, hi in runs_of(doc[1:] != doc[:-1], len(doc))), LISTS)
+
+    return run
+
+
+def by_id(n_buckets: int):
+    """Packed shared pairs dealt by fingerprint to such dealt by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                held = [unpack(x, "u8", "i8") for x in b.column(2).to_pylist()]
+                if held:
+                    fp, doc = (np.concatenate(x) for x in zip(*held))
+                    yield from scatter((doc % n_buckets).astype(np.int32), SHARED, doc, fp)
+
+        yield from packed_batches(rows(), PACKED_ARROW)
 
-    yield from packed_batches(rows(), LISTS)
+    return run
 
 
 def runs_of(changes: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -183,7 +201,7 @@ def map_windows(n_buckets: int, window: int, gram: int):
                     held = np.searchsorted(doc, np.arange(j - i + 1))
                     hit = np.zeros(len(fp), bool)
                     for d in range(j - i):
-                        have = np.frombuffer(b"".join(lists[i + d]), U)
+                        have = unpack(lists[i + d], "u8")[0]
                         hit[held[d] : held[d + 1]] = np.isin(fp[held[d] : held[d + 1]], have)
                     at, doc = at[hit], doc[hit]
                     if len(at):
@@ -213,36 +231,37 @@ def map_windows(n_buckets: int, window: int, gram: int):
     return run
 
 
-def removed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed windows of one partition to (doc_id, tkey and places) of those that a smaller document has."""
-
-    def rows() -> Iterator[tuple]:
-        held = []
-        for b in batches:
-            for kind, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if kind == SHARED:
-                    yield from places(*unpack(data, "i8", "i8", "i4"))
-                else:
-                    held.append(unpack(data, "u8", "u4", "i8", "i8", "i4"))
-        if held:
-            h1, h2 = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            own, tkey, place = (np.concatenate([np.cumsum(x[i], dtype=x[i].dtype) for x in held]) for i in (2, 3, 4))
-            held.clear()
-            order = np.lexsort((own, h2, h1))
-            h1, h2 = h1[order], h2[order]
-            heads = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
-            o = own[order]
-            later = order[o > np.repeat(o[heads], np.diff(np.append(heads, len(o))))]
-            yield from places(own[later], tkey[later], place[later])
+def removed_windows(n_buckets: int):
+    """Packed windows of one partition to the places (doc_id, tkey, place) of those that a smaller document has, dealt by document."""
 
-    def places(own: np.ndarray, tkey: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
-        order = np.lexsort((place, tkey, own))
-        own, tkey, place = own[order], tkey[order], place[order]
-        for lo, hi in runs_of((own[1:] != own[:-1]) | (tkey[1:] != tkey[:-1]), len(own)):
-            yield int(own[lo]), tkey[lo : lo + 1].tobytes() + place[lo:hi].tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            held, known = [], []
+            for b in batches:
+                for kind, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    if kind == SHARED:
+                        known.append(unpack(data, "i8", "i8", "i4"))
+                    else:
+                        held.append(unpack(data, "u8", "u4", "i8", "i8", "i4"))
+            if held:
+                h1, h2 = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+                own, tkey, place = (np.concatenate([np.cumsum(x[i], dtype=x[i].dtype) for x in held]) for i in (2, 3, 4))
+                held.clear()
+                order = np.lexsort((own, h2, h1))
+                h1, h2 = h1[order], h2[order]
+                heads = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+                o = own[order]
+                later = order[o > np.repeat(o[heads], np.diff(np.append(heads, len(o))))]
+                known.append([own[later], tkey[later], place[later]])
+            if known:
+                own, tkey, place = (np.concatenate(x) for x in zip(*known))
+                order = np.lexsort((place, own))
+                own, tkey, place = own[order], tkey[order], place[order]
+                yield from scatter((own % n_buckets).astype(np.int32), SHARED, own, tkey, place)
 
-    yield from packed_batches(rows(), LISTS)
+        yield from packed_batches(rows(), PACKED_ARROW)
 
+    return run
 
 
 def cut_words(window: int):
@@ -253,9 +272,9 @@ def cut_words(window: int):
                 starts, ends, row, first, _ = windows_of(data, offsets, window)
                 gone = np.zeros(len(starts) + 1, np.int32)
                 for d in range(j - i):
-                    own = [np.frombuffer(x, np.int32, -1, 8) for x in lists[i + d] or [] if np.frombuffer(x, np.int64, 1)[0] == tkeys[i + d]]
-                    if own:
-                        p = np.unique(np.concatenate(own)) + first[d]
+                    if lists[i + d]:
+                        own, place = unpack(lists[i + d], "i8", "i4")
+                        p = np.unique(place[own == tkeys[i + d]]) + first[d]
                         np.add.at(gone, p, 1)
                         np.add.at(gone, p + window, -1)
                 stays = np.cumsum(gone)[:-1] == 0
@@ -296,11 +315,11 @@ def dedup_windows(docs: DataFrame, n_batches: int = 2, key: str = "doc_id", text
     n = partitions(spark)
     held = rows.repartition(n, "doc_id")
     if pairs is None:
-        found = spark.createDataFrame([], "doc_id long, data array<binary>")
+        found = spark.createDataFrame([], "doc_id long, data binary")
     else:
-        shared = pairs.mapInArrow(by_document, "doc_id long, data binary").groupBy("doc_id").agg(F.collect_list("data").alias("data")).hint("shuffle_hash")
+        shared = pairs.mapInArrow(by_id(n), PACKED).repartition(n, "bucket").mapInArrow(regrouped("i8", "u8"), "doc_id long, data binary").hint("shuffle_hash")
         asked = held.join(shared, "doc_id").select("doc_id", "tkey", "text", "data")
         packed = asked.mapInArrow(map_windows(n, window, gram), PACKED).repartition(n, "bucket")
-        found = packed.mapInArrow(removed_windows, "doc_id long, data binary").groupBy("doc_id").agg(F.collect_list("data").alias("data")).hint("shuffle_hash")
+        found = packed.mapInArrow(removed_windows(n), PACKED).repartition(n, "bucket").mapInArrow(regrouped("i8", "i8", "i4"), "doc_id long, data binary").hint("shuffle_hash")
     joined = held.join(found, "doc_id", "left").select("doc_id", "tkey", "text", "data")
     return joined.mapInArrow(cut_words(window), "doc_id long, kept string, n_words long, n_removed long")

@@ -44,13 +44,13 @@ def partitions(spark: SparkSession) -> int:
 
 def pack(*arrays: np.ndarray) -> bytes:
     """The arrays, all of one length, one behind the other; unpack() takes the same types."""
-    return np.int64(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    return np.int64(len(arrays[0])).tobytes() + b"".join(bytewise(np.ascontiguousarray(a)) for a in arrays)
 
 
 def unpack(data: bytes, *types: str) -> list[np.ndarray]:
     n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
     for t in types:
-        out.append(np.frombuffer(data, t, n, at))
+        out.append(unbytewise(data, t, n, at))
         at += n * np.dtype(t).itemsize
     return out
 
@@ -79,3 +79,13 @@ def packed_batches(rows: Iterator[tuple], schema: pa.Schema, limit: int = 16 <<
 def delta(a: np.ndarray) -> np.ndarray:
     """Differences, small where neighbours are close; np.cumsum undoes it."""
     return np.diff(a, prepend=a.dtype.type(0))
+
+
+def bytewise(a: np.ndarray) -> bytes:
+    """An array's lowest bytes first, then the next: small numbers compress to little more than those."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def unbytewise(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
