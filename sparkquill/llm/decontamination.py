@@ -40,7 +40,10 @@ _LOWER[65:91] += 32
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 #: ASCII bytes that are no letters or digits, without % and $, which are units.
-_PUNCT = np.array([b < 128 and not chr(b).isalnum() and chr(b) not in "%$" for b in range(256)])
+_PUNCT = np.array([32 < b < 128 and not chr(b).isalnum() and chr(b) not in "%$" for b in range(256)])
+#: Bytes before a word that starts a sentence or a line, and bytes that end a word before one.
+_OPENS = _PUNCT.copy()
+_OPENS[10] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?:;|\"("]] = True
 
@@ -82,7 +85,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     plain = np.append(0, np.cumsum(_DIGIT[data] | np.isin(data, np.frombuffer(b".,-/:", np.uint8))))
     number = (digits[ends] > digits[starts]) & (plain[ends] - plain[starts] == ends - starts)
     fresh = np.ones(len(starts), bool)  # starts a sentence or a row
-    fresh[1:] = (rows[1:] != rows[:-1]) | _ENDS[data[full[:-1] - 1]] | _PUNCT[data[np.maximum(starts[1:] - 1, 0)]]
+    fresh[1:] = (rows[1:] != rows[:-1]) | _ENDS[data[full[:-1] - 1]] | _OPENS[data[np.maximum(starts[1:] - 1, 0)]]
     capital = ((data[starts] >= 65) & (data[starts] <= 90)) | ((data[starts] == 0xC3) & (low[np.minimum(starts + 1, len(low) - 1)] != data[np.minimum(starts + 1, len(data) - 1)]))
     after = np.append(False, number[:-1]) & np.append(False, rows[1:] == rows[:-1])
     unit = after & ~number & np.isin(own, _UNITS)
