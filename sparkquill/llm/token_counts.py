@@ -7,6 +7,7 @@ and merging is run for the others only, once for each string that a worker remem
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +23,9 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Strings that a worker remembers.
-MEMORY = 400_000
+MEMORY = 1_000_000
+#: Texts that are counted at once.
+GROUP = 256
 
 
 @lru_cache(2)
@@ -47,25 +50,29 @@ class Counter(dict):
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(sorted(special, key=len, reverse=True))) if special else None
 
-    def merged(self, pre: str) -> int:
-        return 1 if pre in self.whole else len(self.tok.encode_batch_fast([pre], add_special_tokens=False)[0])
-
-    def __missing__(self, chunk: str) -> int:
-        n = sum(map(self.merged, PATTERN.findall(chunk)))
-        if len(chunk) < 200:
-            if len(self) > len(self.whole) + MEMORY:
-                self.clear()
-                self.update(dict.fromkeys(self.whole, 1))
-            self[chunk] = n
-        return n
-
-    def count(self, text: str) -> int:
-        n = 0
-        if self.special and self.special.search(text):
-            # a special string in a text is one token, and parts what stands around it
-            n = len(self.special.findall(text))
-            return n + sum(sum(map(self.__getitem__, CHUNK.findall(s))) for s in self.special.split(text))
-        return sum(map(self.__getitem__, CHUNK.findall(text)))
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Counts chunks that are not known: whole pre-tokens as 1, the others merged in one call."""
+        if len(self) > len(self.whole) + MEMORY:
+            self.clear()
+            self.update(dict.fromkeys(self.whole, 1))
+        new = [c for c in chunks if c not in self]
+        split = [PATTERN.findall(c) for c in new]
+        rest = list(set().union(*split).difference(self.whole))
+        merged = {p: len(e) for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False))}
+        for c, pres in zip(new, split):
+            self[c] = sum(merged.get(p, 1) for p in pres)
+        return new
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of some texts. A special string in a text is one token, and parts what stands around it."""
+        parts = [(self.special.split(t), len(self.special.findall(t))) if self.special and self.special.search(t) else ([t], 0) for t in texts]
+        chunks = [([c for s in split for c in CHUNK.findall(s)], n) for split, n in parts]
+        new = self.learn(set().union(*(c for c, _ in chunks)))
+        out = [n + sum(map(self.__getitem__, c)) for c, n in chunks]
+        for c in new:
+            if len(c) >= 200:
+                del self[c]
+        return out
 
 
 _counters: dict[str, Counter] = {}
@@ -83,10 +90,11 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counters:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
             _counters[path] = Counter(path, whole.value)
         counter = _counters[path]
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(map(counter.count, texts), pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array([n for lo in range(0, len(texts), GROUP) for n in counter.counts(texts[lo : lo + GROUP])], pa.int64())], schema=schema)
 
     return docs.mapInArrow(run, f"{key} long, n_bytes long, n_tokens long")

@@ -8,9 +8,11 @@ are in ascending key order; a part's base, the ids in all parts before it, is a
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +27,9 @@ from tokenizers import Tokenizer
 from .shared import partitions, shared_path
 
 PARTS = "part int, path string, width int, n_docs long, n_ids long"
-MEMORY = 300_000
+#: Pieces that a worker remembers, and texts that it encodes at once.
+MEMORY, GROUP = 1_000_000, 256
+PIECE = re.compile(r"[^ \t-\r]+")
 #: Stands for a null key in a file of keys.
 NO_KEY = -(2**63)
 
@@ -34,27 +38,32 @@ class Encoder(dict):
     """Ids of a piece of text without ASCII white space, as bytes; remembers MEMORY pieces.
 
     The tokenizer drops white space and no token spans it, and neither normal form nor lower case
-    reaches over ASCII white space, so a text's ids are those of its pieces in turn (whole() tests it).
+    reaches over ASCII white space, so a text's ids are those of its pieces in turn.
     """
 
     def __init__(self, path: str, width: int) -> None:
         super().__init__()
-        self.tok, self.type = Tokenizer.from_file(path), f"<u{width}"
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tok.encode_batch_fast([piece], add_special_tokens=False)[0].ids, self.type).tobytes()
-        if len(piece) < 200:
-            if len(self) > MEMORY:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, re.findall(r"[^ \t-\r]+", text)))
+        self.tok, self.code = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts; the pieces not yet known are encoded in one call."""
+        pieces = [PIECE.findall(t) for t in texts]
+        new = list(set().union(*pieces).difference(self))
+        if len(self) > MEMORY:
+            self.clear()
+            new = list(set().union(*pieces))
+        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+            self[p] = array(self.code, e.ids).tobytes()
+        out = [b"".join(map(self.__getitem__, p)) for p in pieces]
+        for p in new:
+            if len(p) >= 200:
+                del self[p]
+        return out
 
 
 @lru_cache(2)
 def encoder(path: str, width: int) -> Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     return Encoder(path, width)
 
 
@@ -83,11 +92,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
             if ids is None:
                 ids, offs, names = (fs.open_output_stream(f"{root}/{name}.{x}") for x in ("ids", "off", "key"))
             ends = []
-            for t in b.column(1).to_pylist():
-                data = enc.ids(t or "") + end
-                ids.write(data)
-                total += len(data) // width
-                ends.append(total)
+            for lo in range(0, b.num_rows, GROUP):
+                for data in enc.ids([t or "" for t in b.column(1)[lo : lo + GROUP].to_pylist()]):
+                    ids.write(data + end)
+                    total += len(data + end) // width
+                    ends.append(total)
             offs.write(np.array(ends, "<i8").tobytes())
             names.write(b.column(0).fill_null(NO_KEY).to_numpy().astype("<i8").tobytes())
             keys += len(ends)
