@@ -7,10 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import relational, retrieval
+from ..operators import corpus, relational, retrieval
 from ..sources import views
+from ..streaming import streams
 
 FLAGSHIP = "answer_questions"
+#: Queries whose one text serves Spark and the SQL that checks it.
+SHARED = relational.QUERIES | corpus.QUERIES
 
 
 def ask(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +26,8 @@ def spark_text(text: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(ask, text) for name, text in relational.QUERIES.items()} | retrieval.QUERIES
+    return {name: partial(ask, text) for name, text in SHARED.items()} | retrieval.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: views.oracle(text).replace("cardinality_of(", "len(") for name, text in relational.QUERIES.items()} | retrieval.SQL
+    return {name: views.oracle(text).replace("cardinality_of(", "len(") for name, text in SHARED.items()} | retrieval.SQL | streams.SQL

@@ -39,8 +39,43 @@ from documents where doc_id % 10 <> 2""",
     "v_sources_new": """
 select concat(source, '/', lang, '/doc_', cast(doc_id as string), case when doc_id % 3 = 0 then '.pdf' else '.md' end) as path, case when doc_id % 10 = 1 then md5(concat(text, ' edited')) else md5(text) end as hash, doc_id, source, lang
 from documents where doc_id % 10 <> 0""",
+    "v_lines": """
+<<select doc_id, source, lang, cast(pos + 1 as bigint) as line_no, line from (select doc_id, source, lang, posexplode(split(text, chr(10))) as (pos, line) from documents) x|||
+select doc_id, source, lang, cast(generate_subscripts(split(text, chr(10)), 1) as bigint) as line_no, unnest(split(text, chr(10))) as line from documents>>""",
+    "v_chunks": """
+select concat(source, '-', cast(doc_id as string), '-', cast(line_no as string)) as chunk_id, doc_id, source, lang, 1 + cast(floor((line_no - 1) / 5.0) as bigint) as page, line_no as chunk, line as text
+from v_lines where trim(line) <> ''""",
+    "v_pages_first": "select page, chunk_id from (select page, chunk_id, row_number() over (partition by page order by chunk_id) as rn from v_chunks) x where rn <= 20",
+    "v_questions": """
+select conv_id * 100 + turn as question_id, text from conversations where role = 'user'
+union all select 1000000000 + o_orderkey, concat('importe total de EST-', cast(o_orderkey % 1000 as string), '-', cast(year(o_orderdate) as string), ' para el cliente ', c_name, ' trimestre ', cast(quarter(o_orderdate) as string)) from orders join customer on o_custkey = c_custkey
+union all select 2000000000 + p_partkey, concat('articulo ', cast(p_size as string), ' tabla 3.1 pag. ', cast(p_size % 9 + 1 as string), ' clase a1 seccion 0,2 mm2 ', lower(p_name)) from part""",
+    # Dictionaries are inputs of a user; these few rows stand for them.
+    "v_terms": "select * from (values ('with', 'web', true), ('that', 'books', true), ('tion', 'forum', true), ('this', 'web', false), ('importe', 'tenders', true), ('cliente', 'tenders', false), ('articulo', 'norms', true), ('tabla', 'norms', false)) as t(term, domain, is_strong)",
+    "v_rules": "select * from (values (1, 'importe', 'valor de la oferta'), (2, 'cliente', 'nombre del cliente'), (3, 'tabla', 'filas de la tabla'), (4, 'that', 'which one')) as t(rule_no, if_any, emits)",
+    "v_fields": "select * from (values ('importe', 'amount'), ('total', 'amount'), ('cliente', 'client'), ('trimestre', 'quarter'), ('seccion', 'section')) as t(synonym, field)",
+    "v_layers": "select * from (values ('src0', 8), ('src1', 4), ('src2', -5)) as t(source, boost)",
+    "v_profiles": "select * from (values ('src0', 'legal'), ('src0/en', 'legal_en'), ('src1', 'manual'), ('src2/de', 'norm')) as t(prefix, profile)",
+    "v_page_refs": "select * from (values ('src0', 1, 2, 'itc-01'), ('src0', 2, 4, 'itc-02'), ('src3', 1, 1, 'annex-1')) as t(source, lo, hi, ref)",
 }
 
+#: Letters of the corpus languages and the same letters without their marks.
+MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçÿý"
+PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+#: What a query's text calls a function: its name in Spark, its name in the other engine.
+NAMES = {"ARR_FILTER": ("filter", "list_filter"), "ARR_MAP": ("transform", "list_transform"), "LEN": ("size", "len"), "JOIN_ARR": ("array_join", "array_to_string"), "RX": ("regexp_like", "regexp_matches"), "EXPLODE": ("explode", "unnest"), "strpos_of": ("instr", "instr")}
+
+
+def dialect(text: str, spark: bool) -> str:
+    """A query's text for Spark or for the engine that checks it: NAMES, <<one|||other>>, <g> (replace all), λx: (a lambda), BARE(x) (lower case without marks) and JSON_K(x)."""
+    text = re.sub(r"<<(.*?)\|\|\|(.*?)>>", lambda m: m[1 if spark else 2], text, flags=re.S)
+    for name, both in NAMES.items():
+        text = re.sub(rf"\b{name}\(", both[not spark] + "(", text)
+    text = text.replace("<g>", "" if spark else ", 'g'")
+    text = re.sub(r"λ(\w+):", r"\1 ->" if spark else r"lambda \1:", text)
+    text = re.sub(r"BARE\((\w+)\)", rf"translate(lower(\1), '{MARKED}', '{PLAIN}')" if spark else r"lower(strip_accents(\1))", text)
+    return re.sub(r"JSON_K\((\w+)\)", r"get_json_object(\1, '$.k')" if spark else r"json_extract_string(\1, '$.k')", text)
+
 
 def needed(text: str, names: dict | list) -> list[str]:
     return [n for n in names if re.search(rf"\b{n}\b", text)]
@@ -57,14 +92,22 @@ def load(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
 
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    frames = load(spark, sf_dir, text)
-    body = re.sub(r"JSON_K\((\w+)\)", r"get_json_object(\1, '$.k')", text)
+    body = dialect(text, spark=True)
+    frames = load(spark, sf_dir, body)
     body = re.sub(rf"\b(from|join)(\s+)({'|'.join(frames)})\b", r"\1\2{\3}", body) if frames else body
     return spark.sql(body, **{n: frames[n] for n in frames if "{" + n + "}" in body})
 
 
+def all_needed(text: str) -> list[str]:
+    """The views that a query's text names and those that these name, each after those it needs."""
+    found: list[str] = []
+    for v in needed(text, VIEWS):
+        found += [x for x in [*all_needed(VIEWS[v]), v] if x not in found]
+    return found
+
+
 def oracle(text: str) -> str:
     """The query with its views as common table expressions."""
-    ctes = [f"{v} as ({VIEWS[v]})" for v in needed(text, VIEWS)]
+    ctes = [f"{v} as ({VIEWS[v]})" for v in all_needed(text)]
     body = text if not ctes else (f"with {', '.join(ctes)}, {text.strip()[5:]}" if text.strip().startswith("with ") else f"with {', '.join(ctes)} {text}")
-    return re.sub(r"JSON_K\((\w+)\)", r"json_extract_string(\1, '$.k')", body)
+    return dialect(body, spark=False)
