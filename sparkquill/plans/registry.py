@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import corpus, relational, retrieval
+from ..operators import corpus, relational, retrieval, vectors
 from ..sources import views
 from ..streaming import streams
 
@@ -26,8 +26,8 @@ def spark_text(text: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(ask, text) for name, text in SHARED.items()} | retrieval.QUERIES | streams.QUERIES
+    return {name: partial(ask, text) for name, text in SHARED.items()} | retrieval.QUERIES | vectors.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: views.oracle(text).replace("cardinality_of(", "len(") for name, text in SHARED.items()} | retrieval.SQL | streams.SQL
+    return {name: views.oracle(text).replace("cardinality_of(", "len(") for name, text in SHARED.items()} | retrieval.SQL | vectors.SQL | streams.SQL
