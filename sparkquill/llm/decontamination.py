@@ -22,7 +22,8 @@ from .text import U, grams, mix, ragged, span_hashes, text_slices, word_spans
 WINDOW = 8
 #: Share of an item's template windows that must be found at one place.
 COVER = 0.6
-#: An item must have at least so many words that are no placeholders in what was found.
+#: So many words that are no placeholders must be in what was found, or all that the item has, if fewer. What holds none of them,
+#: or is less than that, counts only as a word-for-word copy of the whole item.
 LITERALS = 6
 #: Benchmark windows that one broadcast block holds; more items make more blocks, each joined with all texts.
 BLOCK_WINDOWS = 2_000_000
@@ -154,7 +155,8 @@ def find(index: dict, cover: float, literals: int):
                     if len(part) < cover * n:
                         continue
                     covered = np.unique(ragged(hits[3, part], np.full(len(part), k)))
-                    if int((item_kind[covered] == LITERAL).sum()) < min(literals, len(item_own)):
+                    enough = int((item_kind[covered] == LITERAL).sum()) >= max(min(literals, int((item_kind == LITERAL).sum())), 1)
+                    if not enough and not (len(covered) == len(item_own) and (item_own == own[covered + start]).all()):
                         continue
                     good, slots, changed = consistent(item_kind[covered], item_own[covered], own[covered + start])
                     if good:
