@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>|[^<]+|<""", re.S)
 #: Fixed values of HTML: elements whose content is no text, elements without content, elements inside a line.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "title", "canvas", "math", "audio", "video"}
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "address"}
@@ -48,7 +49,7 @@ def blocks(page: str) -> list[tuple]:
     """(text, words, link words, in_article, in_boiler, hinted, label) for each block of text, in page order."""
     out: list[tuple] = []
     stack: list[tuple[str, int, int, int, int]] = []  # tag, then what holds inside it: article, boiler, hint, label
-    text, link, raw = [], 0, ""
+    text, link = [], 0
     linked: list[str] = []
 
     def flush() -> None:
@@ -60,12 +61,9 @@ def blocks(page: str) -> list[tuple]:
         text.clear()
         linked.clear()
 
-    for m in TOKEN.finditer(page):
-        tag = m[2]
-        if raw:
-            if tag and m[1] and tag.lower() == raw:
-                raw = ""
-            continue
+    at = 0
+    while m := TOKEN.match(page, at):
+        at, tag = m.end(), m[2]
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 s = html.unescape(m[0])
@@ -75,7 +73,9 @@ def blocks(page: str) -> list[tuple]:
             continue
         tag = tag.lower()
         if tag in RAW and not m[1]:
-            raw = "" if m[3].endswith("/") else tag
+            if not m[3].endswith("/"):  # what is inside is no markup; without an end tag it goes on to the page's end
+                end = END[tag].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if tag == "a":
             link = 0 if m[1] else 1
@@ -91,9 +91,9 @@ def blocks(page: str) -> list[tuple]:
             continue
         if m[1]:
             link = 0 if tag not in INLINE else link
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if at >= 0:
-                del stack[at:]
+            opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            if opened >= 0:
+                del stack[opened:]
             continue
         while stack and (stack[-1][0] == "p" or stack[-1][0] == tag in ("li", "tr", "td", "th", "dt", "dd", "option")):
             stack.pop()

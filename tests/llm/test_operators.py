@@ -191,6 +191,12 @@ def test_pages(spark):
         assert "©" not in r.text and r.text.split("\n")[0] and len(r.text.split("\n")) >= inner.count("<h1>")
 
 
+@pytest.mark.parametrize("script", ["<script>for(var i=0;i<n;i++){go(i)}</script>", "<script>if(a<b){x=\"it's\"}</SCRIPT >", "<style>a:before{content:'<b'}</style>", "<script>var s='don\"t <p'; // isn't</script>", "<script src='x'/>"])
+def test_text_after_scripts_stays(script):
+    page = f"<body><article><p>Before it.</p>{script}<p>After it.</p></article><p>Last.</p>"
+    assert [b[0] for b in html_extract.blocks(page)] == ["Before it.", "After it.", "Last."]
+
+
 def test_statistics_and_rules(spark, odd):
     for df in (docs(spark), odd, odd.limit(0)):
         want = []
