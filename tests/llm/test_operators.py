@@ -248,6 +248,24 @@ def test_items_of_few_literals_are_found(spark):
     assert leaked(spark, ["We had it. Add 7 apples", "He wrote 1 2 3 4 down"], items) == [(0, 1)]
 
 
+def test_reparameterised_items_are_found(spark):
+    items = [
+        "A shop sells twelve red lamps for $40 each and gives some of it back to you",
+        "Anna walks to the shop and buys bread for three days before she goes home",
+        "Every day the old boat of Anna sails along the coast at 40km an hour and turns back near Boston when the wind has reached 15% of its force",
+    ]
+    texts = [
+        "Well. " + items[0].replace("$40", "$1,250") + ".",
+        "Well. " + items[0].replace("$40", "\u20ac7") + ".",
+        "Well. " + items[1].replace("Anna", "Maria") + ".",
+        "Well. " + items[1].replace("Anna", "Mary Ann") + ".",
+        "Well. " + items[2].replace("Anna", "Mary Ann").replace("40km", "7 mi").replace("15%", "20 percent") + ".",
+        "Well. " + items[0].replace("$40", "a") + ".",
+        "Well. " + items[2].replace("along the coast", "along the long coast") + ".",
+    ]
+    assert leaked(spark, texts, items) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (6, 2)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
