@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents with a similarity of 0.8 or more, in shingles of five words, the one with the smallest key."""
     keyed = docs.withColumn("__key", row_key())
-    found = ngram_join.jaccard_components(keyed, key="__key", k=5, num=80, den=100)
+    found = ngram_join.jaccard_components(keyed, key="__key", k=5, num=80, den=100, links=False)
     keepers = found.groupBy("__key").agg(F.min("component_id").alias("least"), F.count("*").alias("__n")).where("least = __key").select("__key", "__n")
     kept = keyed.join(keepers, "__key")
     once = kept.where("__n = 1").select(docs.columns)

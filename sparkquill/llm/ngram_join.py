@@ -12,6 +12,9 @@ large tiles that have a partner by size and place, are sent signatures.
 Copies with edits would make all pairs of a group. So first each node is compared with the first node
 of its band of sizes only, where they share a third of the prefix; the links found give components, and
 then only pairs from different components are looked at, all of them.
+
+So not all links inside a component are met on the way. Where some may be missing, the component's sets are
+dealt into blocks, and each pair of blocks is a task of its own that intersects all sets of the one with all of the other.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ LEAST = 3
 DENSE = 4
 #: Pairs of one node that one task intersects.
 GROUP = 256
+#: Nodes of a component, and shingles of theirs, in a block whose links are counted in one task with another block's.
+LINK_NODES, LINK_SHINGLES = 256, 1 << 20
+#: Shingles that are columns of one matrix there.
+LINK_COLUMNS = 4096
 #: Bits of a signature: the power of two at or above four times the set's size, between these.
 BITS = (64, 16384)
 LISTED, SIGNED = 0, 1
@@ -410,10 +417,69 @@ def exact(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Data
     return rows.select("a", "part", "node", "data").mapInArrow(intersect(num, den), PAIRS).distinct()
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable over links), n_links for each row.
+def count_links(num: int, den: int):
+    """Groups (component, i, j) with the sets of blocks i and j to the links of each node in them; rows come in the order of groups."""
+    schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64())])
+
+    def counted(i: int, j: int, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        last = {node: (block, data) for node, block, data in held}  # copies in another batch give the same set again
+        node, block = np.array(list(last)), np.array([b for b, _ in last.values()])
+        parts = [np.frombuffer(d, U) for _, d in last.values()]
+        n = np.array([len(h) for h in parts])
+        row = np.repeat(np.arange(len(n)), n)
+        _, column, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]  # shingles of one set alone are in no intersection
+        row, column = row[column >= 0], column[column >= 0]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        left, right = (block == i).nonzero()[0], (block == j).nonzero()[0]
+        same = np.zeros((len(left), len(right)), np.int64)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, LINK_COLUMNS):
+            a, b = np.searchsorted(column, [lo, lo + LINK_COLUMNS])
+            has = np.zeros((len(n), LINK_COLUMNS), np.float32)
+            has[row[a:b], column[a:b] - lo] = 1
+            same += (has[left] @ has[right].T).astype(np.int64)
+        linked = den * same >= num * (n[left][:, None] + n[right][None, :] - same)
+        linked &= node[left][:, None] != node[right][None, :]
+        links = np.zeros(len(n), np.int64)
+        links[left] = linked.sum(axis=1)
+        if i != j:
+            links[right] = linked.sum(axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for b in batches:
+            for component, i, j, block, node, data in zip(*(b.column(c).to_pylist() for c in ("component", "i", "j", "own", "node", "data"))):
+                if (component, i, j) != group:
+                    if held:
+                        yield counted(*group[1:], held)
+                    group, held = (component, i, j), []
+                held.append((node, block, data))
+        if held:
+            yield counted(*group[1:], held)
+
+    return run
+
+
+def all_links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """node, n_links for the nodes of components not all of whose pairs are links that are known. found: node, n, component, n_links (known); docs: one column, the text."""
+    spark = docs.sparkSession
+    sizes = found.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_links").alias("known"), F.sum("n").alias("shingles")).where("known < m * (m - 1)")
+    sizes = sizes.selectExpr("component", f"cast(ceil(greatest(m / {LINK_NODES}, shingles / {LINK_SHINGLES})) as int) parts")
+    dealt = stage(found.join(sizes, "component").select("component", "node", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("own")), "dealt")
+    bits = spark.sparkContext.broadcast(node_filter(dealt))
+    arrays = docs.mapInArrow(map_arrays(k, bits), "node long, data binary")
+    rows = dealt.join(arrays, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "data")
+    rows = rows.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    return rows.mapInArrow(count_links(num, den), "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, links: bool = True) -> DataFrame:
+    """key, n_shingles, component_id (the smallest key reachable over links) and, if links, n_links for each row.
 
-    n_links counts the links with other sets that were looked at; those of sets that are in one component anyway may not be.
+    n_links counts the other sets that a row's set links with, each of them, in whatever component.
 
     Two rows link when den * intersection >= num * union of their sets of k-word shingles. Null and
     wordless texts have an empty set, link with nothing and are their own component, as are rows with a
@@ -425,7 +491,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), text)
     passed = stage(texts.mapInArrow(map_classes(k), CLASSES), "classes")
     classes = passed.where("slice is null").select("doc_id", "node", "n")
-    nodes = classes.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    nodes = classes.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     parts = passed.where("slice is not null").select("slice", "data").repartition(min(n, SLICES), "slice").mapInArrow(add_sketches, "slice int, data binary").collect()
     counts = np.zeros(SKETCH, np.uint8)
     for r in parts:
@@ -445,15 +511,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = sieved.where(f"kind = {ROW}").select("a", "b", "c", "d", "side", "comp").unionByName(two)
     rows = rows.join(signed.dropDuplicates(["b"]), "b").select("a", "b", "c", "d", "side", "comp", "sig").repartition(n, "a")
     more = exact(only_text, rows.mapInArrow(compare_tiles(num, den), PAIRS).distinct(), k, num, den)
-    links = stage(first.unionByName(more).distinct(), "all-links")
-    reps = nodes.withColumnRenamed("node", "a")
-    by_rep = links.join(reps, "a").withColumnRenamed("rep", "u").join(nodes.withColumnRenamed("node", "b"), "b").select("u", F.col("rep").alias("v"))
+    linked = stage(first.unionByName(more).distinct(), "all-links")
+    reps = nodes.select("node", "rep")
+    by_rep = linked.join(reps.withColumnRenamed("node", "a"), "a").withColumnRenamed("rep", "u").join(reps.withColumnRenamed("node", "b"), "b").select("u", F.col("rep").alias("v"))
     joined = connected(by_rep).selectExpr("id rep", "component")
-    degree = links.selectExpr("inline(array(struct(a as node), struct(b as node)))").groupBy("node").agg(F.count("*").alias("n_links"))
-    found = nodes.join(joined, "rep", "left").join(degree, "node", "left").select("node", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return classes.join(found, "node", "left").select(
+    found = nodes.join(joined, "rep", "left").select("node", "n", F.coalesce("component", "rep").alias("component"))
+    if links:
+        degree = linked.selectExpr("inline(array(struct(a as node), struct(b as node)))").groupBy("node").agg(F.count("*").alias("n_links"))
+        found = stage(found.join(degree, "node", "left").select("node", "n", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")), "found")
+        counted = all_links(only_text, found, k, num, den).withColumnRenamed("n_links", "counted")
+        found = found.join(counted, "node", "left").withColumn("n_links", F.coalesce("counted", "n_links"))
+    return classes.join(found.drop("n"), "node", "left").select(
         F.col("doc_id").alias(key),
         F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        *([F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")] if links else []),
     )

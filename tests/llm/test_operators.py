@@ -105,6 +105,20 @@ def test_components(spark, odd, name, k, num):
     same([(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()], brute_components(rows_of(df), k, num, 100))
 
 
+@pytest.mark.parametrize("block", [ngram_join.LINK_NODES, 7])
+def test_all_links_of_edited_copies_are_counted(spark, odd, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "LINK_NODES", block)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(n, " ".join(base[: n % 50] + [f"x{n % 7}", f"z{n // 9}"] + base[n % 50 + n % 5 :])) for n in range(90)]
+    rows += [(200, rows[0][1]), (None, rows[3][1]), (201, "none like this one at all"), (202, None)]
+    sets = [frozenset(zip(w, w[1:], w[2:])) if len(w := WORD.findall(t or "")) > 2 else frozenset() for _, t in rows]
+    distinct = {s for s, (i, _) in zip(sets, rows) if s and i is not None}
+    want = [(i, sum(s != o and 100 * len(s & o) >= 80 * len(s | o) for o in distinct) if s and i is not None else 0) for s, (i, _) in zip(sets, rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same([(r.doc_id, r.n_links) for r in ngram_join.jaccard_components(df, k=3, num=80).collect()], want)
+    assert max(n for _, n in want) > 5
+
+
 def test_large_tiles_are_cut_into_blocks(spark, monkeypatch):
     base = [f"w{i}" for i in range(60)]
     rows = [(n, " ".join(base[: n % 7] + [f"x{n}"] + base[n % 7 :] + [f"y{n // 3}"])) for n in range(90)]
