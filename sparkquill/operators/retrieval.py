@@ -34,12 +34,24 @@ def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = 5, cap: int = 2)
     return capped.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("question_id", "chunk_id", "source", "score", "rank")
 
 
+def every_pair(queries: DataFrame, vectors: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Each query (query_id, q) with each vector but its own. Queries are broadcast in blocks of about MAX_BROADCAST bytes; of: the queries that are counted for that, if not these."""
+    size = (queries if of is None else of).agg(F.sum(F.greatest(F.coalesce(F.size("q"), F.lit(0)), F.lit(0)).cast("long") * 8 + 64)).first()[0] or 0
+    n = max(-(-size // MAX_BROADCAST), 1)
+    out = None
+    for i in range(n):
+        block = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        part = vectors.join(F.broadcast(block), F.col("vec_id") != F.col("query_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def knn_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest vectors by cosine of each query (query_id, q): query_id, vec_id, score, rank. The queries' vectors are a stated, bounded set."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
     q = queries.withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q"))))
     v = vectors.withColumn("vn", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    scored = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("vn")), 5).alias("score"))
+    scored = every_pair(q, v).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("vn")), 5).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

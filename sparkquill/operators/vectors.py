@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .retrieval import knn_topk
+from .retrieval import every_pair, knn_topk
 
 #: Sign bits of a bucket and hash tables. A query also looks at the buckets that differ in up to PROBES bits.
 BITS, TABLES, PROBES = 4, 10, 1
@@ -104,7 +104,7 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, v = asked(spark, sf_dir)
     scored = lambda pairs: pairs.where("query_id <> vec_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("embedding"), F.col("embedding"))), 5).alias("score"))
     inside = scored(q.join(v, q.q_label == v.label)).where("score >= 0.5").withColumn("filtered", F.lit(True))
-    again = scored(q.join(inside.select("query_id").distinct(), "query_id", "left_anti").join(v)).withColumn("filtered", F.lit(False))
+    again = scored(every_pair(q.join(inside.select("query_id").distinct(), "query_id", "left_anti"), v, of=q)).withColumn("filtered", F.lit(False))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return inside.unionByName(again).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
 

@@ -11,6 +11,17 @@ def test_ann_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_queries_go_in_blocks(spark, monkeypatch):
+    for query in (retrieval.knn, vectors.filtered):
+        monkeypatch.setattr(retrieval, "MAX_BROADCAST", 64 << 20)
+        whole = query(spark, SMALL)
+        monkeypatch.setattr(retrieval, "MAX_BROADCAST", 1200)
+        dealt = query(spark, SMALL)
+        joins = [d._jdf.queryExecution().optimizedPlan().toString().count("Join Inner, NOT") for d in (whole, dealt)]
+        assert joins[1] > joins[0] == 1
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, dealt.collect()))
+
+
 def test_chunks_cover_whole_texts():
     text = "abc def. " * 300 + "x" * 2000
     got = list(vectors.pieces(text))
