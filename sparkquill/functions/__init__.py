@@ -1 +1 @@
-"""Spark-native corpus and interaction analytics: functions."""
+"""Functions over columns and tables that several operators share."""

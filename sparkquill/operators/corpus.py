@@ -16,19 +16,16 @@ INTENT = """case when RX(lower(text), 'donde|where|wo ') then 'document_location
 AGGREGATE = "case when RX(lower(text), 'cuant|count|number') then 'count' when RX(lower(text), 'media|average|mean') then 'avg' when RX(lower(text), 'mayor|top|most') then 'top' when RX(lower(text), 'importe|total|sum') then 'sum' end"
 ROUTE = """case when length(trim(text)) < 3 then 'invalid' when RX(lower(text), '^(hola|hello|gracias|thanks)') then 'smalltalk' when RX(lower(text), 'documentos disponibles|inventory') then 'document_inventory'
   when RX(lower(text), 'importe|cliente|oferta') and RX(lower(text), 'articulo|tabla') then 'mixed_scope' when RX(lower(text), 'articulo|tabla|seccion') then 'knowledge' when RX(lower(text), 'importe|cliente|oferta') then 'business_tenders' else 'knowledge' end"""
-#: Question tokens against chunk tokens, distinct, as an equi-join.
-HITS = """asked as (select distinct question_id, token from (select item_id as question_id, EXPLODE(split(lower(text), ' ')) as token from benchmark) a where length(token) >= 6),
- words as (select distinct chunk_id, source, page, doc_id, token from (select chunk_id, source, page, doc_id, EXPLODE(split(lower(text), ' ')) as token from v_chunks) b where length(token) >= 6),
+#: Question tokens against chunk tokens, distinct: containment of a term by an equi-join on tokens.
+HITS = """asked as (select distinct question_id, token from (select item_id as question_id, EXPLODE(TOKENS(text)) as token from benchmark) a),
+ words as (select distinct chunk_id, source, page, doc_id, token from (select chunk_id, source, page, doc_id, EXPLODE(TOKENS(text)) as token from v_chunks) b),
  scored as (select question_id, chunk_id, source, page, doc_id, count(*) as hits from asked join words using (token) group by question_id, chunk_id, source, page, doc_id),
  ranked as (select *, row_number() over (partition by question_id order by hits desc, chunk_id) as rank from scored)"""
 
 QUERIES = {
-    # incremental maintenance
-    "replace_source_chunks": """
-with fresh as (select distinct concat(source, '-', cast(doc_id as string)) as doc from v_sources_new)
-select c.chunk_id, case when f.doc is null then 'deleted' else 'kept' end as change from v_chunks c left join fresh f on f.doc = concat(c.source, '-', cast(c.doc_id as string))""",
+    # sources
     "path_profile_longest_prefix": """
-with found as (select s.path, p.profile, row_number() over (partition by s.path order by length(p.prefix) desc) as rn from v_sources s left join v_profiles p on s.path = p.prefix or s.path like concat(p.prefix, '/%'))
+with found as (select s.path, p.profile, row_number() over (partition by s.path order by length(p.prefix) desc) as rn from v_sources_all s left join v_profiles p on s.path = p.prefix or s.path like concat(p.prefix, '/%'))
 select path, coalesce(profile, 'general') as profile from found where rn = 1""",
     # text and chunks
     "normalize_text": "select doc_id, BARE(text) as normal from documents",
@@ -59,10 +56,10 @@ select question_id, JOIN_ARR(array_sort(array_distinct(ARR_MAP(regexp_extract_al
     "structure_carry_forward": f"""
 select doc_id, line_no, <<last_value(h) ignore nulls|||last_value(h ignore nulls)>> over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section from (select doc_id, line_no, case when {HEADING} then trim(line) end as h from v_lines) x""",
     "row_to_text": "select p_partkey, concat('TABLE_ROW. part. ', concat_ws('; ', concat('name: ', p_name), concat('brand: ', p_brand), concat('type: ', p_type), concat('size: ', cast(p_size as string)))) as row_text from part",
-    "path_tokens": "select path, JOIN_ARR(array_sort(array_distinct(split(regexp_replace(lower(path), '[^a-z0-9]+', ' '<g>), ' '))), ' ') as tokens from v_sources",
+    "path_tokens": "select path, JOIN_ARR(array_sort(array_distinct(split(regexp_replace(lower(path), '[^a-z0-9]+', ' '<g>), ' '))), ' ') as tokens from v_sources_all",
     "toc_detect": "select doc_id, page, max(page) <= 4 and cast(sum(LEN(regexp_extract_all(lower(text), 'art[ií]culo', 0))) as bigint) >= 4 as is_toc from v_chunks group by doc_id, page",
     "source_profile": """
-select s.path, coalesce(o.profile, p.profile, nullif(split_part(s.path, '/', 2), ''), 'general') as domain from v_sources s left join v_profiles o on o.prefix = s.path left join v_profiles p on p.prefix = split_part(s.path, '/', 1)""",
+select s.path, coalesce(o.profile, p.profile, nullif(split_part(s.path, '/', 2), ''), 'general') as domain from v_sources_all s left join v_profiles o on o.prefix = s.path left join v_profiles p on p.prefix = split_part(s.path, '/', 1)""",
     "page_range_refs": "select c.chunk_id, r.ref from v_chunks c join v_page_refs r on c.source = r.source and c.page between r.lo and r.hi",
     "stable_chunk_ids": "select chunk_id, md5(concat_ws(':', concat(source, '/', cast(doc_id as string)), cast(page as string), cast(chunk as string))) as stable_id from v_chunks",
     "chunk_profile": f"select chunk_id, source, page, {INTENT} as intent, length(text) as n_chars, case when RX(text, '^[0-9]+[.][0-9]+[.][0-9]+') then 3 when RX(text, '^[0-9]+[.][0-9]+') then 2 else 1 end as section_level from v_chunks",
@@ -96,9 +93,6 @@ select conv_id, turn, case when route in ('smalltalk', 'invalid') then coalesce(
 with t as (select distinct question_id, token from (select question_id, EXPLODE(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ0-9]+', ' '<g>)), ' ')) as token from v_questions) x),
 e as (select question_id, emits, min(rule_no) as rule_no from t join v_rules on token = if_any group by question_id, emits)
 select question_id, <<listagg(emits, '|') within group (order by rule_no)|||string_agg(emits, '|' order by rule_no)>> as phrases from e group by question_id""",
-    "parse_business_question": """
-select question_id, nullif(regexp_extract(text, 'EST-[0-9]+-[0-9]+', 0), '') as reference, nullif(regexp_extract(text, 'EST-[0-9]+-((19|20)[0-9][0-9])', 1), '') as year, nullif(regexp_extract(lower(text), 'trimestre ([1-4])', 1), '') as quarter,
- nullif(regexp_extract(text, 'cliente ([A-Za-z]+#[0-9]+)', 1), '') as client from v_questions""",
     "detect_aggregate": f"select question_id, case when RX(text, 'EST-[0-9]+') and not RX(lower(text), 'top|mayor') then null else {AGGREGATE} end as kind from v_questions",
     "detect_fields": """
 with t as (select distinct question_id, token from (select question_id, EXPLODE(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ0-9]+', ' '<g>)), ' ')) as token from v_questions) x)
@@ -113,9 +107,6 @@ select * from (select q.question_id, c.chunk_id, row_number() over (partition by
     "candidate_union": f"""
 with {HITS}, lists as (select question_id, chunk_id, 1 as list, rank from ranked where rank <= 10 union all select question_id, chunk_id, 2 as list, row_number() over (partition by question_id order by page, chunk_id) as rank from scored where hits >= 2)
 select question_id, chunk_id, list from (select *, row_number() over (partition by question_id, chunk_id order by list, rank) as rn from lists) x where rn = 1""",
-    "feature_score": f"""
-with {HITS} select question_id, chunk_id, hits, case when page = 1 then 50 else 0 end as page_part, case when hits >= 4 then 28 else 0 end as exact_part, hits + case when page = 1 then 50 else 0 end + case when hits >= 4 then 28 else 0 end as score from scored""",
-    "lexical_feature_score": f"with {HITS} select question_id, chunk_id, 8 + hits + case when page = 1 then 20 else 0 end as score from scored",
     "authority_and_domain_boost": f"with {HITS} select question_id, chunk_id, hits + coalesce(boost, 0) as score from scored s left join v_layers l on l.source = s.source",
     "threshold_with_fallback": f"with {HITS}, t as (select *, max(hits) over (partition by question_id) as best from scored) select question_id, chunk_id, hits from t where hits >= 4 or best < 4",
     "multi_key_sort": f"with {HITS} select question_id, chunk_id, row_number() over (partition by question_id order by hits desc, page, source, chunk_id) as rank from scored",
@@ -136,16 +127,10 @@ select question_id, term, min_by(text, rank) as meaning from d where term <> ''
 with {HITS}, s as (select question_id, count(*) as n, max(hits) as best, count(distinct source) as n_sources from ranked where rank <= 8 group by question_id)
 select q.item_id as question_id, case when n is null then 'empty' when best < 4 then 'poor' when n_sources <= 3 then 'good' else 'mixed' end as quality from benchmark q left join s on s.question_id = q.item_id""",
     # validated memory
-    "review_transition": "select id, case state when 'validated' then 'stored' when 'rejected' then 'removed' else 'waiting' end as memory_action, state = 'validated' and coalesce(route, '') <> 'signup' as in_memory from v_interactions",
-    "purge_contaminated": "select route, count(*) as n_validated, count_if(confidence >= 0.5) as n_in_memory from v_interactions where state = 'validated' and route in ('signup', 'error') group by route",
     # conversations and interactions
     "latest_match_apply": "select m.conv_id, m.turn, i.id from (select conv_id, turn from conversations where role = 'user') m left join (select conversation_id, max(id) as id from v_interactions group by conversation_id) i on i.conversation_id = m.conv_id",
     # business
-    "tender_detail_nested": "select t.id, count(l_orderkey) as n_lines, <<listagg(cast(l_linenumber as string), ',') within group (order by l_linenumber)|||string_agg(cast(l_linenumber as string), ',' order by l_linenumber)>> as line_nos, round(sum(l_extendedprice), 2) as total from v_tenders t left join lineitem on l_orderkey = t.id group by t.id",
-    "work_detail_nested": "select t.id, t.work_name, concat_ws(' ', t.client, t.offer_no) as responsible, count(distinct year(l_shipdate)) as n_years from v_tenders t left join lineitem on l_orderkey = t.id where t.id % 2 = 0 group by t.id, t.work_name, t.client, t.offer_no",
-    "closing_detail": "select id, area, count(*) as n_fields, max(updated_at) as last_update, max(value_text) as largest_text from v_closings group by id, area",
     "derived_measure": "select l_orderkey as id, round(coalesce(sum(case when year(l_shipdate) = 1996 then l_extendedprice end), sum(l_extendedprice), 0), 2) as measure from lineitem group by l_orderkey",
-    "match_or_ambiguous": "select offer_no, count(*) as n, case when count(*) = 1 then 'unique' else 'ambiguous' end as outcome, case when count(*) = 1 then min(id) end as id from v_tenders group by offer_no",
     "field_token_match": """
 with f as (select question_id, field, count(*) as hits from (select question_id, EXPLODE(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ0-9]+', ' '<g>)), ' ')) as token from v_questions) t join v_fields on token = synonym group by question_id, field)
 select * from (select question_id, field, hits, row_number() over (partition by question_id order by hits desc, field) as rank from f) x where rank <= 6""",

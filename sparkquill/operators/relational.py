@@ -9,31 +9,25 @@ QUERIES = {
     "table_scan": "select l_orderkey, l_linenumber, cast(l_extendedprice as double) as price from lineitem where l_quantity > 45",
     "content_hash": "select doc_id, concat(md5(text), ':v1') as stored_hash from documents",
     "corpus_scan_prefer": """
-with files as (select path, regexp_replace(path, '[.](md|pdf)$', '') as stem, path like '%.md' as is_md from v_sources_new)
+with files as (select path, regexp_replace(path, '[.](md|pdf)$', '') as stem, path like '%.md' as is_md from v_sources_all)
 select f.path from files f left join files m on f.stem = m.stem and m.is_md and not f.is_md where m.stem is null""",
-    "incremental_diff": """
-select coalesce(n.path, o.path) as path, case when o.path is null then 'added' when n.path is null then 'removed' when n.hash <> o.hash then 'updated' else 'unchanged' end as change
-from v_sources o full outer join v_sources_new n on o.path = n.path""",
     "registry_upsert": """
 select coalesce(n.path, o.path) as path, coalesce(n.hash, o.hash) as hash, case when o.path is null then 'pendiente_revision' when n.path is null then 'retirado' else 'vigente' end as state, coalesce(n.source, o.source) as domain
 from v_sources o full outer join v_sources_new n on o.path = n.path""",
-    "indexed_sources": "select source, min_by(hash, path) as file_hash, count(*) as n_files from v_sources group by source",
-    "active_sources": "select path, source from v_sources_new where lang = 'en' and source <> 'src0'",
-    "inventory_grouping": "select source as domain, count(distinct path) as n_documents, min(path) as first_path, max(path) as last_path from v_sources group by source",
+    "indexed_sources": "select source, min_by(hash, path) as file_hash, count(*) as n_files from v_sources_all group by source",
+    "active_sources": "select path, source from v_sources_all where lang = 'en' and source <> 'src0'",
+    "inventory_grouping": "select source as domain, count(distinct path) as n_documents, min(path) as first_path, max(path) as last_path from v_sources_all group by source",
     "embedding_cache_reuse": """
 with keyed as (select doc_id, sha256_text as cache_key from (select doc_id, sha256(concat('v1|', text)) as sha256_text from documents) x)
 select doc_id, cache_key, doc_id <> min(doc_id) over (partition by cache_key) as is_hit from keyed""",
-    "append_interaction": "select event_id as id, max(value) as last_ms, max_by(event_type, ts) as last_type from events group by event_id",
     "cascade_delete": "select c.conv_id, c.turn, c.role from conversations c left join (select distinct conv_id as gone from conversations where conv_id % 7 = 0) d on c.conv_id = d.gone where d.gone is null",
     "archive_split": "select id, case when created_at < timestamp '2024-01-16 00:00:00' then 'cold' else 'hot' end as tier from v_interactions",
     "index_health": "select count(*) as n_chunks, count_if(cardinality_of(embedding) = 64) as n_valid, case when count(*) = 0 then 'empty' when count_if(cardinality_of(embedding) <> 64) > 0 then 'schema_mismatch' else 'ready' end as status from embeddings",
-    "coalescing_upsert": "select run_id, coalesce(conclusion, 'unknown') as conclusion, started_at, completed_at from v_runs",
     # interactions
     "global_metrics": f"select count(*) as total, count_if(state = 'validated') as validated, count_if(state = 'rejected') as rejected, count_if(state = 'pending') as pending, cast(coalesce(sum(prompt_tokens), 0) as bigint) as prompt_tokens, cast(coalesce(sum(completion_tokens), 0) as bigint) as completion_tokens, round(avg(total_ms), 2) as avg_ms, {RATE} as validation_rate from v_interactions where created_at >= timestamp '2024-01-08 00:00:00'",
     "model_metrics": f"""
 select i.model, count(*) as total, cast(sum(prompt_tokens + completion_tokens) as bigint) as tokens, round(cast(sum(prompt_tokens) as double) / 1000000 * cast(max(coalesce(price_in, 0)) as double) + cast(sum(completion_tokens) as double) / 1000000 * cast(max(coalesce(price_out, 0)) as double), 6) as cost, round(avg(total_ms), 2) as avg_ms, {RATE} as validation_rate
 from v_interactions i left join v_prices p on i.model = p.model where i.model is not null group by i.model""",
-    "latency_breakdown": "select round(avg(router_ms), 2) as router_ms, round(avg(rag_ms), 2) as rag_ms, round(avg(llm_ms), 2) as llm_ms, round(avg(db_ms), 2) as db_ms, round(percentile_cont(0.5) within group (order by total_ms), 4) as p50, round(percentile_cont(0.95) within group (order by total_ms), 4) as p95, count(*) as n from v_interactions where router_ms is not null",
     "availability_errors": "select model, count(*) as n_errors from v_interactions where route = 'error' and model is not null and created_at >= timestamp '2024-01-20 00:00:00' group by model",
     "model_comparison": "select coalesce(round(avg(case when model = 'm1' then total_ms end) - avg(case when model = 'm0' then total_ms end), 2), 0) as latency_delta, count_if(model = 'm1') - count_if(model = 'm0') as count_delta, count_if(model = 'm1' and route = 'error') - count_if(model = 'm0' and route = 'error') as error_delta from v_interactions",
     "retrieval_summary": f"select count(*) as total, count_if(state = 'rejected') as rejected, {RATE} as validation_rate, round(avg(cast(confidence as double)), 4) as avg_confidence, count_if(confidence < 0.65) as low_confidence from v_interactions",
@@ -56,13 +50,10 @@ select run_id, count(*) as total, round(avg(total_ms), 2) as avg_ms, {RATE} as v
     "tender_aggregate": "select state, count(*) as n, round(sum(amount), 2) as total, round(avg(amount), 2) as mean, max(amount) as largest from v_tenders group by state",
     "avg_of_top_n": "select round(avg(amount), 2) as mean from (select amount from v_tenders where amount <> 0 order by amount desc, id limit 10) x",
     "top_n": "select id, client, amount from v_tenders order by amount desc, id limit 10",
-    "work_aggregate": "select work_name, count(*) as n, round(sum(amount), 2) as total from v_tenders where id % 2 = 0 group by work_name",
-    "latest_row_per_key": "select id, area, period, line, value_text from (select *, row_number() over (partition by id, coalesce(area, '') order by period desc, updated_at desc, line desc) as rn from v_closings) x where rn = 1",
+    "latest_row_per_key": "select id, area, period, line, value_text from (select *, row_number() over (partition by id, coalesce(area, '') order by period desc, updated_at desc, line desc, value_text desc) as rn from v_closings) x where rn = 1",
     "parse_decimal_locale": "select id, line, try_cast(case when value_text like '%,%' then replace(replace(value_text, '.', ''), ',', '.') else value_text end as decimal(18,2)) as parsed from v_closings",
     "closing_aggregate": """
-with latest as (select * from (select *, row_number() over (partition by id, area order by period desc, updated_at desc, line desc) as rn from v_closings) x where rn = 1)
+with latest as (select * from (select *, row_number() over (partition by id, area order by period desc, updated_at desc, line desc, value_text desc) as rn from v_closings) x where rn = 1)
 select area, count(*) as n, cast(sum(try_cast(replace(value_text, ',', '.') as decimal(18,2))) as double) as total from latest group by area""",
-    "yearly_fanout": "select year(l_shipdate) as y, round(sum(l_extendedprice), 2) as total from lineitem group by year(l_shipdate)",
-    "monthly_unpivot": "select l_orderkey, month(l_shipdate) as m, round(sum(l_extendedprice), 2) as amount from lineitem where l_orderkey % 2 = 0 group by l_orderkey, month(l_shipdate)",
     "listing_sort_filter": "select id, client, amount from v_tenders where state <> 'Adjudicada' order by coalesce(amount, 0) desc, id limit 5",
 }

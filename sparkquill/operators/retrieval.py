@@ -22,12 +22,16 @@ def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = 5, cap: int = 2)
     a token are looked at. BM25 has no document frequency; the average length is over a question's candidates.
     """
     asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    words = chunks.select("chunk_id", "source", F.size(tokens(F.col("text"))).alias("n"), F.explode(tokens(F.col("text"))).alias("token"))
-    counted = words.groupBy("chunk_id", "source", "n", "token").agg(F.count("*").alias("tf"))
-    hits = asked.join(counted, "token")
-    per_question = hits.select("question_id", "chunk_id", "n").distinct().groupBy("question_id").agg(F.avg("n").alias("mean"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    scored = hits.join(per_question, "question_id").groupBy("question_id", "chunk_id", "source").agg(F.round(F.sum(part), 5).alias("score"))
+    split = chunks.select("chunk_id", "source", tokens(F.col("text")).alias("tokens"))  # matched once for each text
+    words = split.select("chunk_id", "source", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counted = words.join(asked.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "source", "n", "token").agg(F.count("*").alias("tf"))
+    # one row for each question and chunk, which the mean and the score are both worked out from
+    pairs = asked.join(counted, "token").groupBy("question_id", "chunk_id", "source", "n").agg(F.sort_array(F.collect_list("tf")).alias("tfs"))
+    means = pairs.groupBy("question_id").agg(F.avg("n").alias("mean"))
+    pairs = pairs.join(means, "question_id")
+    weight = K1 * (1 - B + B * F.col("n") / F.col("mean"))
+    score = F.aggregate("tfs", F.lit(0.0), lambda s, tf: s + tf * (K1 + 1) / (tf + weight))
+    scored = pairs.select("question_id", "chunk_id", "source", F.round(score, 5).alias("score"))
     by_source = Window.partitionBy("question_id", "source").orderBy(F.desc("score"), "chunk_id")
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     capped = scored.withColumn("in_source", F.row_number().over(by_source)).where(F.col("in_source") <= cap)

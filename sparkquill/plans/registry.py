@@ -7,11 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import corpus, relational, retrieval, vectors
+from ..operators import business, corpus, evaluation, maintenance, relational, retrieval, scoring, vectors
 from ..sources import views
 from ..streaming import streams
 
 FLAGSHIP = "answer_questions"
+#: Modules whose queries and SQL are written apart.
+MODULES = (retrieval, vectors, scoring, evaluation, business, maintenance, streams)
 #: Queries whose one text serves Spark and the SQL that checks it.
 SHARED = relational.QUERIES | corpus.QUERIES
 
@@ -26,8 +28,14 @@ def spark_text(text: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(ask, text) for name, text in SHARED.items()} | retrieval.QUERIES | vectors.QUERIES | streams.QUERIES
+    found = {name: partial(ask, text) for name, text in SHARED.items()}
+    for m in MODULES:
+        found |= m.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: views.oracle(text).replace("cardinality_of(", "len(") for name, text in SHARED.items()} | retrieval.SQL | vectors.SQL | streams.SQL
+    found = {name: views.oracle(text).replace("cardinality_of(", "len(") for name, text in SHARED.items()}
+    for m in MODULES:
+        found |= m.SQL
+    return found

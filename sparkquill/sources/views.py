@@ -36,6 +36,9 @@ from lineitem""",
     "v_sources": """
 select concat(source, '/', lang, '/doc_', cast(doc_id as string), case when doc_id % 3 = 0 then '.pdf' else '.md' end) as path, md5(text) as hash, doc_id, source, lang
 from documents where doc_id % 10 <> 2""",
+    "v_sources_all": """
+select concat(source, '/', lang, '/doc_', cast(doc_id as string), case when doc_id % 3 = 0 then '.pdf' else '.md' end) as path, md5(text) as hash, doc_id, source, lang
+from documents""",
     "v_sources_new": """
 select concat(source, '/', lang, '/doc_', cast(doc_id as string), case when doc_id % 3 = 0 then '.pdf' else '.md' end) as path, case when doc_id % 10 = 1 then md5(concat(text, ' edited')) else md5(text) end as hash, doc_id, source, lang
 from documents where doc_id % 10 <> 0""",
@@ -62,17 +65,20 @@ union all select 2000000000 + p_partkey, concat('articulo ', cast(p_size as stri
 #: Letters of the corpus languages and the same letters without their marks.
 MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçÿý"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+#: A letter of the corpus languages.
+LETTERS = "[a-zß-öø-ÿœ]"
 #: What a query's text calls a function: its name in Spark, its name in the other engine.
-NAMES = {"ARR_FILTER": ("filter", "list_filter"), "ARR_MAP": ("transform", "list_transform"), "LEN": ("size", "len"), "JOIN_ARR": ("array_join", "array_to_string"), "RX": ("regexp_like", "regexp_matches"), "EXPLODE": ("explode", "unnest"), "strpos_of": ("instr", "instr")}
+NAMES = {"ARR_FILTER": ("filter", "list_filter"), "ARR_MAP": ("transform", "list_transform"), "LEN": ("size", "len"), "JOIN_ARR": ("array_join", "array_to_string"), "RX": ("regexp_like", "regexp_matches"), "EXPLODE": ("explode", "unnest"), "strpos_of": ("instr", "instr"), "COLLECT": ("collect_list", "list"), "ARRAY_OF": ("array", "list_value")}
 
 
 def dialect(text: str, spark: bool) -> str:
-    """A query's text for Spark or for the engine that checks it: NAMES, <<one|||other>>, <g> (replace all), λx: (a lambda), BARE(x) (lower case without marks) and JSON_K(x)."""
+    """A query's text for Spark or for the engine that checks it: NAMES, <<one|||other>>, <g> (replace all), λx: (a lambda), BARE(x) (lower case without marks), TOKENS(x) (runs of four letters or more) and JSON_K(x)."""
     text = re.sub(r"<<(.*?)\|\|\|(.*?)>>", lambda m: m[1 if spark else 2], text, flags=re.S)
     for name, both in NAMES.items():
         text = re.sub(rf"\b{name}\(", both[not spark] + "(", text)
     text = text.replace("<g>", "" if spark else ", 'g'")
     text = re.sub(r"λ(\w+):", r"\1 ->" if spark else r"lambda \1:", text)
+    text = re.sub(r"TOKENS\((\w+)\)", rf"regexp_extract_all(lower(\1), '({LETTERS}{LETTERS}{LETTERS}{LETTERS}+)', 1)", text)
     text = re.sub(r"BARE\((\w+)\)", rf"translate(lower(\1), '{MARKED}', '{PLAIN}')" if spark else r"lower(strip_accents(\1))", text)
     return re.sub(r"JSON_K\((\w+)\)", r"get_json_object(\1, '$.k')" if spark else r"json_extract_string(\1, '$.k')", text)
 

@@ -3,7 +3,8 @@
 Each stream reads what there is (trigger availableNow) and writes to a folder of the shared checkpoint path, from which
 its result is read; a user who wants an endless stream calls the function that takes and gives a streaming DataFrame.
 Results are written by foreachBatch as a folder for each batch, so a batch that is run again after a failure
-overwrites only itself.
+overwrites only itself. Windows run in update mode and are merged by key, sessions in append mode: a session is given
+once, when the watermark has passed its end, and what comes later than that is dropped.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: How late an event may come; sessions end and repeated questions are forgotten after these times.
 LATE, IDLE, REPEAT = "1 hour", "30 minutes", "300 seconds"
@@ -58,28 +60,37 @@ def review_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").agg(last, F.max("ts").alias("decided_at"))
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over what there is and gives its rows: of all batches, or in mode complete of the last."""
-    spark = stream.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; only in local mode without one a temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sparkquill-")
         spark.sparkContext.setCheckpointDir(base)
-    base, written = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", []
+    return base.rstrip("/")
+
+
+def drain(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what there is and gives its rows. With keys it runs in update mode, and of the rows of a key the last batch's is taken; without in append mode."""
+    spark = stream.sparkSession
+    base, written = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", []
 
     def keep(batch: DataFrame, number: int) -> None:
         path = f"{base}/rows/batch={number}"
         batch.write.mode("overwrite").parquet(path)
         written.append(path)
 
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    paths = written[-1:] if mode == "complete" else sorted(set(written))
-    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
+    stream.writeStream.outputMode("update" if keys else "append").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.option("basePath", f"{base}/rows").schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(*sorted(set(written)))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("r")).select("r.*") if keys else rows.drop("batch")
 
 
-def registered(name: str, operator, mode: str):
+def registered(name: str, operator, keys: list[str] | None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = drain(operator(events(spark, sf_dir)), mode, name)
+        out = drain(operator(events(spark, sf_dir)), name, keys)
         # as in the table: without a time zone
         return out.select(*(F.col(f.name).cast("timestamp_ntz") if f.dataType.typeName() == "timestamp" else f.name for f in out.schema))
 
@@ -87,14 +98,14 @@ def registered(name: str, operator, mode: str):
 
 
 QUERIES = {
-    name: registered(name, f, mode)
-    for name, f, mode in (
-        ("stream_error_window", error_windows, "complete"),
-        ("stream_latency_window", latency_windows, "complete"),
-        ("stream_user_sessions", user_sessions, "complete"),
-        ("stream_slow_alerts", slow_alerts, "append"),
-        ("stream_query_dedupe", deduped, "append"),
-        ("stream_review_state", review_state, "complete"),
+    name: registered(name, f, keys)
+    for name, f, keys in (
+        ("stream_error_window", error_windows, ["hour_start"]),
+        ("stream_latency_window", latency_windows, ["window_start"]),
+        ("stream_user_sessions", user_sessions, None),
+        ("stream_slow_alerts", slow_alerts, None),
+        ("stream_query_dedupe", deduped, None),
+        ("stream_review_state", review_state, ["user_id"]),
     )
 }
 
@@ -104,7 +115,7 @@ SQL = {
 select w as window_start, count(*) as n, round(avg(value * 10), 2) as mean_ms from (select value, unnest([time_bucket(interval '6 hours', ts, timestamp '1970-01-01') - to_hours(6 * i) for i in [0, 1, 2, 3]]) as w from events) x group by w""",
     "stream_user_sessions": """
 with g as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval '30' minute then 1 else 0 end as fresh from events), s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows between unbounded preceding and current row) as no from g)
-select user_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n from s group by user_id, no""",
+select user_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n from s group by user_id, no having max(ts) + interval '90' minute <= (select max(ts) from events)""",
     "stream_slow_alerts": "select event_id, value * 10 as total_ms from events where value * 10 > 500",
     "stream_review_state": "select user_id, arg_max(event_type, {'t': ts, 'e': event_id}) as state, max(ts) as decided_at from events group by user_id",
 }
