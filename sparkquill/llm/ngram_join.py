@@ -4,17 +4,18 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Equal se
 Each node is listed under its prefix: so many of its shingles, rarest first by a count sketch of all
 shingles, that two sets similar enough have LEAST in common. The nodes listed under a shingle, ordered
 by size, are a tile; large tiles are cut into blocks, and pairs of blocks whose sizes can match are
-compared in tasks of their own. A pair whose sizes, places in the prefix and signatures still allow the
-overlap wanted (bits that differ bound it from above) goes to exact intersection of the sorted arrays.
-A pair that is in small tiles only must be in LEAST of them; only its two rows, and the rows of
-large tiles that have a partner by size and place, are sent signatures.
+compared in tasks of their own. Rows of tiles that have a partner by size and place are sent signatures;
+those that still have one, since the bits that differ bound the overlap from above, are sent the sorted
+arrays, and the pairs left are intersected exactly where the tile is, so that no table of pairs is made.
+A pair that is in small tiles only must be in LEAST of them, and is a tile of two rows.
 
 Copies with edits would make all pairs of a group. So first each node is compared with the first node
 of its band of sizes only, where they share a third of the prefix; the links found give components, and
-then only pairs from different components are looked at, all of them.
+then only pairs from different components are looked at, all of them. Links found in a tile join
+components there at once, so that a linked group costs its rows, not its pairs.
 
-So not all links inside a component are met on the way. Where some may be missing, the component's sets are
-dealt into blocks, and each pair of blocks is a task of its own that intersects all sets of the one with all of the other.
+So not all links inside a component are met on the way. To count them, where some may be missing, the component's
+sets are packed into blocks, and each pair of blocks is one group that intersects all sets of the one with all of the other.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import PACKED, PACKED_ARROW, pack, packed_batches, partitions, scatter, stage, unpack
+from .shared import PACKED, PACKED_ARROW, Scratch, buckets, pack, packed_batches, partitions, scatter, stage, unpack
 from .text import U, grams, mix, ragged, span_hashes, text_slices, word_spans
 
 #: Counters of one byte, which stop at 255, of the sketch of shingle counts: 16 MB, whatever the input.
@@ -40,8 +41,10 @@ LEAST = 3
 DENSE = 4
 #: Pairs of one node that one task intersects.
 GROUP = 256
-#: Nodes of a component, and shingles of theirs, in a block whose links are counted in one task with another block's.
-LINK_NODES, LINK_SHINGLES = 256, 1 << 20
+#: Shingles of a tile's block, so that the arrays of two blocks fit a task.
+BLOCK_SHINGLES = 1 << 22
+#: Nodes of a component, and about how many shingles of theirs, in a block whose links are counted with another block's.
+LINK_NODES, LINK_SHINGLES = 2048, 1 << 20
 #: Shingles that are columns of one matrix there.
 LINK_COLUMNS = 4096
 #: Bits of a signature: the power of two at or above four times the set's size, between these.
@@ -82,8 +85,8 @@ def digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U) * U(0x14057B7EF767814F)).view(np.int64)
 
 
-CLASSES = "doc_id long, node long, n long, slice int, data binary"
-CLASSES_ARROW = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("data", pa.binary())])
+CLASSES = "doc_id long, tkey long, node long, n long, slice int, data binary"
+CLASSES_ARROW = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("data", pa.binary())])
 
 
 def map_classes(k: int):
@@ -92,15 +95,15 @@ def map_classes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.uint8)
         for b in batches:
-            for i, j, data, offsets in text_slices(b.column(1)):
+            for i, j, data, offsets in text_slices(b.column(2)):
                 h, at = sets(data, offsets, k)
                 place, times = np.unique((h % U(SKETCH)).astype(np.int64), return_counts=True)
                 sketch[place] = np.minimum(sketch[place] + times, 255)
                 none = pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(digests(h, at)), pa.array(np.diff(at)), *none], schema=CLASSES_ARROW)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(digests(h, at)), pa.array(np.diff(at)), *none], schema=CLASSES_ARROW)
         if sketch.any():
             parts = np.split(sketch, SLICES)
-            none = [pa.nulls(SLICES, pa.int64())] * 3
+            none = [pa.nulls(SLICES, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=CLASSES_ARROW)
 
     return run
@@ -208,17 +211,20 @@ def make_tiles(num: int, den: int):
         x, y, prefix = x[order], y[order], prefix[order]
         cut = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, int)
         yield from emit(STAR, x[cut], y[cut], np.diff(np.append(cut, len(x))), prefix[cut], np.zeros(len(cut)))
-        block = (np.arange(len(tile)) - begin) // BLOCK
-        small = np.repeat(size <= BLOCK, size)
+        weight = np.cumsum(n, dtype=np.int64)
+        weight -= (weight - n)[begin]  # of the tile's rows up to this one
+        block = np.maximum((np.arange(len(tile)) - begin) // BLOCK, weight // BLOCK_SHINGLES)
+        whole = block[begin + np.repeat(size, size) - 1] == 0
+        small = whole
         key = mix(token).view(np.int64)
         yield from emit(ROW, key[small], node[small], n[small], place[small], np.zeros(int(small.sum())))
-        for t in np.flatnonzero(size > BLOCK).tolist():
-            lo = int(np.cumsum(size)[t] - size[t])
+        for t in np.unique(tile[~whole]).tolist():
+            lo = int(begin[np.searchsorted(tile, t)])
             rows = np.arange(lo, lo + size[t])
-            last = int(block[rows[-1]])
-            for i in range(last + 1):
+            blocks = np.unique(block[rows]).tolist()
+            for q, i in enumerate(blocks):
                 left = rows[block[rows] == i]
-                for j in range(i, last + 1):
+                for j in blocks[q:]:
                     right = rows[block[rows] == j]
                     if n[left[-1]] < least[right[0]]:
                         break
@@ -303,8 +309,21 @@ def emitted(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *(pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(part, list(SIEVED_ARROW)[1:]))], schema=SIEVED_ARROW)
 
 
-def compare_tiles(num: int, den: int):
-    """Rows of tiles with signatures and components to pairs of nodes that may be similar enough."""
+def signed_pairs(p: np.ndarray, q: np.ndarray, wanted: np.ndarray, n: np.ndarray, data: np.ndarray, start: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the pairs of rows p, q those whose signatures allow the overlap wanted: bits that differ bound it from above."""
+    for lo in range(0, len(p), 100_000):
+        x, y, w = p[lo : lo + 100_000], q[lo : lo + 100_000], wanted[lo : lo + 100_000]
+        to = np.minimum(width[x], width[y])
+        for t in np.unique(to).tolist():
+            own = np.flatnonzero(to == t)
+            i, j = x[own], y[own]
+            differ = np.bitwise_count(fold(data, start[i], width[i], t) ^ fold(data, start[j], width[j], t)).sum(axis=1, dtype=np.int64)
+            good = (n[i] + n[j] - differ) // 2 >= w[own]
+            yield i[good], j[good]
+
+
+def screen_tiles(num: int, den: int):
+    """Rows of tiles with signatures and components to those rows that have a partner by signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -319,22 +338,61 @@ def compare_tiles(num: int, den: int):
         order = np.lexsort((node, n, key))
         key, node, n, place, side, comp = key[order], node[order], n[order].astype(np.int64), place[order].astype(np.int64), side[order], comp[order]
         start, width = offsets[:-1][order], np.diff(offsets)[order]
-        found_a, found_b = [], []
+        stays = np.zeros(len(key), bool)
         for x, y, wanted in partners(num, den, key, n, place, side, comp):
-            for lo in range(0, len(x), 100_000):
-                p, q, w = x[lo : lo + 100_000], y[lo : lo + 100_000], wanted[lo : lo + 100_000]
-                to = np.minimum(width[p], width[q])
-                for t in np.unique(to).tolist():
-                    own = np.flatnonzero(to == t)
-                    i, j = p[own], q[own]
-                    differ = np.bitwise_count(fold(data, start[i], width[i], t) ^ fold(data, start[j], width[j], t)).sum(axis=1, dtype=np.int64)
-                    good = (n[i] + n[j] - differ) // 2 >= w[own]
-                    found_a.append(node[i[good]])
-                    found_b.append(node[j[good]])
-        if found_a:
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=PAIRS_ARROW)
+            new = ~(stays[x] & stays[y])
+            for i, j in signed_pairs(x[new], y[new], wanted[new], n, data, start, width):
+                stays[i] = stays[j] = True
+        yield from emitted(ROW, *(v[stays] for v in (key, node, n, place, side, comp)))
+
+    return run
+
+
+def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, whatever batches they lie in."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        k = b.column(b.schema.get_field_index(key)).to_numpy()
+        if held and len(k) and k[0] != held[-1].column(b.schema.get_field_index(key))[-1].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo:
+                yield pa.Table.from_batches(held)
+                held = []
+            if hi > lo:
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def intersect_tiles(num: int, den: int):
+    """Rows of tiles with arrays, in the order of tiles, to links that join components: pairs whose signatures allow it are intersected exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches, "a"):
+            key, node, n, place, side, comp = (table.column(c).to_numpy() for c in ("a", "b", "c", "d", "side", "comp"))
+            order = np.lexsort((node, n))
+            key, node, n, place, side, comp = key[order], node[order], n[order].astype(np.int64), place[order].astype(np.int64), side[order], comp[order].copy()
+            arrays = [np.frombuffer(x, U) for x in table.column("data").take(pa.array(order)).to_pylist()]
+            signs = [signature(h) for h in arrays]
+            width = np.array([len(x) for x in signs])
+            start, data = np.cumsum(width) - width, np.frombuffer(b"".join(signs), np.uint8)
+            found = []
+            for x, y, wanted in partners(num, den, key, n, place, side, comp):  # which sees the components joined here
+                for i, j in signed_pairs(x, y, wanted, n, data, start, width):
+                    for p, q in zip(i.tolist(), j.tolist()):
+                        if comp[p] == comp[q]:
+                            continue
+                        own, other = arrays[p], arrays[q]
+                        same = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                        if den * same >= num * (len(own) + len(other) - same):
+                            found.append((node[p], node[q]))
+                            comp[comp == comp[q]] = comp[p]
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=PAIRS_ARROW)
 
     return run
 
@@ -347,8 +405,8 @@ def map_arrays(k: int, bits):
         wanted = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
 
         def rows() -> Iterator[tuple]:
+            seen: set[int] = set()  # nodes of this partition
             for b in batches:
-                seen: set[int] = set()
                 for _, _, data, offsets in text_slices(b.column(0)):
                     h, at = sets(data, offsets, k)
                     nodes = digests(h, at)
@@ -400,13 +458,16 @@ def intersect(num: int, den: int):
     return run
 
 
-def exact(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b: nodes) whose sets are similar enough. docs: one column, the text."""
+def arrays_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, data (its sorted array): one row for each of nodes, and a few others. docs: one column, the text."""
+    bits = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
+    return docs.mapInArrow(map_arrays(k, bits), "node long, data binary").dropDuplicates(["node"])
+
+
+def star_links(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b: nodes), a few for each b, whose sets are similar enough. docs: one column, the text."""
     spark = docs.sparkSession
-    pairs = stage(pairs, "pairs")
-    nodes = pairs.selectExpr("a node").unionByName(pairs.selectExpr("b node")).distinct()
-    bits = spark.sparkContext.broadcast(node_filter(nodes))
-    arrays = docs.mapInArrow(map_arrays(k, bits), "node long, data binary")
+    arrays = arrays_of(docs, pairs.selectExpr("a node").unionByName(pairs.selectExpr("b node")), k)
     # a node of many pairs has them dealt over parts, and its own array sent to each
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     others = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
@@ -417,101 +478,147 @@ def exact(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Data
     return rows.select("a", "part", "node", "data").mapInArrow(intersect(num, den), PAIRS).distinct()
 
 
+BLOCKS = "component long, own int, parts int, data binary"
+BLOCKS_ARROW = pa.schema([("component", pa.int64()), ("own", pa.int32()), ("parts", pa.int32()), ("data", pa.binary())])
+
+
+def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets in the order of (component, own) to one row a block: its shingles, and which of them each set has."""
+    for table in by_group(batches, "block"):
+        parts = [np.frombuffer(d, U) for d in table.column("data").to_pylist()]
+        shingles, which = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.array([len(h) for h in parts])
+        data = pack(table.column("node").to_numpy(), n) + pack(shingles) + pack(which.astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([*(pa.array([table.column(c)[0].as_py()], BLOCKS_ARROW.field(c).type) for c in ("component", "own", "parts")), pa.array([data], pa.binary())], schema=BLOCKS_ARROW)
+
+
+def unpack_block(data: bytes) -> tuple[np.ndarray, ...]:
+    """Nodes, sizes, shingles and the shingles' numbers of all sets of a block."""
+    node, n = unpack(data, "i8", "i8")
+    at = 8 + 16 * len(node)
+    (shingles,) = unpack(data[at:], "u8")
+    at += 8 + 8 * len(shingles)
+    (which,) = unpack(data[at:], "u4")
+    return node, n, shingles, which
+
+
 def count_links(num: int, den: int):
-    """Groups (component, i, j) with the sets of blocks i and j to the links of each node in them; rows come in the order of groups."""
+    """Groups (component, i, j) with blocks i and j to the links of each node in them; rows come in the order of groups."""
     schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64())])
 
-    def counted(i: int, j: int, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        last = {node: (block, data) for node, block, data in held}  # copies in another batch give the same set again
-        node, block = np.array(list(last)), np.array([b for b, _ in last.values()])
-        parts = [np.frombuffer(d, U) for _, d in last.values()]
-        n = np.array([len(h) for h in parts])
+    def counted(held: list[bytes]) -> pa.RecordBatch:
+        blocks = [unpack_block(x) for x in held]
+        _, number = np.unique(np.concatenate([b[2] for b in blocks]), return_inverse=True)
+        node, n = (np.concatenate([b[c] for b in blocks]) for c in (0, 1))
+        base = np.cumsum([0, *(len(b[2]) for b in blocks)])
+        column = number[np.concatenate([b[3].astype(np.int64) + base[i] for i, b in enumerate(blocks)])]
         row = np.repeat(np.arange(len(n)), n)
-        _, column, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        times = np.bincount(column)
         column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]  # shingles of one set alone are in no intersection
         row, column = row[column >= 0], column[column >= 0]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        left, right = (block == i).nonzero()[0], (block == j).nonzero()[0]
-        same = np.zeros((len(left), len(right)), np.int64)
+        half = len(blocks[0][0])
+        left, right = np.arange(half), np.arange(len(n) - len(blocks[-1][0]), len(n))
+        same = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2 ** 24 are exact
         for lo in range(0, int(column[-1]) + 1 if len(column) else 0, LINK_COLUMNS):
             a, b = np.searchsorted(column, [lo, lo + LINK_COLUMNS])
-            has = np.zeros((len(n), LINK_COLUMNS), np.float32)
+            has = np.zeros((len(n), min(LINK_COLUMNS, int(column[-1]) + 1 - lo)), np.float32)
             has[row[a:b], column[a:b] - lo] = 1
-            same += (has[left] @ has[right].T).astype(np.int64)
+            same += has[left] @ has[right].T
+        same = same.astype(np.int64)
         linked = den * same >= num * (n[left][:, None] + n[right][None, :] - same)
         linked &= node[left][:, None] != node[right][None, :]
         links = np.zeros(len(n), np.int64)
         links[left] = linked.sum(axis=1)
-        if i != j:
+        if len(blocks) > 1:
             links[right] = linked.sum(axis=0)
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-        for b in batches:
-            for component, i, j, block, node, data in zip(*(b.column(c).to_pylist() for c in ("component", "i", "j", "own", "node", "data"))):
-                if (component, i, j) != group:
-                    if held:
-                        yield counted(*group[1:], held)
-                    group, held = (component, i, j), []
-                held.append((node, block, data))
-        if held:
-            yield counted(*group[1:], held)
+        for table in by_group(batches, "pair"):
+            yield counted(table.column("data").to_pylist())
 
     return run
 
 
 def all_links(docs: DataFrame, found: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """node, n_links for the nodes of components not all of whose pairs are links that are known. found: node, n, component, n_links (known); docs: one column, the text."""
-    spark = docs.sparkSession
+    n = buckets(docs)
     sizes = found.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_links").alias("known"), F.sum("n").alias("shingles")).where("known < m * (m - 1)")
     sizes = sizes.selectExpr("component", f"cast(ceil(greatest(m / {LINK_NODES}, shingles / {LINK_SHINGLES})) as int) parts")
     dealt = stage(found.join(sizes, "component").select("component", "node", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("own")), "dealt")
-    bits = spark.sparkContext.broadcast(node_filter(dealt))
-    arrays = docs.mapInArrow(map_arrays(k, bits), "node long, data binary")
-    rows = dealt.join(arrays, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "data")
-    rows = rows.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
-    return rows.mapInArrow(count_links(num, den), "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
-
-
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, links: bool = True) -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable over links) and, if links, n_links for each row.
+    rows = dealt.join(arrays_of(docs, dealt, k), "node").withColumn("block", F.xxhash64("component", "own"))
+    rows = rows.repartition(n, "block").sortWithinPartitions("block", "node")
+    blocks = rows.mapInArrow(pack_blocks, BLOCKS).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "own", "data")
+    pairs = blocks.repartition(n, "pair").sortWithinPartitions("pair", "own")
+    return pairs.mapInArrow(count_links(num, den), "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
-    n_links counts the other sets that a row's set links with, each of them, in whatever component.
 
-    Two rows link when den * intersection >= num * union of their sets of k-word shingles. Null and
-    wordless texts have an empty set, link with nothing and are their own component, as are rows with a
-    null key (their component is null). Rows that repeat a key or text are rows of their own; those
-    that share a key are one document for links. An empty table gives an empty table.
-    """
+def linked_sets(docs: DataFrame, key: Column, text: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, tkey (hash of the text), node and n of each row; and links (a, b: nodes) that give the components of all links."""
     spark = docs.sparkSession
-    n = partitions(spark)
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), text)
+    n, scratch = buckets(docs), Scratch(spark)
+    texts = docs.select(key.cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tkey"), text)
     passed = stage(texts.mapInArrow(map_classes(k), CLASSES), "classes")
-    classes = passed.where("slice is null").select("doc_id", "node", "n")
-    nodes = classes.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    classes = passed.where("slice is null").select("doc_id", "tkey", "node", "n")
     parts = passed.where("slice is not null").select("slice", "data").repartition(min(n, SLICES), "slice").mapInArrow(add_sketches, "slice int, data binary").collect()
     counts = np.zeros(SKETCH, np.uint8)
     for r in parts:
         counts[r["slice"] * SKETCH // SLICES :][: SKETCH // SLICES] = np.frombuffer(r["data"], np.uint8)
     sketch = spark.sparkContext.broadcast(counts)
-    only_text = docs.where(F.col(key).isNotNull()).select(text)
-    listed = stage(only_text.mapInArrow(map_listed(k, num, den, n, sketch), PACKED), "listed")
-    tiles = stage(listed.where(f"kind = {LISTED}").repartition(n, "bucket").mapInArrow(make_tiles(num, den), TILES), "tiles")
+    only_text = docs.where(key.isNotNull()).select(text)
+    listed = scratch.stage(only_text.mapInArrow(map_listed(k, num, den, n, sketch), PACKED), "listed")
+    tiles = scratch.stage(listed.where(f"kind = {LISTED}").repartition(n, "bucket").mapInArrow(make_tiles(num, den), TILES), "tiles")
     signed = listed.where(f"kind = {SIGNED}").select(F.expr("cast(conv(hex(substring(data, 1, 8)), 16, -10) as long)").alias("b"), F.expr("substring(data, 9)").alias("sig"))
     stars = tiles.where(f"kind = {STAR}").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("d").alias("d")).where("3 * c >= d")
-    first = stage(exact(only_text, stars.selectExpr("b a", "a b"), k, num, den), "first-links")
+    stars = scratch.stage(stars.selectExpr("b a", "a b"), "stars")
+    first = stage(star_links(only_text, stars, k, num, den), "first-links")
     known = connected(first.selectExpr("a u", "b v")).selectExpr("id b", "component comp")
     listings = tiles.where(f"kind = {ROW}").join(known, "b", "left").select("a", "b", "c", "d", "side", F.coalesce("comp", "b").alias("comp"))
-    sieved = stage(listings.repartition(n, "a").mapInArrow(sieve(num, den), SIEVED), "sieved")
+    sieved = scratch.stage(listings.repartition(n, "a").mapInArrow(sieve(num, den), SIEVED), "sieved")
+    scratch.drop("tiles", "stars")
     pairs = sieved.where(f"kind = {TWO}").groupBy("a", "b").agg(F.max("c").alias("c"), F.max("d").alias("d"), F.max("comp").alias("least"), F.count("*").alias("shared")).where("shared >= least")
     two = pairs.selectExpr("inline(array(struct(xxhash64(a, b) as a, a as b, c, 0 as d, 0 as side, a as comp), struct(xxhash64(a, b) as a, b, d as c, 0 as d, 0 as side, b as comp)))")
     rows = sieved.where(f"kind = {ROW}").select("a", "b", "c", "d", "side", "comp").unionByName(two)
     rows = rows.join(signed.dropDuplicates(["b"]), "b").select("a", "b", "c", "d", "side", "comp", "sig").repartition(n, "a")
-    more = exact(only_text, rows.mapInArrow(compare_tiles(num, den), PAIRS).distinct(), k, num, den)
+    screened = scratch.stage(rows.mapInArrow(screen_tiles(num, den), SIEVED).drop("kind"), "screened")
+    scratch.drop("sieved", "listed")
+    arrays = arrays_of(only_text, screened.selectExpr("b node"), k).withColumnRenamed("node", "b")
+    rows = screened.join(arrays, "b").select("a", "b", "c", "d", "side", "comp", "data").repartition(n, "a").sortWithinPartitions("a")
+    more = rows.mapInArrow(intersect_tiles(num, den), PAIRS)
     linked = stage(first.unionByName(more).distinct(), "all-links")
+    scratch.drop("screened")
+    return classes, linked
+
+
+def similar_groups(docs: DataFrame, key: Column, text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id (the key), tkey (a hash of the text) and group of each row: rows of one group are joined by links between their sets.
+
+    Rows are told apart by key and text, so that two texts of one key are in one group only if they link.
+    A row without words is a group with those of its own key and text alone. Null keys are left out.
+    """
+    classes, linked = linked_sets(docs, key, text, k, num, den)
+    joined = connected(linked.selectExpr("a u", "b v")).selectExpr("id node", "component")
+    rows = classes.where("doc_id is not null").join(joined, "node", "left")
+    return rows.select("doc_id", "tkey", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.xxhash64("doc_id", "tkey")).alias("group"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, links: bool = True) -> DataFrame:
+    """key, n_shingles, component_id (the smallest key reachable over links) and, if links, n_links for each row.
+
+    n_links counts the other sets that a row's set links with, each of them, in whatever component.
+
+    Two rows link when den * intersection >= num * union of their sets of k-word shingles. Null and
+    wordless texts have an empty set, link with nothing and are their own component, as are rows with a
+    null key (their component is null). Rows that repeat a key or text are rows of their own; those
+    that share a key are one document for links. An empty table gives an empty table. Tables that the
+    result reads (classes, links) stay in the shared folder, the others are deleted on the way.
+    """
+    classes, linked = linked_sets(docs, F.col(key), text, k, num, den)
+    only_text = docs.where(F.col(key).isNotNull()).select(text)
+    nodes = classes.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     reps = nodes.select("node", "rep")
     by_rep = linked.join(reps.withColumnRenamed("node", "a"), "a").withColumnRenamed("rep", "u").join(reps.withColumnRenamed("node", "b"), "b").select("u", F.col("rep").alias("v"))
     joined = connected(by_rep).selectExpr("id rep", "component")
