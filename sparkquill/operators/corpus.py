@@ -30,34 +30,17 @@ select path, coalesce(profile, 'general') as profile from found where rn = 1""",
     # text and chunks
     "normalize_text": "select doc_id, BARE(text) as normal from documents",
     "normalize_for_matching": f"select conv_id, turn, {MATCH} as normal from conversations",
-    "html_line_blocks": """
-select page_id, trim(regexp_replace(block, '<[^>]*>', ''<g>)) as line from (select page_id, EXPLODE(regexp_extract_all(html, '<p[^>]*>([^<]*)</p>', 1)) as block from pages) x""",
-    "heading_detect": f"select doc_id, line_no, {HEADING} as is_heading from v_lines",
     "section_blocks": f"""
 with marked as (select doc_id, line_no, line, case when {HEADING} then trim(line) end as heading, case when {HEADING} or trim(line) = '' then 1 else 0 end as breaks from v_lines),
 carried as (select doc_id, line_no, line, breaks, <<last_value(heading) ignore nulls|||last_value(heading ignore nulls)>> over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section,
   cast(sum(breaks) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as bigint) as block from marked)
 select doc_id, block, max(section) as section, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars, <<listagg(line, ' ') within group (order by line_no)|||string_agg(line, ' ' order by line_no)>> as body from carried where trim(line) <> '' group by doc_id, block""",
-    "inline_heading_split": "select doc_id, line_no, regexp_extract(line, '^([A-ZÄÖÜÉ][^.]*)[.] ', 1) as heading, regexp_replace(line, '^[A-ZÄÖÜÉ][^.]*[.] ', '') as rest from v_lines where strpos_of(line, '. ') between 2 and 80",
     "contextualize_chunk": "select chunk_id, concat(concat_ws(' | ', concat('Documento: ', source), concat('Dominio: ', lang), nullif(concat('Pagina: ', cast(page as string)), 'Pagina: 1')), chr(10), text) as full_text from v_chunks",
-    "noise_filter": f"""
-select doc_id, line_no, length(line) < 40 or not RX(line, '[^0-9 .,;:-]') or {LETTERS} < 0.3 * length(line) or (LEN(split(trim(line), ' ')) >= 4 and LEN(array_distinct(split(lower(trim(line)), ' '))) <= 2) as is_noise from v_lines""",
     "encoding_audit": "select source, count(*) as n_lines, count_if(RX(line, '[A-Z][A-Z][A-Z][A-Z]')) as n_shifted, round(cast(count_if(RX(line, '[A-Z][A-Z][A-Z][A-Z]')) as double) / count(*), 6) as share from v_lines group by source",
-    "chunk_kind": "select chunk_id, case when lower(text) like '%tabla%' or LEN(regexp_extract_all(text, '[A-Z]-[0-9]+', 0)) >= 2 then 'table' when RX(text, '[0-9]') then 'numeric' else 'text' end as kind from v_chunks",
-    "chunk_signals": f"select chunk_id, {INTENT} as intent, LEN(regexp_extract_all(text, '[0-9]+', 0)) as n_numbers, nullif(regexp_extract(text, 'pag[.] ([0-9]+)', 1), '') as printed_page from v_chunks",
-    "section_type": "select doc_id, line_no, case when RX(lower(line), '^art') then 'article' when RX(line, '^ITC') then 'itc' when RX(lower(line), '^ann?e') then 'annex' when RX(lower(line), '^cap') then 'chapter' when RX(line, '^[0-9]+[.]') then 'numbered_section' else 'section' end as kind from v_lines",
-    "extract_refs": """
-select question_id, JOIN_ARR(array_sort(array_distinct(ARR_MAP(regexp_extract_all(lower(text), 'articulo ([0-9]+)', 1), λx: lpad(x, 3, '0')))), ',') as articles,
- JOIN_ARR(array_sort(array_distinct(regexp_extract_all(text, 'EST-[0-9]+-[0-9]+', 0))), ',') as codes, JOIN_ARR(array_sort(array_distinct(regexp_extract_all(lower(text), 'pag[.] ([0-9]+)', 1))), ',') as pages from v_questions""",
-    "numeric_terms": """
-select question_id, JOIN_ARR(array_sort(array_distinct(ARR_MAP(regexp_extract_all(lower(text), '[0-9]+(,[0-9]+)? ?(mm2|kv|mm|kw|v|m|a)', 0), λx: replace(x, ' ', '')))), '|') as compact from v_questions""",
-    "labeled_terms": "select question_id, nullif(regexp_extract(lower(text), 'clase ([a-z0-9]+)', 1), '') as class_label, nullif(regexp_extract(lower(text), 'tabla ([0-9.]+)', 1), '') as table_label from v_questions",
     "term_extractors": f"select conv_id, turn, JOIN_ARR(array_sort(array_distinct({WORDS})), ' ') as terms, LEN({WORDS}) as n_terms from conversations",
     "structure_carry_forward": f"""
 select doc_id, line_no, <<last_value(h) ignore nulls|||last_value(h ignore nulls)>> over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section from (select doc_id, line_no, case when {HEADING} then trim(line) end as h from v_lines) x""",
     "row_to_text": "select p_partkey, concat('TABLE_ROW. part. ', concat_ws('; ', concat('name: ', p_name), concat('brand: ', p_brand), concat('type: ', p_type), concat('size: ', cast(p_size as string)))) as row_text from part",
-    "path_tokens": "select path, JOIN_ARR(array_sort(array_distinct(split(regexp_replace(lower(path), '[^a-z0-9]+', ' '<g>), ' '))), ' ') as tokens from v_sources_all",
-    "toc_detect": "select doc_id, page, max(page) <= 4 and cast(sum(LEN(regexp_extract_all(lower(text), 'art[ií]culo', 0))) as bigint) >= 4 as is_toc from v_chunks group by doc_id, page",
     "source_profile": """
 select s.path, coalesce(o.profile, p.profile, nullif(split_part(s.path, '/', 2), ''), 'general') as domain from v_sources_all s left join v_profiles o on o.prefix = s.path left join v_profiles p on p.prefix = split_part(s.path, '/', 1)""",
     "page_range_refs": "select c.chunk_id, r.ref from v_chunks c join v_page_refs r on c.source = r.source and c.page between r.lo and r.hi",

@@ -7,13 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import business, corpus, evaluation, maintenance, relational, retrieval, scoring, vectors
+from ..operators import business, chunks, corpus, evaluation, maintenance, relational, retrieval, scoring, vectors
 from ..sources import views
 from ..streaming import streams
 
 FLAGSHIP = "answer_questions"
 #: Modules whose queries and SQL are written apart.
-MODULES = (retrieval, vectors, scoring, evaluation, business, maintenance, streams)
+MODULES = (retrieval, vectors, scoring, chunks, evaluation, business, maintenance, streams)
 #: Queries whose one text serves Spark and the SQL that checks it.
 SHARED = relational.QUERIES | corpus.QUERIES
 

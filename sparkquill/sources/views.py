@@ -48,6 +48,16 @@ select doc_id, source, lang, cast(generate_subscripts(split(text, chr(10)), 1) a
     "v_chunks": """
 select concat(source, '-', cast(doc_id as string), '-', cast(line_no as string)) as chunk_id, doc_id, source, lang, 1 + cast(floor((line_no - 1) / 5.0) as bigint) as page, line_no as chunk, line as text
 from v_lines where trim(line) <> ''""",
+    # lines with the forms that rules and tables have, so that what looks for them finds some
+    "v_norms": """
+select chunk_id, source, doc_id, page, chunk, case chunk % 4 when 0 then concat('Capítulo ', cast(page as string), ' Objeto') when 1 then '' else concat('Artículo ', cast(chunk as string)) end as section,
+ case chunk % 12 when 0 then concat('Artículo ', cast(chunk % 20 as string), '. Objeto y ámbito. ', text) when 1 then concat('Tabla ', cast(page as string), '.1 circuito C', cast(chunk % 9 + 1 as string), ' C2 fase; ', text) when 2 then concat(text, ' - ', cast(page as string), ' - clase II tipo b2 IP45')
+ when 3 then concat('ITC-BT-', cast(10 + chunk % 50 as string), ' ', text, ' de 0,2 mm2 y 16 A') when 4 then concat('CAPÍTULO I. ', text) when 5 then concat('pasos para la puesta en marcha ', text) when 6 then concat('Real Decreto 842/2002 ', text) when 7 then concat('3.', cast(chunk % 5 as string), ' Medidas en local interior')
+ when 8 then concat('articulo 1 articulo 2 articulo 3 articulo 4 . . . . ', text) when 9 then concat('IT 3.1. ', text, '..... 12') when 10 then concat('debe debe debe ', 'debe debe debe debe debe debe') else text end as text from v_chunks""",
+    # questions that refer to rules, tables, values and labels
+    "v_asks": """
+select question_id, case question_id % 6 when 0 then concat(text, ' segun la ITC-BT-', cast(question_id % 60 as string), ' y la guia 7, tabla 03.1') when 1 then concat(text, ' art. 0', cast(question_id % 9 + 1 as string), ' y articulo 12 del RD 0842/2002, pag. 4 y pagina 5')
+ when 2 then concat('IT 1.2 e IT 1.2 con 0,2 mm2, 16A y 230 V clase II tipo b', cast(question_id % 4 as string), ' IP45 esquema TN-S ', text) when 3 then concat(text, ' IK 08 categoría 3 de 1,5kW') else text end as text from v_questions""",
     "v_pages_first": "select page, chunk_id from (select page, chunk_id, row_number() over (partition by page order by chunk_id) as rn from v_chunks) x where rn <= 20",
     "v_questions": """
 select conv_id * 100 + turn as question_id, text from conversations where role = 'user'
