@@ -48,19 +48,6 @@ select s.path, coalesce(o.profile, p.profile, nullif(split_part(s.path, '/', 2),
     "chunk_profile": f"select chunk_id, source, page, {INTENT} as intent, length(text) as n_chars, case when RX(text, '^[0-9]+[.][0-9]+[.][0-9]+') then 3 when RX(text, '^[0-9]+[.][0-9]+') then 2 else 1 end as section_level from v_chunks",
     # questions
     "clean_question": "select question_id, coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[A-Za-z0-9_]+[.]pdf( [(]pag[.] [0-9]+[)])?', ' '<g>), '[ \t\n]+', ' '<g>)), ''), text) as cleaned from v_questions",
-    "query_intent": f"select question_id, {INTENT} as intent from v_questions",
-    "query_profile": f"""
-with f as (select question_id, {INTENT} as intent, LEN(array_distinct({WORDS})) as n_terms, RX(text, '[0-9]') as has_digit from v_questions)
-select question_id, intent, n_terms, has_digit, least(70, greatest(16, 7 * 4) + case when n_terms >= 4 then 10 else 0 end + case when has_digit then 8 else 0 end) as window_size,
- case intent when 'list' then 10 when 'comparison' then 9 when 'table_lookup' then 12 when 'procedure' then 8 when 'numeric_value' then 7 else 6 end as k from f""",
-    "expected_domains": """
-with t as (select distinct question_id, token from (select question_id, EXPLODE(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ0-9]+', ' '<g>)), ' ')) as token from v_questions) x),
-h as (select question_id, domain, bool_or(is_strong) as strong from t join v_terms on token = term group by question_id, domain), m as (select *, bool_or(strong) over (partition by question_id) as any_strong from h)
-select question_id, domain, strong from m where strong or not any_strong""",
-    "expected_variants": """
-with t as (select distinct question_id, token from (select question_id, EXPLODE(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ0-9]+', ' '<g>)), ' ')) as token from v_questions) x),
-s as (select question_id, domain, cast(sum(length(term)) as bigint) as score from t join v_terms on token = term group by question_id, domain)
-select question_id, domain, score, row_number() over (partition by question_id order by score desc, domain) as rank from s""",
     "route_question": f"select question_id, {ROUTE} as route from v_questions",
     "route_business": "select question_id, case when RX(text, 'EST-[0-9]+') then 'tenders' when RX(lower(text), 'obra') then 'works' when RX(lower(text), 'cliente|oferta|importe') then 'tenders' else 'none' end as module from v_questions",
     "fuzzy_token_match": """
@@ -72,17 +59,6 @@ select conv_id, turn, coalesce(anchor, max(anchor) over (partition by conv_id or
     "route_recovery": f"""
 with r as (select conv_id, turn, {ROUTE} as route from conversations where role = 'user')
 select conv_id, turn, case when route in ('smalltalk', 'invalid') then coalesce(lag(route) over (partition by conv_id order by turn), 'knowledge') else route end as route from r""",
-    "rule_expansion": """
-with t as (select distinct question_id, token from (select question_id, EXPLODE(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ0-9]+', ' '<g>)), ' ')) as token from v_questions) x),
-e as (select question_id, emits, min(rule_no) as rule_no from t join v_rules on token = if_any group by question_id, emits)
-select question_id, <<listagg(emits, '|') within group (order by rule_no)|||string_agg(emits, '|' order by rule_no)>> as phrases from e group by question_id""",
-    "detect_aggregate": f"select question_id, case when RX(text, 'EST-[0-9]+') and not RX(lower(text), 'top|mayor') then null else {AGGREGATE} end as kind from v_questions",
-    "detect_fields": """
-with t as (select distinct question_id, token from (select question_id, EXPLODE(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ0-9]+', ' '<g>)), ' ')) as token from v_questions) x)
-select distinct question_id, field from t join v_fields on token = synonym""",
-    "business_followup": """
-with r as (select question_id, nullif(regexp_extract(text, 'EST-[0-9]+-[0-9]+', 0), '') as ref, split_part(text, ' ', 1) as opening from v_questions)
-select question_id, coalesce(ref, max(ref) over (partition by opening order by question_id rows between 3 preceding and 1 preceding)) as reference from r""",
     # retrieval
     "lexical_contains": f"with {HITS} select question_id, chunk_id, hits, rank from ranked where rank <= 18",
     "page_lookup": """
