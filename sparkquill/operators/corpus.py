@@ -61,30 +61,10 @@ with r as (select conv_id, turn, {ROUTE} as route from conversations where role
 select conv_id, turn, case when route in ('smalltalk', 'invalid') then coalesce(lag(route) over (partition by conv_id order by turn), 'knowledge') else route end as route from r""",
     # retrieval
     "lexical_contains": f"with {HITS} select question_id, chunk_id, hits, rank from ranked where rank <= 18",
-    "page_lookup": """
-select * from (select q.question_id, c.chunk_id, row_number() over (partition by q.question_id order by c.chunk_id) as rank from (select question_id, try_cast(nullif(regexp_extract(lower(text), 'pag[.] ([0-9]+)', 1), '') as bigint) as page from v_questions) q join v_pages_first c on c.page = q.page) x where rank <= 20""",
     "candidate_union": f"""
 with {HITS}, lists as (select question_id, chunk_id, 1 as list, rank from ranked where rank <= 10 union all select question_id, chunk_id, 2 as list, row_number() over (partition by question_id order by page, chunk_id) as rank from scored where hits >= 2)
 select question_id, chunk_id, list from (select *, row_number() over (partition by question_id, chunk_id order by list, rank) as rn from lists) x where rn = 1""",
-    "authority_and_domain_boost": f"with {HITS} select question_id, chunk_id, hits + coalesce(boost, 0) as score from scored s left join v_layers l on l.source = s.source",
-    "threshold_with_fallback": f"with {HITS}, t as (select *, max(hits) over (partition by question_id) as best from scored) select question_id, chunk_id, hits from t where hits >= 4 or best < 4",
     "multi_key_sort": f"with {HITS} select question_id, chunk_id, row_number() over (partition by question_id order by hits desc, page, source, chunk_id) as rank from scored",
-    "capped_diverse_topk": f"""
-with {HITS}, c as (select *, row_number() over (partition by question_id, source order by hits desc, chunk_id) as in_source from ranked), k as (select *, row_number() over (partition by question_id order by case when in_source <= 2 then 0 else 1 end, rank) as final_rank from c)
-select question_id, chunk_id, source, final_rank from k where final_rank <= 6""",
-    "neighbor_expansion": f"""
-with {HITS}, top as (select * from ranked where rank <= 3), near as (select distinct t.question_id, c.chunk_id from top t join (select doc_id, page, chunk_id from v_chunks) c on c.doc_id = t.doc_id and c.page = t.page)
-select n.question_id, n.chunk_id from near n left join top t on n.question_id = t.question_id and n.chunk_id = t.chunk_id where t.chunk_id is null""",
-    "assemble_context": f"""
-with {HITS} select r.question_id, <<listagg(part, ' ## ') within group (order by rank)|||string_agg(part, ' ## ' order by rank)>> as context from (select question_id, rank, concat('[', source, ' (pag. ', cast(page as string), ')] ', chunk_id) as part from ranked where rank <= 5) r group by r.question_id""",
-    "consolidate_definitions": f"""
-with {HITS}, d as (select question_id, rank, regexp_extract(c.text, '^([A-Z][a-zà-ÿ]+)', 1) as term, c.text from (select * from ranked where rank <= 5) r join (select chunk_id, text from v_chunks) c using (chunk_id))
-select question_id, term, min_by(text, rank) as meaning from d where term <> '' group by question_id, term""",
-    "query_dedupe": f"select normal, count(*) as n_asked, min(conv_id * 100 + turn) as first_asked from (select conv_id, turn, {MATCH} as normal from conversations where role = 'user') x group by normal",
-    "retrieval_stats": f"with {HITS} select question_id, count(*) as n, count(distinct source) as n_sources, max(hits) as top_score, min(hits) as bottom_score, max(hits) < 4 as all_below, max_by(source, -rank) as top_source from ranked where rank <= 8 group by question_id",
-    "retrieval_quality": f"""
-with {HITS}, s as (select question_id, count(*) as n, max(hits) as best, count(distinct source) as n_sources from ranked where rank <= 8 group by question_id)
-select q.item_id as question_id, case when n is null then 'empty' when best < 4 then 'poor' when n_sources <= 3 then 'good' else 'mixed' end as quality from benchmark q left join s on s.question_id = q.item_id""",
     # validated memory
     # conversations and interactions
     "latest_match_apply": "select m.conv_id, m.turn, i.id from (select conv_id, turn from conversations where role = 'user') m left join (select conversation_id, max(id) as id from v_interactions group by conversation_id) i on i.conversation_id = m.conv_id",
@@ -96,9 +76,6 @@ select * from (select question_id, field, hits, row_number() over (partition by
     "format_value_locale": "select id, coalesce(concat(<<replace(replace(replace(format_number(cast(amount as decimal(18,2)), 2), ',', '#'), '.', ','), '#', '.')|||replace(replace(replace(format('{:,.2f}', cast(cast(amount as decimal(18,2)) as double)), ',', '#'), '.', ','), '#', '.')>>, ' €'), 'sin dato') as amount_text, coalesce(<<date_format(award_date, 'dd/MM/yyyy')|||strftime(award_date, '%d/%m/%Y')>>, 'sin dato') as award_text from v_tenders",
     "source_traceability": "select module, outcome, count(*) as n from (select case when RX(text, 'EST-[0-9]+') then 'tenders' else 'none' end as module, case when o.id is null then 'not_found' else 'answered' end as outcome from v_questions q left join (select offer_no, min(id) as id from v_tenders group by offer_no) o on o.offer_no = regexp_extract(q.text, 'EST-[0-9]+-[0-9]+', 0)) x group by module, outcome",
     # evaluation
-    "source_overlap": f"""
-with {HITS}, exp as (select distinct question_id, source from scored where hits >= 4), got as (select distinct question_id, source from ranked where rank <= 3)
-select e.question_id, count(*) as n_expected, count(g.source) as n_hit from exp e left join got g on g.question_id = e.question_id and g.source = e.source group by e.question_id""",
     "recall_precision_at_k": f"""
 with {HITS}, exp as (select distinct question_id, source from scored where hits >= 4), got as (select distinct question_id, source from ranked where rank <= 3),
 e as (select question_id, count(*) as n from exp group by question_id), r as (select question_id, count(*) as n from got group by question_id), h as (select question_id, count(*) as n from exp join got using (question_id, source) group by question_id)
@@ -106,15 +83,6 @@ select item_id as question_id, case when e.n is null then 1.0 else round(cast(co
 from benchmark left join e on e.question_id = item_id left join r on r.question_id = item_id left join h on h.question_id = item_id""",
     "answer_basis": "select basis, count(*) as n from (select case when RX(lower(text), 'no dispongo|not available') then 'insufficient' when RX(lower(text), 'parcial|partly') then 'partial' else 'explicit' end as basis from conversations where role = 'assistant') x group by basis",
     "missing_qualifiers": "select conv_id, turn, RX(lower(before), 'excepto|salvo|not|only') and not RX(lower(text), 'excepto|salvo|not|only') as missing from (select conv_id, turn, role, text, lag(text) over (partition by conv_id order by turn) as before from conversations) x where role = 'assistant' and before is not null",
-    "chunk_support": f"""
-with a as (select conv_id, turn, role, {WORDS} as w, lag({WORDS}) over (partition by conv_id order by turn) as c from conversations)
-select conv_id, turn, case when LEN(w) = 0 then null else round(cast(LEN(array_intersect(array_distinct(w), array_distinct(c))) as double) / LEN(array_distinct(w)), 4) end as support from a where role = 'assistant' and c is not null""",
-    "escalation_decision": "select reason, count(*) as n from (select case when confidence < 0.5 then 'low_confidence' when route is null then 'no_route' when confidence < 0.65 then 'weak_support' else 'none' end as reason from v_interactions) x group by reason",
-    "evaluation_report": "select coalesce(route, 'unknown') as route, count(*) as n, count_if(coalesce(route, '') = 'error') as n_errors, round(avg(cast(confidence as double)), 4) as avg_recall, count_if(confidence >= 0.4) as n_above from v_interactions group by coalesce(route, 'unknown')",
-    "baseline_regression": """
-with h as (select coalesce(route, 'unknown') as id, round(avg(case when created_at < timestamp '2024-01-16 00:00:00' then cast(confidence as double) end), 4) as before, round(avg(case when created_at >= timestamp '2024-01-16 00:00:00' then cast(confidence as double) end), 4) as after from v_interactions group by coalesce(route, 'unknown'))
-select id, round(after - before, 4) as delta, after - before < -0.01 as regressed from h""",
-    "quality_gate": "select round(avg(cast(confidence as double)), 4) as recall, round(avg(cast(confidence as double)), 4) >= 0.4 as passes from v_interactions",
     "load_ground_truth": "select i.id, c.text as question, coalesce(i.route, 'unknown') as source from v_interactions i left join conversations c on c.conv_id = i.conversation_id and c.turn = 0 where i.state = 'validated'",
     # batch twins of streams
     "stream_error_window_batch": "select date_trunc('hour', ts) as hour_start, count(*) as n_errors from events where event_type = 'error' group by date_trunc('hour', ts)",

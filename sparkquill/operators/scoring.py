@@ -185,7 +185,7 @@ QUERIES = {
     "structural_anchor": structural_query,
     "source_mention_boost": lambda spark, sf_dir: source_mention(views.run(spark, sf_dir, MENTIONS), views.run(spark, sf_dir, ALL_PATHS)),
     "hybrid_rerank": lambda spark, sf_dir: hybrid_rerank(candidates(spark, sf_dir), spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
-    "greedy_diverse_topk": lambda spark, sf_dir: greedy_select(candidates(spark, sf_dir)),
+    "capped_diverse_topk": lambda spark, sf_dir: greedy_select(candidates(spark, sf_dir)),
     "coverage_repair": lambda spark, sf_dir: coverage_repair(candidates(spark, sf_dir), CLASSES),
 }
 
@@ -232,7 +232,7 @@ f as (select question_id, chunk_id, any_value(n) as n, any_value(mean) as mean,
 b as (select question_id, chunk_id, sum(tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * n / mean))) as bm25 from f group by 1, 2),
 s as (select m.question_id, m.chunk_id, hits, coalesce(bm25, 0) as bm25, list_cosine_similarity(x.embedding::double[], y.embedding::double[]) as cosine from m left join b using (question_id, chunk_id) join embeddings x on x.vec_id = m.question_id % 500 join embeddings y on y.vec_id = m.doc_id % 500)
 select question_id, chunk_id, round(cosine, 5) as cosine, round(bm25, 5) as bm25, round(hits + 9 * cosine + 6 * bm25, 4) as score from s"""),
-    "greedy_diverse_topk": sql("""
+    "capped_diverse_topk": sql("""
 , g as (select question_id, list([{'rank': rank, 'id': chunk_id, 'source': source, 'page': page, 'doc': doc_id}] order by rank, chunk_id) as items from c group by question_id),
 k as (select question_id, list_transform(items, lambda i: i[1].id) as ids, list_transform(list_reduce(items, lambda a, x: case when len(a) < 6 and len(list_filter(a, lambda y: y.source = x[1].source)) < 2 and len(list_filter(a, lambda y: y.doc = x[1].doc and y.page = x[1].page)) < 1 then list_concat(a, x) else a end), lambda i: i.id) as chosen from g),
 f as (select question_id, list_concat(chosen, list_filter(ids, lambda i: not list_contains(chosen, i)))[1:6] as final from k)
