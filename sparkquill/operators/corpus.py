@@ -48,17 +48,12 @@ select s.path, coalesce(o.profile, p.profile, nullif(split_part(s.path, '/', 2),
     "chunk_profile": f"select chunk_id, source, page, {INTENT} as intent, length(text) as n_chars, case when RX(text, '^[0-9]+[.][0-9]+[.][0-9]+') then 3 when RX(text, '^[0-9]+[.][0-9]+') then 2 else 1 end as section_level from v_chunks",
     # questions
     "clean_question": "select question_id, coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[A-Za-z0-9_]+[.]pdf( [(]pag[.] [0-9]+[)])?', ' '<g>), '[ \t\n]+', ' '<g>)), ''), text) as cleaned from v_questions",
-    "route_question": f"select question_id, {ROUTE} as route from v_questions",
-    "route_business": "select question_id, case when RX(text, 'EST-[0-9]+') then 'tenders' when RX(lower(text), 'obra') then 'works' when RX(lower(text), 'cliente|oferta|importe') then 'tenders' else 'none' end as module from v_questions",
     "fuzzy_token_match": """
 with t as (select distinct token from (select EXPLODE(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ]+', ' '<g>)), ' ')) as token from conversations) x where length(token) >= 5)
 select token, term from t join v_terms on substr(token, 1, 4) = substr(term, 1, 4) and abs(length(token) - length(term)) <= 2 and token <> term""",
     "history_inheritance": """
 with q as (select conv_id, turn, text, case when RX(lower(text), '[0-9]|tion') then turn end as anchor from conversations where role = 'user')
 select conv_id, turn, coalesce(anchor, max(anchor) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding)) as anchor_turn from q""",
-    "route_recovery": f"""
-with r as (select conv_id, turn, {ROUTE} as route from conversations where role = 'user')
-select conv_id, turn, case when route in ('smalltalk', 'invalid') then coalesce(lag(route) over (partition by conv_id order by turn), 'knowledge') else route end as route from r""",
     # retrieval
     "lexical_contains": f"with {HITS} select question_id, chunk_id, hits, rank from ranked where rank <= 18",
     "candidate_union": f"""
@@ -67,14 +62,8 @@ select question_id, chunk_id, list from (select *, row_number() over (partition
     "multi_key_sort": f"with {HITS} select question_id, chunk_id, row_number() over (partition by question_id order by hits desc, page, source, chunk_id) as rank from scored",
     # validated memory
     # conversations and interactions
-    "latest_match_apply": "select m.conv_id, m.turn, i.id from (select conv_id, turn from conversations where role = 'user') m left join (select conversation_id, max(id) as id from v_interactions group by conversation_id) i on i.conversation_id = m.conv_id",
     # business
-    "derived_measure": "select l_orderkey as id, round(coalesce(sum(case when year(l_shipdate) = 1996 then l_extendedprice end), sum(l_extendedprice), 0), 2) as measure from lineitem group by l_orderkey",
-    "field_token_match": """
-with f as (select question_id, field, count(*) as hits from (select question_id, EXPLODE(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ0-9]+', ' '<g>)), ' ')) as token from v_questions) t join v_fields on token = synonym group by question_id, field)
-select * from (select question_id, field, hits, row_number() over (partition by question_id order by hits desc, field) as rank from f) x where rank <= 6""",
     "format_value_locale": "select id, coalesce(concat(<<replace(replace(replace(format_number(cast(amount as decimal(18,2)), 2), ',', '#'), '.', ','), '#', '.')|||replace(replace(replace(format('{:,.2f}', cast(cast(amount as decimal(18,2)) as double)), ',', '#'), '.', ','), '#', '.')>>, ' €'), 'sin dato') as amount_text, coalesce(<<date_format(award_date, 'dd/MM/yyyy')|||strftime(award_date, '%d/%m/%Y')>>, 'sin dato') as award_text from v_tenders",
-    "source_traceability": "select module, outcome, count(*) as n from (select case when RX(text, 'EST-[0-9]+') then 'tenders' else 'none' end as module, case when o.id is null then 'not_found' else 'answered' end as outcome from v_questions q left join (select offer_no, min(id) as id from v_tenders group by offer_no) o on o.offer_no = regexp_extract(q.text, 'EST-[0-9]+-[0-9]+', 0)) x group by module, outcome",
     # evaluation
     "recall_precision_at_k": f"""
 with {HITS}, exp as (select distinct question_id, source from scored where hits >= 4), got as (select distinct question_id, source from ranked where rank <= 3),
@@ -83,7 +72,6 @@ select item_id as question_id, case when e.n is null then 1.0 else round(cast(co
 from benchmark left join e on e.question_id = item_id left join r on r.question_id = item_id left join h on h.question_id = item_id""",
     "answer_basis": "select basis, count(*) as n from (select case when RX(lower(text), 'no dispongo|not available') then 'insufficient' when RX(lower(text), 'parcial|partly') then 'partial' else 'explicit' end as basis from conversations where role = 'assistant') x group by basis",
     "missing_qualifiers": "select conv_id, turn, RX(lower(before), 'excepto|salvo|not|only') and not RX(lower(text), 'excepto|salvo|not|only') as missing from (select conv_id, turn, role, text, lag(text) over (partition by conv_id order by turn) as before from conversations) x where role = 'assistant' and before is not null",
-    "load_ground_truth": "select i.id, c.text as question, coalesce(i.route, 'unknown') as source from v_interactions i left join conversations c on c.conv_id = i.conversation_id and c.turn = 0 where i.state = 'validated'",
     # batch twins of streams
     "stream_error_window_batch": "select date_trunc('hour', ts) as hour_start, count(*) as n_errors from events where event_type = 'error' group by date_trunc('hour', ts)",
     "stream_user_sessions_batch": """

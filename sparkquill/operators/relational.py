@@ -16,7 +16,6 @@ select coalesce(n.path, o.path) as path, coalesce(n.hash, o.hash) as hash, case
 from v_sources o full outer join v_sources_new n on o.path = n.path""",
     "indexed_sources": "select source, min_by(hash, path) as file_hash, count(*) as n_files from v_sources_all group by source",
     "active_sources": "select path, source from v_sources_all where lang = 'en' and source <> 'src0'",
-    "inventory_grouping": "select source as domain, count(distinct path) as n_documents, min(path) as first_path, max(path) as last_path from v_sources_all group by source",
     "embedding_cache_reuse": """
 with keyed as (select doc_id, sha256_text as cache_key from (select doc_id, sha256(concat('v1|', text)) as sha256_text from documents) x)
 select doc_id, cache_key, doc_id <> min(doc_id) over (partition by cache_key) as is_hit from keyed""",
@@ -29,7 +28,6 @@ select doc_id, cache_key, doc_id <> min(doc_id) over (partition by cache_key) as
 select i.model, count(*) as total, cast(sum(prompt_tokens + completion_tokens) as bigint) as tokens, round(cast(sum(prompt_tokens) as double) / 1000000 * cast(max(coalesce(price_in, 0)) as double) + cast(sum(completion_tokens) as double) / 1000000 * cast(max(coalesce(price_out, 0)) as double), 6) as cost, round(avg(total_ms), 2) as avg_ms, {RATE} as validation_rate
 from v_interactions i left join v_prices p on i.model = p.model where i.model is not null group by i.model""",
     "availability_errors": "select model, count(*) as n_errors from v_interactions where route = 'error' and model is not null and created_at >= timestamp '2024-01-20 00:00:00' group by model",
-    "model_comparison": "select coalesce(round(avg(case when model = 'm1' then total_ms end) - avg(case when model = 'm0' then total_ms end), 2), 0) as latency_delta, count_if(model = 'm1') - count_if(model = 'm0') as count_delta, count_if(model = 'm1' and route = 'error') - count_if(model = 'm0' and route = 'error') as error_delta from v_interactions",
     "retrieval_summary": f"select count(*) as total, count_if(state = 'rejected') as rejected, {RATE} as validation_rate, round(avg(cast(confidence as double)), 4) as avg_confidence, count_if(confidence < 0.65) as low_confidence from v_interactions",
     "route_summary": f"select coalesce(route, 'unknown') as route, count(*) as total, count_if(state = 'rejected') as rejected, round(avg(cast(confidence as double)), 4) as avg_confidence, {RATE} as validation_rate from v_interactions group by coalesce(route, 'unknown')",
     "weekly_timeline": f"select cast(date_trunc('week', created_at + interval '1' day) as date) as week, count(*) as total, count_if(state = 'rejected') as rejected, round(avg(cast(confidence as double)), 4) as avg_confidence, {RATE} as validation_rate from v_interactions group by cast(date_trunc('week', created_at + interval '1' day) as date)",
@@ -40,13 +38,9 @@ select run_id, count(*) as total, round(avg(total_ms), 2) as avg_ms, {RATE} as v
     "review_queue": "select id, user_id, created_at from v_interactions where state = 'pending' order by created_at desc, id desc limit 50",
     "last_n_turns": "select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc) as rn from conversations) x where rn <= 6",
     "paged_listing": "select run_id, started_at from v_runs order by coalesce(completed_at, started_at) desc, run_id desc limit 11 offset 10",
-    "conversation_list": "select conv_id, count(*) as n_turns, max(turn) as last_turn from conversations group by conv_id",
     "slow_request_alerts": "select id, total_ms, rag_ms, llm_ms from v_interactions where total_ms > 500",
-    "interaction_detail": "select i.id, i.state, i.model, i.created_at, c.text as question from v_interactions i left join conversations c on c.conv_id = i.conversation_id and c.turn = 0",
     # business
-    "ranked_reference_search": "select id, offer_no, client, case when offer_no = 'EST-12-1996' then 0 when lower(offer_no) like '%est-12-%' then 2 else 4 end as rank from v_tenders where lower(offer_no) like '%est-12%' or lower(client) like '%est-12%' order by rank, id limit 20",
     "recent_listing": "select id, offer_no, coalesce(award_date, created_at) as listed_at from v_tenders order by listed_at desc, id desc limit 20",
-    "client_search": "select id, client, offer_no from v_tenders where lower(client) like '%000001%'",
     "tender_aggregate": "select state, count(*) as n, round(sum(amount), 2) as total, round(avg(amount), 2) as mean, max(amount) as largest from v_tenders group by state",
     "avg_of_top_n": "select round(avg(amount), 2) as mean from (select amount from v_tenders where amount <> 0 order by amount desc, id limit 10) x",
     "top_n": "select id, client, amount from v_tenders order by amount desc, id limit 10",
@@ -55,5 +49,4 @@ select run_id, count(*) as total, round(avg(total_ms), 2) as avg_ms, {RATE} as v
     "closing_aggregate": """
 with latest as (select * from (select *, row_number() over (partition by id, area order by period desc, updated_at desc, line desc, value_text desc) as rn from v_closings) x where rn = 1)
 select area, count(*) as n, cast(sum(try_cast(replace(value_text, ',', '.') as decimal(18,2))) as double) as total from latest group by area""",
-    "listing_sort_filter": "select id, client, amount from v_tenders where state <> 'Adjudicada' order by coalesce(amount, 0) desc, id limit 5",
 }

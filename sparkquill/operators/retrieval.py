@@ -75,16 +75,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"), F.array_join(tokens(F.col("text")), " ").alias("joined"))
 
 
-def jaccard_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token-set overlap of each turn with the one before it; an empty side passes."""
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    t = t.withColumn("before", before).where("before is not null").withColumns({"a": F.array_distinct(tokens(F.col("text"))), "b": F.array_distinct(tokens(F.col("before")))})
-    same, all_ = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
-    return t.select("conv_id", "turn", F.when((F.size("a") == 0) | (F.size("b") == 0), True).otherwise(same >= 0.25 * all_).alias("passes"))
-
-
-QUERIES = {"answer_questions": answer_questions, "knn_topk": knn, "tokenize": tokenize, "jaccard_gate": jaccard_gate}
+QUERIES = {"answer_questions": answer_questions, "knn_topk": knn, "tokenize": tokenize}
 
 _TOK = r"regexp_extract_all(lower({0}), '\p{{L}}{{4,}}')"
 SQL = {
@@ -101,7 +92,4 @@ select question_id, chunk_id, source, score, row_number() over (partition by que
 select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 5) as score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 5) desc, v.vec_id) as rank
 from embeddings q join embeddings v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id qualify rank <= 5""",
     "tokenize": f"select doc_id, len({_TOK.format('text')}) as n_tokens, array_to_string({_TOK.format('text')}, ' ') as joined from documents",
-    "jaccard_gate": f"""
-with t as (select conv_id, turn, list_distinct({_TOK.format('text')}) as a, list_distinct({_TOK.format('lag(text) over (partition by conv_id order by turn)')}) as b, lag(text) over (partition by conv_id order by turn) as before from conversations)
-select conv_id, turn, case when len(a) = 0 or len(b) = 0 then true else len(list_intersect(a, b)) >= 0.25 * len(list_distinct(list_concat(a, b))) end as passes from t where before is not null""",
 }
