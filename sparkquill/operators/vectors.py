@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .retrieval import every_pair, knn_topk
 
-#: Sign bits of a bucket and hash tables. A query also looks at the buckets that differ in up to PROBES bits.
-BITS, TABLES, PROBES = 4, 10, 1
+#: Vectors that cells are fitted on, queries of the sample that the number of cells to look at is found with, cells at most, rounds of fitting.
+SAMPLE, TRIED, MAX_CELLS, ROUNDS = 20_000, 256, 4096, 8
 #: Characters of a chunk, characters shared with the one before, and the shortest chunk that is kept.
 CHUNK, OVERLAP, SHORTEST = 450, 90, 80
 #: How far a cut may move to the end of a sentence, and to a space.
@@ -24,28 +24,61 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def sign_bucket(vector: Column, table: int, size: int) -> Column:
-    """BITS signs of the vector's projections on fixed random directions of +1 and -1."""
-    bits = []
-    for b in range(BITS):
-        draw = random.Random(table * BITS + b)
-        direction = F.expr(f"array({', '.join(draw.choice(('1D', '-1D')) for _ in range(size))})")
-        bits.append(F.when(dot(vector, direction) >= 0, 1 << b).otherwise(0))
-    return reduce(lambda x, y: x + y, bits)
-
-
-def ann_topk(queries: DataFrame, vectors: DataFrame, size: int, k: int = 5) -> DataFrame:
+class Cells:
+    """Cells around centres, fitted on a bounded sample, and how many a query must look at for the recall wanted."""
+
+    def __init__(self, sample: np.ndarray, n: int, k: int, recall: float) -> None:
+        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        rng = np.random.default_rng(0)
+        count = max(1, min(int(n**0.5), MAX_CELLS, len(unit) // 4))
+        centres = unit[rng.choice(len(unit), count, replace=False)]
+        for _ in range(ROUNDS):
+            cell = (unit @ centres.T).argmax(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, cell, unit)
+            centres = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, sums, centres)
+            centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+        self.centres = centres
+        # nearest neighbours in the sample are farther apart than in the whole, so the whole has this recall at least
+        asked = unit[:TRIED]
+        score = asked @ unit.T
+        score[np.arange(len(asked)), np.arange(len(asked))] = -2
+        near = np.argsort(-score, axis=1)[:, :k]
+        cell = (unit @ centres.T).argmax(axis=1)
+        place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)  # of each centre for each query
+        needed = np.sort(np.take_along_axis(place, cell[near], axis=1).ravel())
+        self.probes = int(needed[min(int(np.ceil(recall * len(needed))), len(needed)) - 1]) + 1 if len(needed) else 1
+
+    def of(self, rows: DataFrame, vector: str, probes: int) -> DataFrame:
+        """rows, each once for each of its nearest cells, in the column cell; null vectors and those without a direction have none."""
+        shared = rows.sparkSession.sparkContext.broadcast(self.centres)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres = shared.value
+            for b in batches:
+                x = np.stack([np.asarray(v, np.float64) for v in b.column(vector).to_pylist()]) if b.num_rows else np.zeros((0, centres.shape[1]))
+                cells = np.argsort(-(x @ centres.T), axis=1)[:, :probes].astype(np.int32)
+                yield b.append_column("cells", pa.array(list(cells), pa.list_(pa.int32())))
+
+        rows = rows.where(F.col(vector).isNotNull() & (dot(F.col(vector), F.col(vector)) > 0))
+        placed = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cells", ArrayType(IntegerType()))]))
+        return placed.withColumn("cell", F.explode("cells")).drop("cells")
+
+
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, recall: float = 0.95) -> DataFrame:
     """About the k nearest vectors by cosine of each query (query_id, q): query_id, vec_id, score, rank.
 
-    Vectors go to one bucket in each of TABLES tables; a query meets those in its bucket and in the buckets one bit
-    away, by an equi-join. Candidates are scored exactly. Null vectors are left out.
+    Vectors go to one cell each, as many as the square root of their number (MAX_CELLS at most); a query meets, by an
+    equi-join, those of the nearest cells, so many that the sample's own queries find this share of their neighbours.
+    Cells are fitted on SAMPLE vectors, every vector is in one. Candidates are scored exactly. Null vectors are left out.
     """
-    placed = lambda df, v: df.where(F.col(v).isNotNull()).withColumn("place", F.explode(F.array(*[F.struct(F.lit(t).alias("table"), sign_bucket(F.col(v), t, size).alias("bucket")) for t in range(TABLES)])))
-    v = placed(vectors, "embedding").select("vec_id", "embedding", "place")
-    q = placed(queries, "q").withColumn("flip", F.explode(F.array(F.lit(0), *[F.lit(1 << b) for b in range(BITS if PROBES else 0)])))
-    q = q.select("query_id", "q", F.struct(F.col("place.table").alias("table"), F.col("place.bucket").bitwiseXOR(F.col("flip")).alias("bucket")).alias("place"))
+    some = vectors.where(F.col("embedding").isNotNull() & (dot(F.col("embedding"), F.col("embedding")) > 0))
+    sample = [r[0] for r in some.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(SAMPLE).collect()]
+    if len(sample) < 2:
+        return queries.select("query_id").join(vectors.select("vec_id"), F.lit(False)).select("query_id", "vec_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    cells = Cells(np.array(sample, np.float64), some.count(), k, recall)
+    pairs = cells.of(queries.select("query_id", "q"), "q", cells.probes).join(cells.of(vectors.select("vec_id", "embedding"), "embedding", 1), "cell").where("query_id <> vec_id")
     score = F.round(dot(F.col("q"), F.col("embedding")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("embedding"), F.col("embedding"))), 5)
-    pairs = q.join(v, "place").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.first("q").alias("q"), F.first("embedding").alias("embedding"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -94,9 +127,7 @@ def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, v = asked(spark, sf_dir)
-    first = v.where("embedding is not null").select(F.size("embedding")).first()
-    return ann_topk(q, v, first[0] if first else 0)
+    return ann_topk(*asked(spark, sf_dir))
 
 
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:

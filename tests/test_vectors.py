@@ -1,14 +1,33 @@
 """Recall of the approximate search against the exact one; chunks against their own rules."""
 
+import numpy as np
+import pytest
+
 from sparkquill.operators import retrieval, vectors
 
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_ann_recall(spark):
-    exact = {(r.query_id, r.vec_id) for r in retrieval.knn(spark, SMALL).collect()}
-    found = {(r.query_id, r.vec_id) for r in vectors.ann(spark, SMALL).collect()}
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.1"])
+def test_ann_recall(spark, folder):
+    exact = {(r.query_id, r.vec_id) for r in retrieval.knn(spark, folder).collect()}
+    found = {(r.query_id, r.vec_id) for r in vectors.ann(spark, folder).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_ann_looks_at_few_of_vectors_that_lie_in_groups(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, (10 * np.eye(16)[i % 16] + rng.normal(size=16)).tolist()) for i in range(3000)]
+    v = spark.createDataFrame([*rows, (9000, None), (9001, [0.0] * 16)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 100 = 0").selectExpr("vec_id query_id", "embedding q")
+    x = np.array([r[1] for r in rows])
+    cells = vectors.Cells(x, 3000, 5, 0.95)
+    assert cells.probes <= len(cells.centres) / 4
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {(r.query_id, r.vec_id) for r in vectors.ann_topk(q, v).collect()}
+    exact = {(i, int(j)) for i in range(0, 3000, 100) for j in np.argsort(-(unit @ unit[i]))[1:6]}
     assert len(exact & found) >= 0.9 * len(exact)
+    assert vectors.ann_topk(q.limit(0), v.limit(0)).count() == 0
 
 
 def test_queries_go_in_blocks(spark, monkeypatch):
