@@ -221,6 +221,15 @@ _HAS = lambda words: " or ".join(f"contains(c, '{w}')" for w in words)  # noqa:
 _ENTITY = "line"
 for _n, _v in ENTITIES.items():
     _ENTITY = f"replace({_ENTITY}, '&{_n};', '{_v.replace(chr(39), chr(39) * 2)}')"
+REFERENCES = rf"""
+with {_ASKS}, f as (select *, regexp_extract_all(q, '{ITC}') as itcs from q),
+c as (select question_id, q, list_transform(itcs, lambda x: {{'p': coalesce(nullif(regexp_extract(x, 'bt|lat|rat'), ''), 'bt'), 'n': lpad(regexp_extract(x, '[0-9]+$'), 2, '0')}}) as codes from f)
+select question_id, array_to_string(list_transform(regexp_extract_all(q, '{REFERENCE}'), lambda x: regexp_replace(x, '\s+', ' ', 'g')), ', ') as free,
+ array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(q, '{IT_SECTION}', 1), lambda x, i: [x, i::varchar]), lambda y: list_position(regexp_extract_all(q, '{IT_SECTION}', 1), y[1])::varchar = y[2]), lambda y: 'it ' || y[1]), ', ') as it_sections,
+ array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(q, '{ARTICLE}', 1), lambda x, i: [x::int, i]), lambda y: list_position(list_transform(regexp_extract_all(q, '{ARTICLE}', 1), lambda z: z::int), y[1]) = y[2]), lambda y: 'articulo ' || y[1]), ', ') as articles,
+ array_to_string(list_sort(list_distinct(list_concat(flatten(list_transform(codes, lambda x: ['itc-' || x.p || '-' || x.n, 'itc ' || x.p || ' ' || x.n, x.p || '-' || x.n])), list_concat(list_transform(regexp_extract_all(q, '{TABLE}', 1), lambda x: 'tabla ' || regexp_replace(x, '^0+([0-9])', '\1')), flatten(list_transform(list_transform(regexp_extract_all(q, '{DECREE}', 1), lambda x: regexp_replace(regexp_replace(x, '\s+', '', 'g'), '^0+([0-9])', '\1')), lambda x: ['rd ' || x, 'real decreto ' || x])))))), ', ') as exact,
+ array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(q, '{PAGE}', 1), lambda x, i: [x::int, i]), lambda y: y[1] > 0 and list_position(list_transform(regexp_extract_all(q, '{PAGE}', 1), lambda z: z::int), y[1]) = y[2])[1:5], lambda y: y[1]), ', ') as pages,
+ array_to_string(list_sort(list_distinct(list_transform(codes, lambda x: 'ITC-' || upper(x.p) || '-' || x.n)))[1:8], ', ') as itc from c"""
 SQL = {
     "heading_detect": views.oracle(f"with {_NORMS} select chunk_id, {_HEAD} as is_heading from n"),
     "inline_heading_split": views.oracle(rf"""
@@ -238,15 +247,7 @@ f as (select *, list_filter([{", ".join(f"case when contains(c, '{w}') then '{w}
 select chunk_id, kind, case when kind = 'table' or contains(c, 'tabla') then 'table' when regexp_matches(c, '{NUMBER}') then 'numeric_value' {" ".join(f"when {_HAS(w)} then '{i}'" for i, w in INTENTS.items())} else 'text' end as intent,
  case when len(found) > 0 then array_to_string(found[1:8], ', ') when length(s) >= 6 then s[1:60] else '' end as scopes, len(regexp_extract_all(text, '{CIRCUIT}')) + len(regexp_extract_all(b, '{TABLE_WORD}')) as table_signals, regexp_extract(text, '{PRINTED_PAGE}', 1) as printed_page from f"""),
     "section_type": views.oracle(f"with {_NORMS} select chunk_id, case when text = '' then '' when starts_with(b, 'articulo') or starts_with(b, 'art.') then 'article' when starts_with(b, 'itc-') or starts_with(b, 'itc ') then 'itc' when regexp_matches(b, '^it +[0-9]') then 'technical_instruction' when starts_with(b, 'anexo') then 'annex' when starts_with(b, 'disposicion') then 'disposition' when starts_with(b, 'capitulo') or starts_with(b, 'titulo') then 'chapter' when regexp_matches(b, '^[0-9]') then 'numbered_section' else 'section' end as kind from n"),
-    "extract_refs": views.oracle(rf"""
-with {_ASKS}, f as (select *, regexp_extract_all(q, '{ITC}') as itcs from q),
-c as (select question_id, q, list_transform(itcs, lambda x: {{'p': coalesce(nullif(regexp_extract(x, 'bt|lat|rat'), ''), 'bt'), 'n': lpad(regexp_extract(x, '[0-9]+$'), 2, '0')}}) as codes from f)
-select question_id, array_to_string(list_transform(regexp_extract_all(q, '{REFERENCE}'), lambda x: regexp_replace(x, '\s+', ' ', 'g')), ', ') as free,
- array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(q, '{IT_SECTION}', 1), lambda x, i: [x, i::varchar]), lambda y: list_position(regexp_extract_all(q, '{IT_SECTION}', 1), y[1])::varchar = y[2]), lambda y: 'it ' || y[1]), ', ') as it_sections,
- array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(q, '{ARTICLE}', 1), lambda x, i: [x::int, i]), lambda y: list_position(list_transform(regexp_extract_all(q, '{ARTICLE}', 1), lambda z: z::int), y[1]) = y[2]), lambda y: 'articulo ' || y[1]), ', ') as articles,
- array_to_string(list_sort(list_distinct(list_concat(flatten(list_transform(codes, lambda x: ['itc-' || x.p || '-' || x.n, 'itc ' || x.p || ' ' || x.n, x.p || '-' || x.n])), list_concat(list_transform(regexp_extract_all(q, '{TABLE}', 1), lambda x: 'tabla ' || regexp_replace(x, '^0+([0-9])', '\1')), flatten(list_transform(list_transform(regexp_extract_all(q, '{DECREE}', 1), lambda x: regexp_replace(regexp_replace(x, '\s+', '', 'g'), '^0+([0-9])', '\1')), lambda x: ['rd ' || x, 'real decreto ' || x])))))), ', ') as exact,
- array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(q, '{PAGE}', 1), lambda x, i: [x::int, i]), lambda y: y[1] > 0 and list_position(list_transform(regexp_extract_all(q, '{PAGE}', 1), lambda z: z::int), y[1]) = y[2])[1:5], lambda y: y[1]), ', ') as pages,
- array_to_string(list_sort(list_distinct(list_transform(codes, lambda x: 'ITC-' || upper(x.p) || '-' || x.n)))[1:8], ', ') as itc from c"""),
+    "extract_refs": views.oracle(REFERENCES),
     "numeric_terms": views.oracle(rf"""
 with {_ASKS}, t as (select question_id, list_transform(regexp_extract_all(q, '{NUMBER}'), lambda x: trim(x)) as terms, regexp_replace(regexp_replace(regexp_replace(q, '{ITC}', ' ', 'g'), '{TABLE}', ' ', 'g'), '{PAGE}', ' ', 'g') as rest from q),
 e as (select question_id, terms, unnest(range(1, len(terms) + 1)) as i, regexp_replace(terms[i], '\s+', '', 'g') as c from t),

@@ -24,9 +24,6 @@ HITS = """asked as (select distinct question_id, token from (select item_id as q
 
 QUERIES = {
     # sources
-    "path_profile_longest_prefix": """
-with found as (select s.path, p.profile, row_number() over (partition by s.path order by length(p.prefix) desc) as rn from v_sources_all s left join v_profiles p on s.path = p.prefix or s.path like concat(p.prefix, '/%'))
-select path, coalesce(profile, 'general') as profile from found where rn = 1""",
     # text and chunks
     "normalize_text": "select doc_id, BARE(text) as normal from documents",
     "normalize_for_matching": f"select conv_id, turn, {MATCH} as normal from conversations",
@@ -36,24 +33,12 @@ carried as (select doc_id, line_no, line, breaks, <<last_value(heading) ignore n
   cast(sum(breaks) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as bigint) as block from marked)
 select doc_id, block, max(section) as section, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars, <<listagg(line, ' ') within group (order by line_no)|||string_agg(line, ' ' order by line_no)>> as body from carried where trim(line) <> '' group by doc_id, block""",
     "contextualize_chunk": "select chunk_id, concat(concat_ws(' | ', concat('Documento: ', source), concat('Dominio: ', lang), nullif(concat('Pagina: ', cast(page as string)), 'Pagina: 1')), chr(10), text) as full_text from v_chunks",
-    "encoding_audit": "select source, count(*) as n_lines, count_if(RX(line, '[A-Z][A-Z][A-Z][A-Z]')) as n_shifted, round(cast(count_if(RX(line, '[A-Z][A-Z][A-Z][A-Z]')) as double) / count(*), 6) as share from v_lines group by source",
-    "term_extractors": f"select conv_id, turn, JOIN_ARR(array_sort(array_distinct({WORDS})), ' ') as terms, LEN({WORDS}) as n_terms from conversations",
-    "structure_carry_forward": f"""
-select doc_id, line_no, <<last_value(h) ignore nulls|||last_value(h ignore nulls)>> over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section from (select doc_id, line_no, case when {HEADING} then trim(line) end as h from v_lines) x""",
-    "row_to_text": "select p_partkey, concat('TABLE_ROW. part. ', concat_ws('; ', concat('name: ', p_name), concat('brand: ', p_brand), concat('type: ', p_type), concat('size: ', cast(p_size as string)))) as row_text from part",
-    "source_profile": """
-select s.path, coalesce(o.profile, p.profile, nullif(split_part(s.path, '/', 2), ''), 'general') as domain from v_sources_all s left join v_profiles o on o.prefix = s.path left join v_profiles p on p.prefix = split_part(s.path, '/', 1)""",
-    "page_range_refs": "select c.chunk_id, r.ref from v_chunks c join v_page_refs r on c.source = r.source and c.page between r.lo and r.hi",
     "stable_chunk_ids": "select chunk_id, md5(concat_ws(':', concat(source, '/', cast(doc_id as string)), cast(page as string), cast(chunk as string))) as stable_id from v_chunks",
-    "chunk_profile": f"select chunk_id, source, page, {INTENT} as intent, length(text) as n_chars, case when RX(text, '^[0-9]+[.][0-9]+[.][0-9]+') then 3 when RX(text, '^[0-9]+[.][0-9]+') then 2 else 1 end as section_level from v_chunks",
     # questions
     "clean_question": "select question_id, coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[A-Za-z0-9_]+[.]pdf( [(]pag[.] [0-9]+[)])?', ' '<g>), '[ \t\n]+', ' '<g>)), ''), text) as cleaned from v_questions",
     "fuzzy_token_match": """
 with t as (select distinct token from (select EXPLODE(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ]+', ' '<g>)), ' ')) as token from conversations) x where length(token) >= 5)
 select token, term from t join v_terms on substr(token, 1, 4) = substr(term, 1, 4) and abs(length(token) - length(term)) <= 2 and token <> term""",
-    "history_inheritance": """
-with q as (select conv_id, turn, text, case when RX(lower(text), '[0-9]|tion') then turn end as anchor from conversations where role = 'user')
-select conv_id, turn, coalesce(anchor, max(anchor) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding)) as anchor_turn from q""",
     # retrieval
     "lexical_contains": f"with {HITS} select question_id, chunk_id, hits, rank from ranked where rank <= 18",
     "candidate_union": f"""
@@ -70,8 +55,6 @@ with {HITS}, exp as (select distinct question_id, source from scored where hits
 e as (select question_id, count(*) as n from exp group by question_id), r as (select question_id, count(*) as n from got group by question_id), h as (select question_id, count(*) as n from exp join got using (question_id, source) group by question_id)
 select item_id as question_id, case when e.n is null then 1.0 else round(cast(coalesce(h.n, 0) as double) / e.n, 4) end as recall, case when e.n is null or r.n is null then 0.0 else round(cast(coalesce(h.n, 0) as double) / r.n, 4) end as precision_at_k
 from benchmark left join e on e.question_id = item_id left join r on r.question_id = item_id left join h on h.question_id = item_id""",
-    "answer_basis": "select basis, count(*) as n from (select case when RX(lower(text), 'no dispongo|not available') then 'insufficient' when RX(lower(text), 'parcial|partly') then 'partial' else 'explicit' end as basis from conversations where role = 'assistant') x group by basis",
-    "missing_qualifiers": "select conv_id, turn, RX(lower(before), 'excepto|salvo|not|only') and not RX(lower(text), 'excepto|salvo|not|only') as missing from (select conv_id, turn, role, text, lag(text) over (partition by conv_id order by turn) as before from conversations) x where role = 'assistant' and before is not null",
     # batch twins of streams
     "stream_error_window_batch": "select date_trunc('hour', ts) as hour_start, count(*) as n_errors from events where event_type = 'error' group by date_trunc('hour', ts)",
     "stream_user_sessions_batch": """

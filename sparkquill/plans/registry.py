@@ -7,13 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import business, chunks, corpus, evaluation, listings, maintenance, questions, relational, retrieval, scoring, selection, vectors
+from ..operators import business, chunks, corpus, evaluation, listings, maintenance, metadata, questions, relational, retrieval, scoring, selection, vectors
 from ..sources import views
 from ..streaming import streams
 
 FLAGSHIP = "answer_questions"
 #: Modules whose queries and SQL are written apart.
-MODULES = (retrieval, vectors, scoring, chunks, questions, evaluation, selection, business, listings, maintenance, streams)
+MODULES = (retrieval, vectors, scoring, chunks, metadata, questions, evaluation, selection, business, listings, maintenance, streams)
 #: Queries whose one text serves Spark and the SQL that checks it.
 SHARED = relational.QUERIES | corpus.QUERIES
 
