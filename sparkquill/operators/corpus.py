@@ -40,11 +40,9 @@ select doc_id, block, max(section) as section, count(*) as n_lines, cast(sum(len
 with t as (select distinct token from (select EXPLODE(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ]+', ' '<g>)), ' ')) as token from conversations) x where length(token) >= 5)
 select token, term from t join v_terms on substr(token, 1, 4) = substr(term, 1, 4) and abs(length(token) - length(term)) <= 2 and token <> term""",
     # retrieval
-    "lexical_contains": f"with {HITS} select question_id, chunk_id, hits, rank from ranked where rank <= 18",
     "candidate_union": f"""
 with {HITS}, lists as (select question_id, chunk_id, 1 as list, rank from ranked where rank <= 10 union all select question_id, chunk_id, 2 as list, row_number() over (partition by question_id order by page, chunk_id) as rank from scored where hits >= 2)
 select question_id, chunk_id, list from (select *, row_number() over (partition by question_id, chunk_id order by list, rank) as rn from lists) x where rn = 1""",
-    "multi_key_sort": f"with {HITS} select question_id, chunk_id, row_number() over (partition by question_id order by hits desc, page, source, chunk_id) as rank from scored",
     # validated memory
     # conversations and interactions
     # business

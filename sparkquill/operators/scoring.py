@@ -78,6 +78,28 @@ def feature_score(pairs: DataFrame, weights: dict[str, int], base: int = 0) -> D
     return parts.withColumn("score", reduce(Column.__add__, (F.col(p) for p in weights), F.lit(base).cast("long")))
 
 
+def multi_key_sort(pairs: DataFrame) -> DataFrame:
+    """question_id, chunk_id, rank: by the opening phrase, the words that matter most, all words, then the page and the id."""
+    order = [F.desc("phrase"), F.desc("core"), F.desc("overlap"), "page", "chunk_id"]
+    return with_parts(pairs).select("question_id", "chunk_id", F.row_number().over(Window.partitionBy("question_id").orderBy(*order)).alias("rank"))
+
+
+def lexical_contains(questions: DataFrame, chunks: DataFrame, terms: int = 8, take: int = 12) -> DataFrame:
+    """question_id, term, chunk_id, rank: for each of a question's longest words the first chunks that contain it, also inside a longer word.
+
+    Words of chunks are a vocabulary; a term meets those of its words that share its first four letters somewhere, and
+    those that contain it whole lead to their chunks. So no term is compared with every chunk.
+    """
+    asked = questions.select("question_id", F.explode(longest(F.array_distinct(tokens(F.col("text"))), terms)).alias("term"))
+    index = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 3), lambda i: F.substring(F.col("word"), i, F.lit(4))))
+    vocabulary = index.select("word").distinct().select("word", F.explode(grams).alias("gram"))
+    found = asked.select("term", F.substring("term", 1, 4).alias("gram")).distinct().join(vocabulary, "gram").where(F.contains("word", F.col("term"))).select("term", "word").distinct()
+    hits = asked.join(found, "term").join(index, "word").select("question_id", "term", "chunk_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("question_id", "term").orderBy("chunk_id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= take)
+
+
 # -- anchors and mentions -----------------------------------------------------------------------------------------------
 
 
@@ -182,6 +204,8 @@ def structural_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "feature_score": lambda spark, sf_dir: feature_score(candidates(spark, sf_dir), WEIGHTS),
     "lexical_feature_score": lambda spark, sf_dir: feature_score(candidates(spark, sf_dir), LEXICAL_WEIGHTS, LEXICAL_BASE),
+    "multi_key_sort": lambda spark, sf_dir: multi_key_sort(candidates(spark, sf_dir)),
+    "lexical_contains": lambda spark, sf_dir: lexical_contains(views.run(spark, sf_dir, "select item_id as question_id, text from benchmark"), views.run(spark, sf_dir, "select chunk_id, text from v_chunks")),
     "structural_anchor": structural_query,
     "source_mention_boost": lambda spark, sf_dir: source_mention(views.run(spark, sf_dir, MENTIONS), views.run(spark, sf_dir, ALL_PATHS)),
     "hybrid_rerank": lambda spark, sf_dir: hybrid_rerank(candidates(spark, sf_dir), spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
@@ -214,6 +238,10 @@ def _scored(weights: dict[str, int], base: int) -> str:
 SQL = {
     "feature_score": _scored(WEIGHTS, 0),
     "lexical_feature_score": _scored(LEXICAL_WEIGHTS, LEXICAL_BASE),
+    "multi_key_sort": sql(_PARTS.rsplit("select question_id, chunk_id, ", 1)[0] + " select question_id, chunk_id, row_number() over (partition by question_id order by phrase desc, core desc, overlap desc, page, chunk_id) as rank from p join c using (question_id, chunk_id)"),
+    "lexical_contains": views.oracle(rf"""
+with a as (select item_id as question_id, unnest(list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '\p{{L}}{{4,}}')), lambda w: {{'l': -length(w), 'w': w}}))[1:8], lambda x: x.w)) as term from benchmark)
+select question_id, term, chunk_id, row_number() over (partition by question_id, term order by chunk_id) as rank from a join v_chunks on contains(lower(text), term) qualify rank <= 12"""),
     "structural_anchor": views.oracle(f"""
 with a as ({ARTICLES}), s as ({SECTIONLESS}), r as (select distinct p_size as n, concat('articulo ', p_size) as ref from part),
 b as (select ref, chunk_id, section_type, page, section, text, trim(lower(strip_accents(section))) as sec, trim(lower(strip_accents(text[1:240]))) as opening from s join r on r.n = s.article_no),
