@@ -42,11 +42,11 @@ DENSE = 4
 #: Pairs of one node that one task intersects.
 GROUP = 256
 #: Shingles of a tile's block, so that the arrays of two blocks fit a task.
-BLOCK_SHINGLES = 1 << 22
+BLOCK_SHINGLES = 1 << 21
 #: Nodes of a component, and about how many shingles of theirs, in a block whose links are counted with another block's.
-LINK_NODES, LINK_SHINGLES = 2048, 1 << 20
+LINK_NODES, LINK_SHINGLES = 1024, 1 << 20
 #: Shingles that are columns of one matrix there.
-LINK_COLUMNS = 4096
+LINK_COLUMNS = 1024
 #: Bits of a signature: the power of two at or above four times the set's size, between these.
 BITS = (64, 16384)
 LISTED, SIGNED = 0, 1
