@@ -156,6 +156,15 @@ QUERIES = {"ann_topk": ann, "filtered_search_fallback": filtered, "memory_lookup
 
 COSINE = "round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 5)"
 SQL = {
+    "chunk_structured": rf"""
+with recursive d as (select doc_id, text as t, length(text) as n from documents where text <> ''),
+c as (select doc_id, t, n, -1::bigint as s, 0::bigint as e from d
+ union all
+ select doc_id, t, n, s, case when s + {CHUNK} >= n then n when par > 0 and s + par > s + {OVERLAP} then s + par + 2 when aft <> '' then s + {CHUNK} + length(aft) when bef <> '' then low + length(bef) when sl is null and sr is null then s + {CHUNK} when sr is null or (sl is not null and s + {CHUNK} - sl <= sr - s - {CHUNK}) then sl + 1 else sr + 1 end as e
+ from (select *, case when regexp_matches(r1, '^.*\n\n', 's') then 1 + length(regexp_extract(r1, '^(.*)\n\n', 1, 's')) else 0 end as par, regexp_extract(substr(t, s + {CHUNK} + 1, {SENTENCE}), '^[^.!?]*[.!?]') as aft, regexp_extract(substr(t, low + 1, s + {CHUNK} - low), '^.*[.!?]', 0, 's') as bef,
+  case when contains(r2, ' ') then slow + length(regexp_extract(r2, '^(.*) ', 1, 's')) end as sl, case when contains(r3, ' ') then s + {CHUNK} + length(regexp_extract(r3, '^[^ ]*')) end as sr
+  from (select *, substr(t, s + 2, {CHUNK} - 1) as r1, s + {CHUNK} - {SENTENCE} + 1 as low, s + {CHUNK} - {SPACE} as slow, substr(t, s + {CHUNK} - {SPACE} + 1, {SPACE}) as r2, substr(t, s + {CHUNK} + 1, {SPACE}) as r3 from (select doc_id, t, n, greatest(e - {OVERLAP}, s + 1) as s from c where e < n) w) x) y)
+select doc_id, row_number() over (partition by doc_id order by s) - 1 as chunk, s as start, substr(t, s + 1, e - s) as text from c where s >= 0 and e - s >= {SHORTEST}""",
     "filtered_search_fallback": f"""
 with s as (select q.vec_id as query_id, v.vec_id, q.label = v.label as same, {COSINE} as score from embeddings q join embeddings v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id),
 f as (select query_id, bool_or(same and score >= 0.5) as found from s group by 1)
