@@ -9,7 +9,6 @@ are in ascending key order; a part's base, the ids in all parts before it, is a
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -18,18 +17,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import partitions, shared_path
+from .shared import buckets, partitions, shared_path, write
+from .text import ragged, text_slices
 
 PARTS = "part int, path string, width int, n_docs long, n_ids long"
-#: Pieces that a worker remembers, and texts that it encodes at once.
-MEMORY, GROUP = 1_000_000, 256
-PIECE = re.compile(r"[^ \t-\r]+")
+#: Pieces that a worker remembers, and bytes of texts that it encodes at once.
+MEMORY, GROUP = 1_000_000, 4 << 20
 #: Stands for a null key in a file of keys.
 NO_KEY = -(2**63)
 
@@ -38,27 +38,43 @@ class Encoder(dict):
     """Ids of a piece of text without ASCII white space, as bytes; remembers MEMORY pieces.
 
     The tokenizer drops white space and no token spans it, and neither normal form nor lower case
-    reaches over ASCII white space, so a text's ids are those of its pieces in turn.
+    reaches over ASCII white space, so a text's ids are those of its pieces in turn. Texts are split,
+    and their pieces made a dictionary, in Arrow; only the dictionary is looked at one by one.
     """
 
     def __init__(self, path: str, width: int) -> None:
         super().__init__()
-        self.tok, self.code = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
+        self.tok, self.code, self.type = Tokenizer.from_file(path), {2: "H", 4: "I"}[width], f"<u{width}"
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of some texts; the pieces not yet known are encoded in one call."""
-        pieces = [PIECE.findall(t) for t in texts]
-        new = list(set().union(*pieces).difference(self))
+    def of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these different pieces, one behind the other, and how many each has; those not yet known are encoded in one call."""
         if len(self) > MEMORY:
             self.clear()
-            new = list(set().union(*pieces))
+        new = [p for p in pieces if p not in self]
         for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
             self[p] = array(self.code, e.ids).tobytes()
-        out = [b"".join(map(self.__getitem__, p)) for p in pieces]
+        found = [self[p] for p in pieces]
         for p in new:
             if len(p) >= 200:
                 del self[p]
-        return out
+        return np.frombuffer(b"".join(found), self.type), np.array([len(x) for x in found], np.int64) // np.dtype(self.type).itemsize
+
+    def ids(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each one's followed by end, and how many each text has; null is empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        pieces = split.flatten().dictionary_encode()
+        which, first = pieces.indices.to_numpy(), np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))
+        own, n = self.of_pieces(pieces.dictionary.to_pylist())
+        begin, n_each = (np.cumsum(n) - n)[which], n[which]
+        upto = np.append(0, np.cumsum(n_each))[first]  # ids of the texts before each
+        counts = np.diff(upto) + len(end)
+        out = np.zeros(int(counts.sum()), self.type)
+        inside = np.ones(len(out), bool)
+        for i, e in enumerate(end):
+            at = np.cumsum(counts) - len(end) + i
+            out[at], inside[at] = e, False
+        out[inside] = own[ragged(begin, n_each)]
+        return out, counts
 
 
 @lru_cache(2)
@@ -77,35 +93,33 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
     size = Tokenizer.from_file(tokenizer).get_vocab_size()
     width = 2 if max(size, (end_id or 0) + 1) <= 65536 else 4
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(n_parts or partitions(spark), "k").sortWithinPartitions("k")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(n_parts or buckets(docs), "k").sortWithinPartitions("k")
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc, end = TaskContext.get().partitionId(), encoder(tokenizer, width), b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
+        part, enc, end = TaskContext.get().partitionId(), encoder(tokenizer, width), [] if end_id is None else [end_id]
         fs, root = pafs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
-        name, keys, ends, total = f"{part:06d}-{uuid.uuid4().hex}", 0, None, 0
+        name, keys, total = f"{part:06d}-{uuid.uuid4().hex}", 0, 0
         ids = offs = names = None
         for b in batches:
             if not b.num_rows:
                 continue
             if ids is None:
                 ids, offs, names = (fs.open_output_stream(f"{root}/{name}.{x}") for x in ("ids", "off", "key"))
-            ends = []
-            for lo in range(0, b.num_rows, GROUP):
-                for data in enc.ids([t or "" for t in b.column(1)[lo : lo + GROUP].to_pylist()]):
-                    ids.write(data + end)
-                    total += len(data + end) // width
-                    ends.append(total)
-            offs.write(np.array(ends, "<i8").tobytes())
+            for i, j, _, _ in text_slices(b.column(1), GROUP):
+                found, counts = enc.ids(b.column(1)[i:j], end)
+                ids.write(found.tobytes())
+                offs.write((total + np.cumsum(counts)).astype("<i8").tobytes())
+                total += len(found)
             names.write(b.column(0).fill_null(NO_KEY).to_numpy().astype("<i8").tobytes())
-            keys += len(ends)
+            keys += b.num_rows
         if ids is not None:
             for f in (ids, offs, names):
                 f.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, name, width, keys, total), schema)], schema=schema)
 
-    rows.mapInArrow(run, PARTS).write.parquet(f"{path}/parts")
+    write(rows.mapInArrow(run, PARTS), f"{path}/parts")
     return spark.read.schema(PARTS).parquet(f"{path}/parts")
 
 
