@@ -4,8 +4,9 @@ A window is WINDOW consecutive words. Its fingerprint is the smallest hash of th
 inside it, so equal windows have equal fingerprints and neighbours mostly share one. The index is a
 set of immutable runs, each sorted by fingerprint within buckets; a run has one entry for each
 fingerprint: a document that has it and whether others have it too. A new batch is merge-joined with
-the runs bucket by bucket, which names the documents whose windows must be compared, and makes the
-compacted run that replaces them. Verification then compares those documents' windows by 128-bit
+all runs bucket by bucket, which names the documents whose windows must be compared, and becomes a run
+of level 0 itself. FAN runs of a level are compacted to one of the next, so that an entry is written
+again only once a level, not once a batch. Verification then compares those documents' windows by 128-bit
 digests (96 bits beside the bucket) of their words. Nothing is dropped: a fingerprint that two documents share is always verified.
 
 Hot fingerprints: within a map batch one that many documents have is sent on once; the documents are
@@ -14,21 +15,25 @@ named there and then.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PACKED, PACKED_ARROW, delta, pack, packed_batches, partitions, remove, scatter, shared_path, unpack
+from .shared import PACKED, PACKED_ARROW, buckets, delta, pack, packed_batches, partitions, remove, scatter, shared_path, subfolders, unpack, write
 from .text import U, grams, ragged, sliding_min, span_hashes, text_slices, word_spans
 
 WINDOW, GRAM = 13, 5
 #: Bytes of texts that are hashed at once.
 SLICE = 1_000_000
-#: Kinds of packed rows: an index entry; a document and a fingerprint it shares.
-ENTRY, SHARED = 0, 1
+#: Runs of a level that are compacted to one of the next.
+FAN = 2
+#: Kinds of packed rows: an index entry; a document and a fingerprint it shares; an entry of a new batch.
+ENTRY, SHARED, NEW = 0, 1, 2
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -81,7 +86,7 @@ def map_entries(n_buckets: int, window: int, gram: int):
                 head[1:] = fp[1:] != fp[:-1]
                 many = np.diff(np.append(np.flatnonzero(head), len(fp))) > 1
                 bucket = (fp >> U(32)).astype(np.int32)
-                yield from scatter(bucket[head], ENTRY, fp[head].astype(np.uint32), ids[doc[head]], many)
+                yield from scatter(bucket[head], NEW, fp[head].astype(np.uint32), ids[doc[head]], many)
                 both = np.repeat(many, np.diff(np.append(np.flatnonzero(head), len(fp))))
                 yield from scatter(bucket[both], SHARED, fp[both], ids[doc[both]])
 
@@ -90,59 +95,111 @@ def map_entries(n_buckets: int, window: int, gram: int):
     return run
 
 
-def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows of runs and of a batch to a row of the compacted run for each bucket, and the shared pairs."""
+def merge_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows of runs (ENTRY) and of a batch (NEW) to the batch's own run, a row for each bucket, and the shared pairs."""
 
     def rows() -> Iterator[tuple]:
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
         for b in batches:
             for bucket, kind, data in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if kind == SHARED:
                     yield bucket, SHARED, data
                 else:
-                    held.setdefault(bucket, []).append(data)
+                    held[bucket].append((kind, data))
         for bucket, pieces in held.items():
-            fp, doc, many = (np.concatenate(x) for x in zip(*(unpack(p, "u4", "i8", "?") for p in pieces)))
+            fp, doc, many = (np.concatenate(x) for x in zip(*(unpack(p, "u4", "i8", "?") for _, p in pieces)))
+            new = np.repeat([k == NEW for k, _ in pieces], [int(np.frombuffer(p, np.int64, 1)[0]) for _, p in pieces])
             order = np.argsort(fp, kind="stable")  # the pieces are sorted runs, which a stable sort merges
-            fp, doc, many = fp[order], doc[order], many[order]
+            fp, doc, many, new = fp[order], doc[order], many[order], new[order]
             heads = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
             n = np.diff(np.append(heads, len(fp)))
-            known = np.add.reduceat(many.astype(np.int64), heads) > 0
-            shared = np.repeat((n > 1) | known, n) & ~many
+            here = np.add.reduceat(new.astype(np.int64), heads)
+            # older documents are named when the second document of a fingerprint comes, and not again
+            told = np.add.reduceat((many & ~new).astype(np.int64), heads) > 0
+            several = (n > 1) | (np.add.reduceat((many & new).astype(np.int64), heads) > 0)
+            shared = np.where(new, np.repeat(several, n) & ~many, np.repeat((here > 0) & ~told, n))
             if shared.any():
                 yield bucket, SHARED, pack(fp[shared].astype(U) | U(bucket) << U(32), doc[shared])
-            yield bucket, ENTRY, pack(fp[heads], doc[heads], (n > 1) | known)
+            own = np.flatnonzero(new)
+            own = own[np.append(True, fp[own][1:] != fp[own][:-1])] if len(own) else own
+            if len(own):
+                yield bucket, ENTRY, pack(fp[own], doc[own], several[here > 0])
+
+    yield from packed_batches(rows(), PACKED_ARROW)
+
+
+def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows of some runs to a row of the run that replaces them for each bucket."""
+
+    def rows() -> Iterator[tuple]:
+        held: dict[int, list[bytes]] = defaultdict(list)
+        for b in batches:
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                held[bucket].append(data)
+        for bucket, pieces in held.items():
+            fp, doc, many = (np.concatenate(x) for x in zip(*(unpack(p, "u4", "i8", "?") for p in pieces)))
+            order = np.argsort(fp, kind="stable")
+            fp, doc, many = fp[order], doc[order], many[order]
+            heads = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+            yield bucket, ENTRY, pack(fp[heads], doc[heads], (np.diff(np.append(heads, len(fp))) > 1) | (np.add.reduceat(many.astype(np.int64), heads) > 0))
 
     yield from packed_batches(rows(), PACKED_ARROW)
 
 
 class FingerprintIndex:
-    """The index under one shared folder. add() takes batches in turn; each makes one compacted run of all so far."""
+    """The index under one shared folder, which a later session can open again by its path.
+
+    add() takes batches in turn. A run's folder is named by its level and number and never changes; a
+    compaction that is cut off leaves both the old runs and the new one, which is no harm: an entry that
+    is there twice is verified once more.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, n_buckets: int | None = None, window: int = WINDOW, gram: int = GRAM) -> None:
         self.spark, self.path = spark, path or shared_path(spark, "fingerprints")
+        made = [x for x in subfolders(spark, self.path) if x.startswith("runs-")]  # its settings are the name of the folder of its runs
+        if made:
+            n_buckets, window, gram = (int(x) for x in made[0].split("-")[1:])
         self.n_buckets, self.window, self.gram = n_buckets or partitions(spark), window, gram
-        self.run: str | None = None
-        self.made = 0
+        self.root = f"{self.path}/runs-{self.n_buckets}-{window}-{gram}"
+
+    def runs(self) -> list[tuple[int, int]]:
+        """Level and number of each run, in the order of numbers."""
+        found = [x for x in subfolders(self.spark, self.root) if f"kind={ENTRY}" in subfolders(self.spark, f"{self.root}/{x}")]
+        return sorted((tuple(map(int, x.split("-")[1:])) for x in found), key=lambda x: x[1])
+
+    def read(self, level: int, number: int, kind: int) -> DataFrame:
+        return self.spark.read.schema(PACKED).parquet(f"{self.root}/run-{level}-{number}").where(f"kind = {kind}").select("bucket", "kind", "data")
 
-    def read(self, run: str, kind: int) -> DataFrame:
-        return self.spark.read.schema(PACKED).parquet(run).where(f"kind = {kind}").select("bucket", "kind", "data")
+    def entries(self, runs: list[tuple[int, int]]) -> DataFrame:
+        return reduce(DataFrame.unionByName, (self.read(*r, ENTRY) for r in runs))
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Merge-joins a batch (keyed() rows) with the run there is and writes the compacted one.
+        """Merge-joins a batch (keyed() rows) with all runs, writes it as a run, and compacts levels that are full.
 
         Returns the packed shared pairs that the batch brought, those of older documents too.
         """
+        runs = self.runs()
         new = batch.mapInArrow(map_entries(self.n_buckets, self.window, self.gram), PACKED)
-        if self.run:
-            new = new.unionByName(self.read(self.run, ENTRY))
-        self.made += 1
-        out = f"{self.path}/run-{self.made}"
-        new.repartition(self.n_buckets, "bucket").mapInArrow(merge, PACKED).write.partitionBy("kind").parquet(out)
-        if self.run:
-            remove(self.spark, f"{self.run}/kind={ENTRY}")
-        self.run = out
-        return self.read(out, SHARED)
+        if runs:
+            new = new.unionByName(self.entries(runs))
+        number = 1 + max((int(x.split("-")[2]) for x in subfolders(self.spark, self.root)), default=-1)
+        write(new.repartition(self.n_buckets, "bucket").mapInArrow(merge_join, PACKED), f"{self.root}/run-0-{number}", partitionBy="kind")
+        self.compact_levels()
+        return self.read(0, number, SHARED)
+
+    def compact_levels(self) -> None:
+        while True:
+            runs = self.runs()
+            full = [level for level in {x[0] for x in runs} if sum(x[0] == level for x in runs) >= FAN]
+            if not full:
+                return
+            level = min(full)
+            old = [x for x in runs if x[0] == level]
+            merged = self.entries(old).repartition(self.n_buckets, "bucket").mapInArrow(compact, PACKED)
+            number = 1 + max(int(x.split("-")[2]) for x in subfolders(self.spark, self.root))
+            write(merged, f"{self.root}/run-{level + 1}-{number}", partitionBy="kind")
+            for x in old:  # their shared pairs stay with the caller of add()
+                remove(self.spark, f"{self.root}/run-{x[0]}-{x[1]}/kind={ENTRY}")
 
 
 LISTS = pa.schema([("doc_id", pa.int64()), ("data", pa.binary())])
@@ -290,7 +347,7 @@ def cut_words(window: int):
     return run
 
 
-def dedup_windows(docs: DataFrame, n_batches: int = 2, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_windows(docs: DataFrame, n_batches: int = 3, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, kept (the words left, joined by one space), n_words, n_removed for every row.
 
     Removed is each word in a window whose words also start, as a window, in a row with a smaller key;
@@ -302,8 +359,9 @@ def dedup_windows(docs: DataFrame, n_batches: int = 2, key: str = "doc_id", text
     spark = docs.sparkSession
     rows = keyed(docs, key, text)
     low, high = docs.agg(F.min(key), F.max(key)).first()
-    index = FingerprintIndex(spark, window=window, gram=gram)
-    pairs, made = None, []
+    n = buckets(docs)
+    index = FingerprintIndex(spark, n_buckets=n, window=window, gram=gram)
+    pairs = None
     if low is not None:
         cuts = [low + (high - low + 1) * i // n_batches for i in range(1, n_batches)]
         for i in range(n_batches):
@@ -312,7 +370,6 @@ def dedup_windows(docs: DataFrame, n_batches: int = 2, key: str = "doc_id", text
             part = part.where(F.col("doc_id") < cuts[i]) if i < n_batches - 1 else part
             new = index.add(part)
             pairs = new if pairs is None else pairs.unionByName(new)
-    n = partitions(spark)
     held = rows.repartition(n, "doc_id")
     if pairs is None:
         found = spark.createDataFrame([], "doc_id long, data binary")

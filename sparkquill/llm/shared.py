@@ -96,13 +96,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: Bytes of the input (as stored) for each bucket of packed rows, which a task holds whole.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES, MAX_BUCKETS = 16 << 20, 200_000
 
 
 def buckets(docs: DataFrame) -> int:
-    """Buckets for packed rows made of docs: they grow with its bytes, as Spark's statistics have them, and are the session's shuffle partitions at least."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES) if size < 1 << 50 else 1)  # what has no statistics says 2 ** 63
+    """Buckets for packed rows made of docs: they grow with the bytes of the tables that docs is made of, and are the session's shuffle partitions at least."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    size = sum(x for x in sizes if x < 1 << 60)  # what has no statistics says 2 ** 63 - 1
+    return max(partitions(docs.sparkSession), min(-(-size // BUCKET_BYTES), MAX_BUCKETS))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
