@@ -20,7 +20,7 @@ STOPWORDS = ["donde", "cuando", "cuales", "cuanto", "sobre", "segun", "desde", "
 #: Words that are long and say nothing; a user's list.
 GENERIC = ["instalaciones", "documento", "documentos", "informacion", "descripcion", "siguiente", "anterior", "respuesta", "cualquier", "mediante"]
 #: A line whose font was shifted, and the characters that it stands for.
-SHIFTED = r"^[-0-9][A-Z\[\]]{3,}|\b[A-Z\[\]]{4,}\b"
+SHIFTED = r"^[-0-9][A-Z\[\]]{3,}|(?:^|[^A-Za-z0-9À-ÿ])[A-Z\[\]]{4,}(?:[^A-Za-z0-9À-ÿ]|$)"
 SHIFT = 31
 #: Answers that say they are not complete; fixed values.
 INSUFFICIENT = ["no hay informacion suficiente", "no tengo informacion suficiente", "no dispongo de contexto", "no hay contexto documental"]

@@ -137,7 +137,7 @@ RULES = "select * from (values (1, 'importe total', false, 'valor de la oferta')
 SYNONYMS = "select * from (values ('importe total', 'amount', 1995, cast(null as int)), ('importe', 'amount_any', null, null), ('cliente', 'client', null, null), ('trimestre', 'first_quarter', null, 1), ('trimestre', 'second_quarter', null, 2), ('seccion', 'section', null, null)) as t(term, field, year, quarter)"
 #: Questions about business, some with what an aggregate says.
 BUSINESS = "select question_id, case question_id % 7 when 0 then concat('top 3 obras con mayor importe ', text) when 1 then 'cuantas licitaciones adjudicadas hay en las ultimas 5' when 2 then concat('importe medio de pipeline ', cast(question_id as string)) when 3 then 'suma de cartera' when 4 then 'cuantos metros de obra' else text end as text from v_questions"
-TURNS = "select conv_id, turn, case turn % 4 when 0 then concat('proyecto ', cast(20000 + conv_id as string), ' en marzo de 2024 ', text) when 2 then concat('y eso en 2025 ', text) when 1 then concat('y el mismo ', text) else text end as text from conversations"
+TURNS = "select conv_id, turn, case turn % 4 when 0 then concat('proyecto ', cast(20000 + conv_id as string), ' en marzo de 2024 ', role) when 2 then concat('y eso en 2025 ', role) when 1 then concat('y el mismo ', role) else role end as text from conversations"
 
 
 def of(text: str):
