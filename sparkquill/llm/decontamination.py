@@ -1,6 +1,6 @@
 """Operator 1, benchmark decontamination by template canonicalisation.
 
-Words become a template: a number is <num>, a unit after a number or a currency sign before it <unit>
+Words become a template: a number, in digits or as a word, is <num>, a unit after a number or a currency sign before it <unit>
 (also without a space between them), a run of capitalised words inside a sentence <name>; the rest are
 lower-cased and stripped of punctuation. A second form takes capitalised words at the start of a sentence
 for names too, and a third has no placeholders, so that word-for-word copies are always found. Windows of
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stage, without
 from .text import SEPARATOR, U, grams, mix, ragged, span_hashes, text_slices, word_spans
 
 WINDOW = 8
@@ -34,6 +35,12 @@ BLOCK_WINDOWS = 2_000_000
 #: Words that are units after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years w kw mw v kv a ma hz khz mhz ghz j kj cal kcal pa kpa bar k c f % $ € £ ¥ eur usd gbp euro euros dollar dollars cent cents percent degree degrees meter meters metre metres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres kb mb gb tb".split()
 
+#: Words that are numbers, in the languages of the corpus.
+NUMBER_WORDS = """one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand
+dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil
+deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille
+zwei drei vier sechs sieben acht neun zehn elf dreizehn vierzehn zwanzig dreissig vierzig hundert tausend""".split()
+
 NUM, UNIT, NAME = (mix(np.array([n], U))[0] for n in (101, 102, 103))
 #: Forms of a text: capitalised words at the start of a sentence are literals, or names as others; no placeholders at all.
 STRICT, LOOSE, VERBATIM = FORMS = range(3)
@@ -67,14 +74,14 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def unit_hashes() -> np.ndarray:
-    joined = " ".join(UNITS).encode()
+def word_hashes(words: list[str]) -> np.ndarray:
+    joined = " ".join(words).encode()
     data = np.frombuffer(joined, np.uint8)
     starts, ends, _ = word_spans(data, np.array([0, len(data)]))
     return np.sort(span_hashes(data, starts, ends, 3))
 
 
-_UNITS = unit_hashes()
+_UNITS, _NUMBERS = word_hashes(UNITS), word_hashes(NUMBER_WORDS)
 
 
 def parted(data: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +140,7 @@ class Words:
         self.rows, self.own = rows, span_hashes(low, starts, ends, 3)
         digits, plain = np.append(0, np.cumsum(_DIGIT[data])), np.append(0, np.cumsum(_PLAIN[data]))
         same_row = np.append(False, rows[1:] == rows[:-1])
-        self.number = (digits[ends] > digits[starts]) & (plain[ends] - plain[starts] == ends - starts)
+        self.number = ((digits[ends] > digits[starts]) & (plain[ends] - plain[starts] == ends - starts)) | np.isin(self.own, _NUMBERS)
         self.fresh = np.ones(len(starts), bool)  # starts a sentence or a row
         self.fresh[1:] = ~same_row[1:] | _ENDS[data[full[:-1] - 1]] | _OPENS[data[np.maximum(starts[1:] - 1, 0)]]
         capital = ((data[starts] >= 65) & (data[starts] <= 90)) | ((data[starts] == 0xC3) & (low[np.minimum(starts + 1, len(low) - 1)] != data[np.minimum(starts + 1, len(data) - 1)]))
@@ -305,7 +312,10 @@ def contaminated(hits: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold an item. Rows with a null doc_id are judged by their text's hash."""
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-    hits = leaks(keyed, benchmark, key="__key", **options).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(hits, "__key", "left_anti").drop("__key")
+    """docs without those that hold an item: rows are known by doc_id and a hash of the text, so that each text is judged for itself.
+
+    Rows with a null doc_id are judged as others are. Texts are shuffled only if more rows hold items than can be broadcast.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    hits = leaks(docs.select(text_hash.alias("doc_id"), "text"), benchmark, **options)
+    return without(docs, [text_hash], stage(hits.select(F.col("doc_id").alias("text_hash")).distinct(), "leaked"))
