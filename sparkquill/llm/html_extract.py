@@ -2,7 +2,9 @@
 
 A page becomes a flat list of text blocks, each with its word count and link density, those of its
 neighbours, and what kind of element holds it. A decision tree, trained on the small labelled table
-below, tells the article's blocks from the rest; the tree is one Spark conditional expression.
+below, tells the article's blocks from the rest; the tree is one Spark conditional expression. Its
+first levels ask of word counts and link densities only, of the block and of its neighbours. The
+element is asked below them: a short paragraph of an article and a short notice have the same counts.
 """
 
 from __future__ import annotations
@@ -23,12 +25,21 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "address"}
 ARTICLE = {"article", "main"}
-WHOLE = {"html", "body", "article", "main"}
+WHOLE = {"html", "body"}
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsored|promo|promotion|banner|cookies?|consent|notice|popup|modal|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widget|footer|header|masthead|comments?|replies|reply|disqus|share|sharing|social|related|recommended|subscribe|subscription|newsletter|signup|login|search|pagination|pager|copyright|toolbar|skip)(?:$|[\s_-])", re.I)
+#: Of an article only these: readers' comments and adverts are articles too.
+ARTICLE_HINT = re.compile(r"^(?:ads?|adverts?|advertisement|sponsored|promo|promotion|comments?|reply|replies|related|recommended|teaser)(?:$|[_-])", re.I)
+#: A page with a sidebar is none.
+ABOUT = ("with-", "has-", "no-", "without-", "hide-", "show-")
 ROLE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
-FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "in_boiler", "hinted"]
-BLOCK = "array<struct<text:string,words:int,link_density:double,words_before:int,link_density_before:double,words_after:int,link_density_after:double,in_article:int,in_boiler:int,hinted:int,label:int>>"
+#: What the first TEXT_LEVELS levels of the tree may ask, and what the others may.
+TEXT_FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after"]
+FEATURES = [*TEXT_FEATURES, "in_article", "in_shell"]
+TEXT_LEVELS = 2
+#: Labelled blocks on either side of a question, in the first levels and below them.
+LEAST_BLOCKS = (4, 2)
+BLOCK = "array<struct<text:string,words:int,link_density:double,words_before:int,link_density_before:double,words_after:int,link_density_after:double,in_article:int,in_shell:int,label:int>>"
 
 #: The labelled table: small pages, y="1" on what holds the article and y="0" on the rest.
 LABELLED = [
@@ -42,13 +53,24 @@ LABELLED = [
     '<body><form y="0"><p>Tell us what you think of this page and we will write back to you as soon as we have read it.</p></form><main y="1"><p>Bees find their way home by the sun and by the marks that they learned on the first flights out.</p><p>They dance.</p></main><div class="advert" y="0">The best honey of the region is now sold at half the price in all shops near the market until Sunday.</div><section class="comments" y="0"><p>I kept bees for ten years and they never once came home late, what a fine piece this is, thank you.</p></section></body>',
     '<body><div class="banner" y="0"><p>Today only: read all stories of this site for one coin, and keep reading for a month after that.</p></div><div y="1"><h2>Ink</h2><p>Old ink was made of galls, iron and gum, and it turned dark only after the page had dried in air.</p><p>It bites.</p><p>Paper suffers when too much iron is in the ink, so that old letters have holes where words had been.</p></div><div class="newsletter" y="0"><p>Give us your address and we send you one letter a week with all that happened on these pages.</p></div></body>',
     '<body><div y="0"><ul><li><a href="/1">Sport</a></li><li><a href="/2">Weather</a></li><li><a href="/3">Stocks</a></li></ul></div><div y="1"><p>Rain fell through the night and the streets near the harbour were under water at dawn.</p><p>Pumps ran all day.</p></div><div y="0"><a href="/p">Previous</a> <a href="/n">Next</a></div></body>',
+    '<body><main y="1"><h1>Clocks</h1><nav y="0"><a href="#a">Dials</a> <a href="#b">Weights</a></nav><p>A clock with a pendulum loses time in summer, when the rod grows longer with the heat of the day.</p><p>So.</p><aside y="0"><p>Readers of this page also bought a book of clocks, which is sold out in most towns by now.</p></aside><p>Brass and steel rods side by side cancel that.</p><form y="0"><p>Tell us which clock you have at home and when it was last cleaned by a clockmaker.</p></form><footer y="0"><p>Written by the keeper of the tower, who may be reached at noon.</p></footer></main></body>',
+    '<body><article y="1"><header y="0"><p>Filed under gardens, on a Tuesday in spring</p></header><h1>Hedges</h1><p>Cut a hedge narrow at the top, so that light reaches the lowest twigs and they do not go bare.</p><p>Twice a year is enough.</p></article><section y="0" class="replies"><article class="comment" y="0"><p>I cut mine three times and it looks better than ever, thanks for all these pages.</p></article><article class="comment" y="0"><p>Nice.</p></article></section></body>',
+    '<body><article y="1"><p>Four maps of the coast are known from before the harbour was built, and all of them can be seen in the library.</p><ul><li><a href="/1">The map of the abbey</a></li><li><a href="/2">The pilot chart</a></li><li><a href="/3">The tax map</a></li><li><a href="/4">The small chart</a></li><li><a href="/5">Soundings</a></li><li><a href="/6">Lights</a></li><li><a href="/7">Buoys</a></li></ul></article><div y="0"><ul><li><a href="/x">Lamps</a></li><li><a href="/y">Ropes and nets</a></li><li><a href="/z">Old boats</a></li></ul></div></body>',
+    '<body><div y="0"><a href="/h">Home</a> <a href="/a">About us</a> <a href="/c">Contact</a></div><div y="1"><p>The ferry leaves twice a day, and in winter only if the ice in the bay is thin enough for its bow.</p><p>Wait.</p><p>Cars go first.</p><p>Walkers stand on the upper deck</p></div></body>',
+    '<body><div y="1"><h2>Wells</h2><p>Dig where the grass is green in August.</p><p>Line it with stones, from the bottom up, without mortar, so that water can come in from the sides.</p><p>Look at <a href="/s">a sketch</a> of one before.</p><p>Done.</p></div><div y="0"><p><a href="/2">Next page</a></p><p><a href="/all">All pages of this part</a></p></div></body>',
 ]
 
 
+def boiler_name(attributes: str, hint: re.Pattern) -> bool:
+    """Whether a class, id or role among these attributes says that the element is no text of the article."""
+    names = (n for x in ROLE.findall(attributes) for n in (x[0] or x[1] or x[2]).split())
+    return any(hint.search(n) and not n.lower().startswith(ABOUT) for n in names)
+
+
 def blocks(page: str) -> list[tuple]:
-    """(text, words, link words, in_article, in_boiler, hinted, label) for each block of text, in page order."""
+    """(text, words, link words, in_article, in_boiler, label) for each block of text, in page order."""
     out: list[tuple] = []
-    stack: list[tuple[str, int, int, int, int]] = []  # tag, then what holds inside it: article, boiler, hint, label
+    stack: list[tuple[str, int, int, int]] = []  # tag, then what holds inside it: article, boiler, label
     text, link = [], 0
     linked: list[str] = []
 
@@ -56,7 +78,7 @@ def blocks(page: str) -> list[tuple]:
         nonlocal link
         words = "".join(text).split()
         if words:
-            state = stack[-1][1:] if stack else (0, 0, 0, -1)
+            state = stack[-1][1:] if stack else (0, 0, -1)
             out.append((" ".join(words), len(words), len("".join(linked).split()), *state))
         text.clear()
         linked.clear()
@@ -79,7 +101,7 @@ def blocks(page: str) -> list[tuple]:
             continue
         if tag == "a":
             link = 0 if m[1] else 1
-        hinted = not m[1] and tag not in VOID and tag not in WHOLE and "=" in m[3] and any(HINT.search(x[0] or x[1] or x[2]) for x in ROLE.findall(m[3]))
+        hinted = not m[1] and tag not in VOID and tag not in WHOLE and "=" in m[3] and boiler_name(m[3], ARTICLE_HINT if tag in ARTICLE else HINT)
         if tag in INLINE and not (hinted and tag == "span"):
             if tag == "br":
                 text.append(" ")
@@ -97,9 +119,9 @@ def blocks(page: str) -> list[tuple]:
             continue
         while stack and (stack[-1][0] == "p" or stack[-1][0] == tag in ("li", "tr", "td", "th", "dt", "dd", "option")):
             stack.pop()
-        a, b, h, y = stack[-1][1:] if stack else (0, 0, 0, -1)
+        a, b, y = stack[-1][1:] if stack else (0, 0, -1)
         given = re.search(r'\by="([01])"', m[3])
-        stack.append((tag, int(a or tag in ARTICLE), int(b or tag in BOILER), int(h or hinted), int(given[1]) if given else y))
+        stack.append((tag, int(a or tag in ARTICLE), int(b or tag in BOILER or hinted), int(given[1]) if given else y))
     flush()
     return out
 
@@ -107,35 +129,38 @@ def blocks(page: str) -> list[tuple]:
 def described(page: str) -> list[dict]:
     """BLOCK entries of a page."""
     found = blocks(page)
+    articles = any(b[3] and not b[4] for b in found)  # then all that is outside them is shell
     density = [b[2] / b[1] for b in found]
     words = [b[1] for b in found]
-    at = lambda v, i: v[i] if 0 <= i < len(v) else 0
+    at = lambda v, i: v[min(max(i, 0), len(v) - 1)]  # at an end of the page the block stands for the neighbour it has not
     return [
-        {"text": b[0], "words": b[1], "link_density": density[i], "words_before": at(words, i - 1), "link_density_before": float(at(density, i - 1)), "words_after": at(words, i + 1), "link_density_after": float(at(density, i + 1)), "in_article": b[3], "in_boiler": b[4], "hinted": b[5], "label": b[6]}
+        {"text": b[0], "words": b[1], "link_density": density[i], "words_before": at(words, i - 1), "link_density_before": float(at(density, i - 1)), "words_after": at(words, i + 1), "link_density_after": float(at(density, i + 1)), "in_article": int(b[3] and not b[4]), "in_shell": int(b[4] or (articles and not b[3])), "label": b[5]}
         for i, b in enumerate(found)
     ]
 
 
-def grow_tree(rows: list[dict], depth: int = 6) -> dict:
+def grow_tree(rows: list[dict], level: int = 0, depth: int = 6) -> dict:
     """A binary tree by Gini impurity: {'y': label} or {'f': feature, 't': threshold, 'le': tree, 'gt': tree}."""
     ones = sum(r["label"] for r in rows)
     leaf = {"y": int(2 * ones >= len(rows))}
-    if not depth or ones in (0, len(rows)):
+    if level == depth or ones in (0, len(rows)):
         return leaf
     best = (1e-9, None)
     gini = lambda n, p: 2 * p * (n - p) / n if n else 0
-    for f in FEATURES:
+    for f in TEXT_FEATURES if level < TEXT_LEVELS else FEATURES:
         values = sorted({r[f] for r in rows})
         for lo, hi in zip(values, values[1:]):
             t = (lo + hi) / 2
             left = [r["label"] for r in rows if r[f] <= t]
+            if min(len(left), len(rows) - len(left)) < LEAST_BLOCKS[level >= TEXT_LEVELS]:
+                continue
             gain = gini(len(rows), ones) - gini(len(left), sum(left)) - gini(len(rows) - len(left), ones - sum(left))
             if gain > best[0] + 1e-12:
                 best = (gain, (f, t))
     if best[1] is None:
         return leaf
     f, t = best[1]
-    return {"f": f, "t": t, "le": grow_tree([r for r in rows if r[f] <= t], depth - 1), "gt": grow_tree([r for r in rows if r[f] > t], depth - 1)}
+    return {"f": f, "t": t, "le": grow_tree([r for r in rows if r[f] <= t], level + 1, depth), "gt": grow_tree([r for r in rows if r[f] > t], level + 1, depth)}
 
 
 def train(pages: list[str] = LABELLED) -> dict:
