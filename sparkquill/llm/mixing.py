@@ -14,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import Scratch, stage
 
 #: Parts of a leaf's order. Only the part in which the prefix ends is sorted.
 PARTS = 4096
@@ -61,36 +61,63 @@ def budgets(leaves: dict[tuple, int], weight: Callable[[tuple], float], total: i
     return {p: given[p] for p in leaves}
 
 
-def order_hash(seed: int, epoch: Column, key: str) -> Column:
-    return F.xxhash64(F.lit(seed), epoch.cast("int"), F.col(key))
+def order_hash(seed: int, epoch: Column, key: Column) -> Column:
+    return F.xxhash64(F.lit(seed), epoch.cast("int"), key)
 
 
-def mix(docs: DataFrame, path: list[Column], tokens: Column, weight: Callable[[tuple], float], total: int | float, max_epochs: int = 4, seed: int = 7, key: str = "doc_id") -> DataFrame:
-    """One row for each document and epoch that is taken: key, domain, language, origin, n_tokens, epoch, order_hash.
+def cuts(docs: DataFrame, path: list[Column], tokens: Column, weight: Callable[[tuple], float], total: int | float, max_epochs: int, seed: int, key: Column) -> DataFrame:
+    """One row for each leaf with a budget: its path, whole (epochs taken whole), last_hash and last_key.
 
-    total: tokens wanted, or if a float that share of the tokens there are. A leaf's prefix holds
-    each document that starts before its budget ends, so it exceeds it by a document at most.
-    Nulls: a null step of the path is 'unknown'; a null token count is 0. Documents without tokens
-    are taken with the epochs that reach them. Rows that repeat a key are rows of their own. Ties in
-    the order are broken by key and token count. An empty table or a budget of 0 gives no rows.
+    Of epoch number whole are taken the rows up to (last_hash, last_key) in its order, none if last_hash
+    is null. Only keys, paths and token counts are looked at, and the result is as small as the tree.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     names = [F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for c, n in zip(path, PATH)]
-    rows = stage(docs.select(F.col(key), *names, F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("n_tokens")), "mix-rows")
+    rows = scratch.stage(docs.select(key.alias("key"), *names, F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("n_tokens")), "mix-rows")
     sums = rows.groupBy(*PATH).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(sums) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
     have = {tuple(r[:3]): r[3] for r in sums}
     wanted = int(Fraction(total) * sum(have.values())) if isinstance(total, float) else int(total)
     plan = [(*p, b // have[p], b % have[p]) for p, b in budgets(have, weight, wanted, max_epochs).items() if b > 0]
-    plan = F.broadcast(rows.sparkSession.createDataFrame(plan, f"{PATH[0]} string, {PATH[1]} string, {PATH[2]} string, whole long, rest long"))
-    rows = rows.join(plan, PATH)
-    whole = rows.where("whole > 0").withColumn("epoch", F.explode(F.expr("sequence(0, int(whole) - 1)"))).withColumn("order_hash", order_hash(seed, F.col("epoch"), key))
-    last = rows.where("rest > 0").withColumn("epoch", F.col("whole").cast("int")).withColumn("order_hash", order_hash(seed, F.col("epoch"), key))
+    plan = F.broadcast(spark.createDataFrame(plan, ", ".join(f"{n} string" for n in PATH) + ", whole long, rest long"))
+    last = rows.join(plan.where("rest > 0"), PATH).withColumn("order_hash", order_hash(seed, F.col("whole"), F.col("key")))
     last = last.withColumn("part", F.expr(f"int((order_hash div {2**64 // PARTS}) + if(order_hash < 0 and order_hash % {2**64 // PARTS} != 0, -1, 0))"))
-    parts = last.groupBy(*PATH, "part").agg(F.sum("n_tokens").alias("n"))
-    parts = parts.withColumn("before", F.sum("n").over(Window.partitionBy(*PATH).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    placed = last.join(parts, [*PATH, "part"]).where("before < rest")
-    inner = placed.where("before + n <= rest")
-    edge = placed.where("before + n > rest").withColumn("at", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*PATH, "part").orderBy("order_hash", key, "n_tokens").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).where("at < rest")
-    out = [key, *PATH, "n_tokens", "epoch", "order_hash"]
-    return whole.select(out).unionByName(inner.select(out)).unionByName(edge.select(out))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    parts = last.groupBy(*PATH, "rest", "part").agg(F.sum("n_tokens").alias("n"))
+    parts = parts.withColumn("before", F.sum("n").over(upto(*PATH).orderBy("part")) - F.col("n"))
+    # the last part with a row that starts before the budget ends, and of it the last such row
+    edge = parts.where("before < rest").groupBy(*PATH).agg(F.max_by(F.struct("part", "before"), "part").alias("e")).select(*PATH, "e.*")
+    inside = last.join(F.broadcast(edge), [*PATH, "part"]).groupBy(*PATH, "rest", "before", "order_hash", "key").agg(F.sum("n_tokens").alias("n"))
+    inside = inside.withColumn("at", F.col("before") + F.sum("n").over(upto(*PATH).orderBy("order_hash", "key")) - F.col("n")).where("at < rest")
+    found = inside.groupBy(*PATH).agg(F.max(F.struct("order_hash", "key")).alias("c")).select(*PATH, F.col("c.order_hash").alias("last_hash"), F.col("c.key").alias("last_key"))
+    out = stage(plan.drop("rest").join(found, PATH, "left"), "mix-cuts")
+    scratch.drop("mix-rows")
+    return out
+
+
+def mix(docs: DataFrame, path: list[Column], tokens: Column, weight: Callable[[tuple], float], total: int | float, max_epochs: int = 4, seed: int = 7, key: Column | str = "doc_id", out: tuple[str, ...] = ("domain", "language", "origin", "n_tokens", "epoch", "order_hash")) -> DataFrame:
+    """docs, each row once for each epoch that takes it, with the columns out: its path and tokens, the epoch and its place in the order.
+
+    total: tokens wanted, or if a float that share of the tokens there are. Documents are neither
+    shuffled nor joined with one another: they are filtered in place by the table of cuts, one row a
+    leaf, which is broadcast (MAX_LEAVES rows at most). A leaf's prefix holds each document that starts
+    before its budget ends, so it exceeds it by a document at most.
+    Nulls: a null step of the path is 'unknown'; a null token count is 0. Documents without tokens
+    are taken with the epochs that reach them. Rows that repeat a key are in or out together, and each
+    is given once an epoch. Columns of the names out already there are replaced, others stay as they
+    are. An empty table or a budget of 0 gives no rows.
+    To find a leaf's cut its part sums (PARTS at most) and the rows of one part are ordered in one task.
+    """
+    key = (F.col(key) if isinstance(key, str) else key).cast("long")
+    counted = F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
+    table = F.broadcast(cuts(docs, path, tokens, weight, total, max_epochs, seed, key))
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns if c not in out)).alias("row"), key.alias("key"), counted.alias("n_tokens"), *(F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for c, n in zip(path, PATH)))
+    rows = rows.join(table, PATH)
+    at = order_hash(seed, F.col("whole"), F.col("key"))
+    # in the order of rows nulls come first, and only one key has a given hash but by chance
+    reached = (at < F.col("last_hash")) | ((at == F.col("last_hash")) & (F.col("key").isNull() | (F.col("key") <= F.col("last_key"))))
+    epochs = F.concat(F.expr("if(whole > 0, sequence(0, int(whole) - 1), array())").cast("array<int>"), F.when(reached, F.array(F.col("whole").cast("int"))).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("epoch", F.explode(epochs))
+    return rows.select("row.*", *(F.col(n).alias(o) for n, o in zip([*PATH, "n_tokens", "epoch"], out)), order_hash(seed, F.col("epoch"), F.col("key")).alias(out[5]))

@@ -574,7 +574,7 @@ def linked_sets(docs: DataFrame, key: Column, text: str, k: int, num: int, den:
     signed = listed.where(f"kind = {SIGNED}").select(F.expr("cast(conv(hex(substring(data, 1, 8)), 16, -10) as long)").alias("b"), F.expr("substring(data, 9)").alias("sig"))
     stars = tiles.where(f"kind = {STAR}").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("d").alias("d")).where("3 * c >= d")
     stars = scratch.stage(stars.selectExpr("b a", "a b"), "stars")
-    first = stage(star_links(only_text, stars, k, num, den), "first-links")
+    first = scratch.stage(star_links(only_text, stars, k, num, den), "first-links")
     known = connected(first.selectExpr("a u", "b v")).selectExpr("id b", "component comp")
     listings = tiles.where(f"kind = {ROW}").join(known, "b", "left").select("a", "b", "c", "d", "side", F.coalesce("comp", "b").alias("comp"))
     sieved = scratch.stage(listings.repartition(n, "a").mapInArrow(sieve(num, den), SIEVED), "sieved")
@@ -589,7 +589,7 @@ def linked_sets(docs: DataFrame, key: Column, text: str, k: int, num: int, den:
     rows = screened.join(arrays, "b").select("a", "b", "c", "d", "side", "comp", "data").repartition(n, "a").sortWithinPartitions("a")
     more = rows.mapInArrow(intersect_tiles(num, den), PAIRS)
     linked = stage(first.unionByName(more).distinct(), "all-links")
-    scratch.drop("screened")
+    scratch.drop("screened", "first-links")
     return classes, linked
 
 

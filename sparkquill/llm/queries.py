@@ -44,7 +44,8 @@ def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, mix_path(), n_words(), mix_weight, total=0.6, max_epochs=4, seed=7)
+    out = mixing.mix(docs, mix_path(), n_words(), mix_weight, total=0.6, max_epochs=4, seed=7)
+    return out.select("doc_id", *mixing.PATH, "n_tokens", "epoch", "order_hash")
 
 
 def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
