@@ -12,8 +12,11 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 #: Rows of one cell are dealt over so many parts, so that a hot cell is no single task.
 PARTS = 1024
+NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
 def hilbert_table(dims: int, bits: int) -> list[int]:
@@ -46,11 +49,37 @@ def hilbert_table(dims: int, bits: int) -> list[int]:
     return out
 
 
-def code(column: Column, kind: str) -> Column:
-    """A number that keeps the order: of strings their first six bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return column.cast("double")
+def levels(rows: DataFrame, dims: list[str], bits: int) -> list[Column]:
+    """For each dimension the level of a row, 0 to 2 ** bits - 1, by quantiles of the column.
+
+    Numbers are compared with approximate quantiles. Whole strings (and any other type, as strings) are
+    first counted; the values that hold the quantiles of the sorted counts are the bounds, so that
+    strings with a long common beginning are told apart as well.
+    """
+    kinds, out, n = dict(rows.dtypes), [], 1 << bits
+    numbers = [d for d in dims if kinds[d] in NUMBERS or kinds[d].startswith("decimal")]
+    cuts = [i / n for i in range(1, n)]
+    bounds = dict(zip(numbers, rows.agg(*(F.percentile_approx(F.col(d).cast("double"), cuts, 10000) for d in numbers)).first())) if numbers else {}
+    for d in dims:
+        column = F.col(d).cast("double") if d in numbers else F.col(d).cast("string")
+        if d not in numbers:
+            bounds[d] = string_bounds(rows.select(column.alias("v")), n)
+        out.append(sum((F.coalesce((column > F.lit(b)).cast("int"), F.lit(0)) for b in bounds[d] or []), F.lit(0)))
+    return out
+
+
+def string_bounds(rows: DataFrame, n: int) -> list[str]:
+    """At most n - 1 values of v, ascending: those that hold the quantiles. Values are range-partitioned and counted there; only n - 1 rows come to the driver."""
+    counted = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("n")).repartitionByRange("v").withColumn("p", F.spark_partition_id())
+    scratch = Scratch(rows.sparkSession)
+    counted = scratch.stage(counted, "values")
+    sums = counted.groupBy("p").agg(F.sum("n").alias("in_part"))
+    before = sums.withColumn("base", F.sum("in_part").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_part")).withColumn("total", F.sum("in_part").over(Window.partitionBy()))
+    upto = F.col("base") + F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.join(F.broadcast(before), "p").withColumn("upto", upto).where(f"(upto - n) * {n} div total <> upto * {n} div total")
+    out = sorted(r[0] for r in placed.select("v").collect())[: n - 1]
+    scratch.drop("values")
+    return out
 
 
 def hilbert_shards(rows: DataFrame, key: str, dims: list[str], shards: int, bits: int = 4, out: tuple[str, str, str] = ("curve", "shard", "slot")) -> DataFrame:
@@ -64,29 +93,21 @@ def hilbert_shards(rows: DataFrame, key: str, dims: list[str], shards: int, bits
     """
     if len(dims) * bits > 14:
         raise ValueError("the curve's table has 2 ** 14 cells at most")
-    kinds = dict(rows.dtypes)
-    codes = [code(F.col(d), kinds[d]) for d in dims]
-    cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = rows.agg(*(F.percentile_approx(c, cuts, 10000).alias(str(i)) for i, c in enumerate(codes))).first()
     cell = F.lit(0)
-    for c, bounds in zip(codes, found):
-        level = sum((F.coalesce((c > b).cast("int"), F.lit(0)) for b in bounds or []), F.lit(0))
+    for level in levels(rows, dims, bits):
         cell = cell * (1 << bits) + level
     table = F.from_json(F.lit(json.dumps(hilbert_table(len(dims), bits))), "array<int>")
     curve, shard, slot = out
     part = F.pmod(F.xxhash64(key), F.lit(PARTS))
-    rows = rows.drop(*out).withColumns({"__cell": cell, "__part": part}).withColumn(curve, F.get(table, F.col("__cell")))
-    sizes = rows.groupBy(curve, "__part").agg(F.count("*").alias("__n"))
+    # what is carried lies in one struct, so that no column of rows meets a name of ours
+    placed = rows.select(F.struct(*(F.col(c) for c in rows.columns if c not in out)).alias("row"), F.get(table, cell).alias("curve"), part.alias("part"), F.struct(key, *(d for d in dims if d != key)).alias("tie"))
+    sizes = placed.groupBy("curve", "part").agg(F.count("*").alias("n"))
     # two levels: at most 2 ** 14 cells in one window, at most PARTS rows in each of the others
-    cells = sizes.groupBy(curve).agg(F.sum("__n").alias("__cell_n"))
-    cells = cells.select(curve, (F.sum("__cell_n").over(Window.orderBy(curve).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__cell_n")).alias("__base"), F.sum("__cell_n").over(Window.partitionBy()).alias("__total"))
-    before = Window.partitionBy(curve).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.withColumn("__skip", F.sum("__n").over(before) - F.col("__n")).join(cells, curve).select(curve, "__part", (F.col("__base") + F.col("__skip")).alias("__first"), "__total")
-    ties = [c for c in dims if c != key]
-    place = F.row_number().over(Window.partitionBy(curve, "__part").orderBy(key, *ties))
-    placed = rows.withColumn("__row", place).join(sizes, [curve, "__part"]).withColumn("__at", F.col("__first") + F.col("__row") - 1)
-    return (
-        placed.withColumn(shard, F.expr(f"int(__at * {shards} div __total)"))
-        .withColumn(slot, F.expr(f"__at - ({shard} * __total + {shards - 1}) div {shards}"))
-        .drop("__cell", "__part", "__first", "__total", "__row", "__at")
-    )
+    cells = sizes.groupBy("curve").agg(F.sum("n").alias("in_cell"))
+    cells = cells.select("curve", (F.sum("in_cell").over(Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_cell")).alias("base"), F.sum("in_cell").over(Window.partitionBy()).alias("total"))
+    before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumn("skip", F.sum("n").over(before) - F.col("n")).join(cells, "curve").select("curve", "part", (F.col("base") + F.col("skip")).alias("first"), "total")
+    place = F.row_number().over(Window.partitionBy("curve", "part").orderBy("tie"))
+    placed = placed.withColumn("nth", place).join(sizes, ["curve", "part"]).withColumn("at", F.col("first") + F.col("nth") - 1)
+    placed = placed.withColumn("shard", F.expr(f"int(at * {shards} div total)"))
+    return placed.select("row.*", F.col("curve").alias(curve), F.col("shard").alias(shard), F.expr(f"at - (shard * total + {shards - 1}) div {shards}").alias(slot))
