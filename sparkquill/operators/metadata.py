@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import views
@@ -15,7 +15,7 @@ from .questions import FOLLOW_UP, mentions
 from .retrieval import tokens
 from .scoring import bare, longest
 
-#: A user's list of words that are no topic; the reference's general ones with five letters or more.
+#: General words of five letters or more that are no topic.
 STOPWORDS = ["donde", "cuando", "cuales", "cuanto", "sobre", "segun", "desde", "hasta", "estas", "estos", "deben", "entre", "hacia", "cuantos", "cuantas", "tiene", "seran", "seria", "puede", "podria", "suele", "hacer", "tener"]
 #: Words that are long and say nothing; a user's list.
 GENERIC = ["instalaciones", "documento", "documentos", "informacion", "descripcion", "siguiente", "anterior", "respuesta", "cualquier", "mediante"]
