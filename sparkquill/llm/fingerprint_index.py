@@ -260,13 +260,13 @@ def map_windows(n_buckets: int, window: int, gram: int):
                     for d in range(j - i):
                         have = unpack(lists[i + d], "u8")[0]
                         hit[held[d] : held[d + 1]] = np.isin(fp[held[d] : held[d + 1]], have)
-                    at, doc = at[hit], doc[hit]
+                    at, doc, fp = at[hit], doc[hit], fp[hit]
                     if len(at):
                         h2 = grams(span_hashes(data, starts, ends, 2), window)[at]
-                        found.append((grams(w1, window)[at], h2.astype(np.uint32), doc + i, (at - first[doc]).astype(np.int32)))
+                        found.append((grams(w1, window)[at], h2.astype(np.uint32), doc + i, (at - first[doc]).astype(np.int32), (fp >> U(32)).astype(np.int32)))
                 if not found:
                     continue
-                h1, h2, doc, place = (np.concatenate(x) for x in zip(*found))
+                h1, h2, doc, place, by_fp = (np.concatenate(x) for x in zip(*found))
                 own = ids[doc]
                 order = np.lexsort((own, h2, h1))
                 x, y, o = h1[order], h2[order], own[order]
@@ -276,7 +276,7 @@ def map_windows(n_buckets: int, window: int, gram: int):
                 known = least < own
                 yield from scatter((own[known] % n_buckets).astype(np.int32), SHARED, own[known], tkeys[doc[known]], place[known])
                 asked = np.flatnonzero(~known)
-                bucket = (h1[asked] % U(n_buckets)).astype(np.int32)
+                bucket = by_fp[asked]  # neighbours that share a fingerprint stay together, so that what they have in common packs well
                 order = np.argsort(bucket, kind="stable")
                 asked, bucket = asked[order], bucket[order]
                 for lo, hi in runs_of(bucket[1:] != bucket[:-1], len(bucket)):
