@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, stage
 
-#: Parts of a leaf's order. Only the part in which the prefix ends is sorted.
-PARTS = 4096
+#: Parts of a leaf's order, and how many of them are a range. Only the part in which the prefix ends is sorted.
+PARTS, RANGE = 4096, 64
 #: The tree is a setting that the driver holds; more leaves than this are an error.
 MAX_LEAVES = 100_000
 PATH = ["domain", "language", "origin"]
@@ -85,8 +85,12 @@ def cuts(docs: DataFrame, path: list[Column], tokens: Column, weight: Callable[[
     last = rows.join(plan.where("rest > 0"), PATH).withColumn("order_hash", order_hash(seed, F.col("whole"), F.col("key")))
     last = last.withColumn("part", F.expr(f"int((order_hash div {2**64 // PARTS}) + if(order_hash < 0 and order_hash % {2**64 // PARTS} != 0, -1, 0))"))
     upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    parts = last.groupBy(*PATH, "rest", "part").agg(F.sum("n_tokens").alias("n"))
-    parts = parts.withColumn("before", F.sum("n").over(upto(*PATH).orderBy("part")) - F.col("n"))
+    parts = last.groupBy(*PATH, "rest", "part").agg(F.sum("n_tokens").alias("n")).withColumn("range", F.expr(f"part div {RANGE} - if(part % {RANGE} < 0, 1, 0)"))
+    # two levels, so that no task orders all parts of a leaf
+    ranges = parts.groupBy(*PATH, "range").agg(F.sum("n").alias("in_range"))
+    ranges = ranges.select(*PATH, "range", (F.sum("in_range").over(upto(*PATH).orderBy("range")) - F.col("in_range")).alias("base"))
+    parts = parts.withColumn("inside", F.sum("n").over(upto(*PATH, "range").orderBy("part")) - F.col("n")).join(ranges, [*PATH, "range"])
+    parts = parts.withColumn("before", F.col("base") + F.col("inside"))
     # the last part with a row that starts before the budget ends, and of it the last such row
     edge = parts.where("before < rest").groupBy(*PATH).agg(F.max_by(F.struct("part", "before"), "part").alias("e")).select(*PATH, "e.*")
     inside = last.join(F.broadcast(edge), [*PATH, "part"]).groupBy(*PATH, "rest", "before", "order_hash", "key").agg(F.sum("n_tokens").alias("n"))
@@ -108,7 +112,7 @@ def mix(docs: DataFrame, path: list[Column], tokens: Column, weight: Callable[[t
     are taken with the epochs that reach them. Rows that repeat a key are in or out together, and each
     is given once an epoch. Columns of the names out already there are replaced, others stay as they
     are. An empty table or a budget of 0 gives no rows.
-    To find a leaf's cut its part sums (PARTS at most) and the rows of one part are ordered in one task.
+    To find a leaf's cut its ranges, the parts of a range and the rows of one part are each ordered in a task.
     """
     key = (F.col(key) if isinstance(key, str) else key).cast("long")
     counted = F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
