@@ -1,4 +1,4 @@
-"""The ten operators' queries over the whole tables, and their SQL where SQL can express them."""
+"""The operators' queries over the whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint_index, html_extract, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, token_files
+from . import decontamination, fill_in_middle, fingerprint_index, html_extract, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, token_files
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -89,7 +89,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42)
+    restored = fill_in_middle.restore(F.col("fim.output"), F.col("fim.form"))
+    return out.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_template_leaks, op2_mixing, op3_hilbert_sharding, op4_html_blocks, op5_token_files, op6_fingerprint_index, op7_token_counts, op8_suffix_array, op9_decision_list, op10_ngram_join)
+    f.__name__: f for f in (op1_template_leaks, op2_mixing, op3_hilbert_sharding, op4_html_blocks, op5_token_files, op6_fingerprint_index, op7_token_counts, op8_suffix_array, op9_decision_list, op10_ngram_join, op13_fill_in_middle)
+}
+SQL: dict[str, str] = {
+    "op13_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as tok,
+  cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2, cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from d),
+c as (select *, len(tok) as n, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from u),
+k as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from c),
+p as (select *, array_to_string(tok[1:a], '') as pre, array_to_string(tok[a + 1:b], '') as mid, array_to_string(tok[b + 1:], '') as suf from k)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(t) as restored_sha256 from p""",
 }
-SQL: dict[str, str] = {}
