@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fill_in_middle, fingerprint_index, html_extract, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, token_files
+from . import decontamination, divergence, fill_in_middle, fingerprint_index, html_extract, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, token_files
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -89,6 +89,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42)
     restored = fill_in_middle.restore(F.col("fim.output"), F.col("fim.form"))
@@ -96,9 +100,23 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_template_leaks, op2_mixing, op3_hilbert_sharding, op4_html_blocks, op5_token_files, op6_fingerprint_index, op7_token_counts, op8_suffix_array, op9_decision_list, op10_ngram_join, op13_fill_in_middle)
+    f.__name__: f for f in (op1_template_leaks, op2_mixing, op3_hilbert_sharding, op4_html_blocks, op5_token_files, op6_fingerprint_index, op7_token_counts, op8_suffix_array, op9_decision_list, op10_ngram_join, op11_source_divergence, op13_fill_in_middle)
 }
 SQL: dict[str, str] = {
+    "op11_source_divergence": r"""
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t, row_number() over () as no from documents),
+w as (select lang, source, no, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as in_lang from w group by 1, 2 having count(distinct no) >= 30),
+langs as (select lang, count(term) as v, coalesce(sum(in_lang), 0) as in_all from (select distinct lang from d) left join kept using (lang) group by 1),
+g as (select distinct lang, source from d),
+cells as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by 1, 2, 3),
+totals as (select lang, source, coalesce(sum(n), 0) as total from g left join cells using (lang, source) group by 1, 2),
+m as (select lang, source, term, coalesce(n, 0) as n, cast(1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (total + 5 * v) as bigint) as p, cast(1 + (1000000000::hugeint * (in_lang + 5)) // (in_all + 5 * v) as bigint) as q
+  from totals join langs using (lang) join kept using (lang) left join cells using (lang, source, term)),
+pairs as (select a.lang, a.source, b.source as item, cast(coalesce(sum(abs(x.p - y.p)), 0) as bigint) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join m x on x.lang = a.lang and x.source = a.source left join m y on y.lang = b.lang and y.source = b.source and y.term = x.term group by 1, 2, 3),
+both_parts as (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', term, p - q from m where n > 0 and p > q)
+select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as int) as rank from both_parts qualify part = 'pair' or rank <= 50""",
     "op13_fill_in_middle": r"""
 with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
 u as (select doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as tok,
