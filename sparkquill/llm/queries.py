@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, divergence, fill_in_middle, fingerprint_index, html_extract, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, token_files
+from . import decontamination, divergence, fill_in_middle, fingerprint_index, html_extract, mixing, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, token_files, url_rules
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -93,6 +93,20 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+#: The given rules of URLs: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # a page has the label of the document that the first number of its path names
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", bad.alias("blocked"))
+    named = F.regexp_extract(url_rules.parts(F.col("url"))[1], r"/([0-9]+)", 1).try_cast("long")
+    rules = url_rules.learn_rules(pages.select("url", named.alias("doc_id")).join(labels, "doc_id"))
+    return url_rules.judge(pages, URL_RULES, rules).select("page_id", "judged.*")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42)
     restored = fill_in_middle.restore(F.col("fim.output"), F.col("fim.form"))
@@ -100,7 +114,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_template_leaks, op2_mixing, op3_hilbert_sharding, op4_html_blocks, op5_token_files, op6_fingerprint_index, op7_token_counts, op8_suffix_array, op9_decision_list, op10_ngram_join, op11_source_divergence, op13_fill_in_middle)
+    f.__name__: f for f in (op1_template_leaks, op2_mixing, op3_hilbert_sharding, op4_html_blocks, op5_token_files, op6_fingerprint_index, op7_token_counts, op8_suffix_array, op9_decision_list, op10_ngram_join, op11_source_divergence, op12_url_rules, op13_fill_in_middle)
 }
 SQL: dict[str, str] = {
     "op11_source_divergence": r"""
@@ -117,6 +131,27 @@ pairs as (select a.lang, a.source, b.source as item, cast(coalesce(sum(abs(x.p -
   left join m x on x.lang = a.lang and x.source = a.source left join m y on y.lang = b.lang and y.source = b.source and y.term = x.term group by 1, 2, 3),
 both_parts as (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', term, p - q from m where n > 0 and p > q)
 select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as int) as rank from both_parts qualify part = 'pair' or rank <= 50""",
+    "op12_url_rules": r"""
+with u as (select page_id, row_number() over () as no, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(.*)$', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(.*)$', 2), '') as path, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(.*)$', 3), '') as rest from pages),
+parts as (select *, unnest([{'mark': 'h:', 'part': host}, {'mark': 'p:', 'part': path}, {'mark': 'q:', 'part': rest}]) as x, unnest([1, 2, 3]) as part_no from u),
+said as (select no, part_no, mark || unnest(f) as token, generate_subscripts(f, 1) as place from (select no, part_no, x.mark as mark, regexp_extract_all(translate(x.part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as f from parts)),
+toks as (select no, token, row_number() over (partition by no order by part_no, place) as place from (select no, token, min(part_no) as part_no, min_by(place, part_no * 1000000 + place) as place from said group by no, token)),
+named as (select no, try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') as bigint) as doc_id from u),
+labelled as (select row_number() over () as id, no, coalesce(quality = 0, false) or coalesce(toxic = 1, false) as blocked from named join labels using (doc_id)),
+n as (select count(*) as n, greatest(10, ceil(0.005 * count(*))) as enough, count(*) filter (blocked) as n_block from labelled),
+t as (select id, blocked, token from (select id, blocked, token, row_number() over (partition by id order by place) as nth from labelled join toks using (no) where length(token) <= 64) where nth <= 16),
+sets as (select blocked, [token] as s from t union all select a.blocked, [a.token, b.token] from t a join t b on a.id = b.id and a.token < b.token
+  union all select a.blocked, [a.token, b.token, c.token] from t a join t b on a.id = b.id and a.token < b.token join t c on c.id = a.id and b.token < c.token),
+stats as (select s, count(*) as covered, count(*) filter (blocked) as blocks from sets group by s),
+sides as (select s, covered, blocks as n_right, 'block' as verdict from stats union all select s, covered, covered - blocks, 'allow' from stats),
+rules as (select s, verdict, row_number() over (order by n_right / covered desc, n_right desc, len(s), s) as place from sides, n
+  where n_right >= enough and 100 * n_right >= 80 * covered and n_right * n > covered * case verdict when 'block' then n_block else n - n_block end),
+fits as (select no, min(place) as place from rules join (select no, list(token) as tokens from toks group by no) on list_has_all(tokens, s) group by no),
+listed as (select *, case when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'block example.org/es/' when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'block example.org/en/1'
+  when (host = 'com' or host like '%.com') and starts_with(path, '/fr/') then 'allow com/fr/' when (host = 'com' or host like '%.com') and starts_with(path, '/de/') then 'block com/de/' when (host = 'org' or host like '%.org') and starts_with(path, '/') then 'allow org/' end as rule_text from u)
+select page_id, host, path, split_part(rule_text, ' ', 2) as rule, coalesce(split_part(rule_text, ' ', 1), verdict, 'allow') as verdict, case when rule_text is null then array_to_string(s, ' ') end as because
+from listed left join fits using (no) left join rules using (place)""",
     "op13_fill_in_middle": r"""
 with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
 u as (select doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as tok,
