@@ -1,13 +1,17 @@
-"""Retrieval as batch jobs: questions are a table, matched with chunks by tokens, BM25 and vectors."""
+"""Retrieval as batch jobs: questions are a table, matched with chunks by BM25 over an inverted index and by vectors."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..streaming.streams import shared_folder
+from . import inverted
+
 #: Bytes of question vectors that are broadcast at most; beyond it questions go in blocks.
 MAX_BROADCAST = 64 << 20
-K1, B = 1.5, 0.75
 
 
 def tokens(text: Column) -> Column:
@@ -18,24 +22,13 @@ def tokens(text: Column) -> Column:
 def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int = 5, cap: int = 2) -> DataFrame:
     """For each question the best k chunks, at most cap of a source: question_id, chunk_id, source, score, rank.
 
-    Tokens are an equi-join of the questions' distinct tokens with the chunks', so only chunks that share
-    a token are looked at. BM25 has no document frequency; the average length is over a question's candidates.
+    BM25 has no document frequency; the average length is over a question's candidates, which are the chunks that share
+    a token with it. Chunks are indexed first; see inverted.py for how blocks are searched and skipped.
     """
-    asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    split = chunks.select("chunk_id", "source", tokens(F.col("text")).alias("tokens"))  # matched once for each text
-    words = split.select("chunk_id", "source", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counted = words.join(asked.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "source", "n", "token").agg(F.count("*").alias("tf"))
-    # one row for each question and chunk, which the mean and the score are both worked out from
-    pairs = asked.join(counted, "token").groupBy("question_id", "chunk_id", "source", "n").agg(F.sort_array(F.collect_list("tf")).alias("tfs"))
-    means = pairs.groupBy("question_id").agg(F.avg("n").alias("mean"))
-    pairs = pairs.join(means, "question_id")
-    weight = K1 * (1 - B + B * F.col("n") / F.col("mean"))
-    score = F.aggregate("tfs", F.lit(0.0), lambda s, tf: s + tf * (K1 + 1) / (tf + weight))
-    scored = pairs.select("question_id", "chunk_id", "source", F.round(score, 5).alias("score"))
-    by_source = Window.partitionBy("question_id", "source").orderBy(F.desc("score"), "chunk_id")
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    capped = scored.withColumn("in_source", F.row_number().over(by_source)).where(F.col("in_source") <= cap)
-    return capped.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("question_id", "chunk_id", "source", "score", "rank")
+    path = f"{shared_folder(chunks.sparkSession)}/inverted-{uuid.uuid4().hex}"
+    index = inverted.build_index(chunks, tokens, "chunk_id", ["source"], path)
+    best = index.search(questions, tokens(F.col("text")), inverted.bm25, k, cap, "source", with_means=True)
+    return best.select("question_id", "row.chunk_id", "row.source", F.round(F.col("points") / 10**inverted.PLACES, inverted.PLACES).alias("score"), "rank")
 
 
 def every_pair(queries: DataFrame, vectors: DataFrame, of: DataFrame | None = None) -> DataFrame:

@@ -5,14 +5,18 @@ Each query is a DataFrame job; its SQL is written apart from it, from the descri
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import views
+from ..streaming.streams import shared_folder
+from . import inverted
 from .corpus import HITS
-from .retrieval import K1, B, tokens
+from .inverted import K1, B
+from .retrieval import tokens
 from .vectors import dot
 
 #: Candidates of a question, the best by shared tokens; a setting of the search.
@@ -28,14 +32,24 @@ WEIGHTS = {"overlap": 1, "keyword": 2, "core": 4, "number": 8, "phrase": 80, "he
 LEXICAL_WEIGHTS = {"overlap": 1, "keyword": 1, "core": 2, "number": 4, "phrase": 30, "heading": 6, "noise": -40}
 LEXICAL_BASE = 8
 
+#: The same candidates as SQL, for the engine that checks.
 CANDIDATES = f"""
 with {HITS} select r.question_id, r.chunk_id, r.source, r.page, r.doc_id, r.hits, r.rank, c.text, b.text as question
 from ranked r join (select chunk_id, text from v_chunks) c on c.chunk_id = r.chunk_id join benchmark b on b.item_id = r.question_id where r.rank <= {WINDOW}"""
 
 
+def letters(text: Column) -> Column:
+    """Runs of four letters of the corpus languages or more, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({views.LETTERS}{{4,}})"), 1)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """question_id, chunk_id, source, page, doc_id, hits, rank, and both texts."""
-    return views.run(spark, sf_dir, CANDIDATES)
+    """question_id, chunk_id, source, page, doc_id, hits, rank, and both texts: for each question the WINDOW chunks that share most words with it, from an index of the chunks; texts are fetched for those only."""
+    chunks = views.run(spark, sf_dir, "select chunk_id, source, page, doc_id, text from v_chunks")
+    questions = views.run(spark, sf_dir, "select item_id as question_id, text as question from benchmark")
+    index = inverted.build_index(chunks, letters, "chunk_id", ["source", "page", "doc_id"], f"{shared_folder(spark)}/inverted-{uuid.uuid4().hex}")
+    best = index.search(questions, letters(F.col("question")), inverted.shared_words, WINDOW).select("question_id", "row.*", F.col("points").alias("hits"), "rank")
+    return best.join(chunks.select("chunk_id", "text"), "chunk_id").join(questions, "question_id")
 
 
 def bare(text: Column) -> Column:
