@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources import views
 from ..streaming.streams import shared_folder
+from . import versioned
 
 
 def incremental_diff(old: DataFrame, new: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -88,18 +90,16 @@ def current(spark: SparkSession, root: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/{names[-1].split('-', 1)[1]}") if names else spark.createDataFrame([], schema)
 
 
-def sync_index(stream: DataFrame, root: str) -> DataFrame:
-    """A stream of sources (path, hash, text) into an index under root: each batch's changed sources replace those of the version there is, and the result is published as the next."""
-    spark = stream.sparkSession
+def sync_index(stream: DataFrame, root: str, key: str = "path", fan: int = versioned.FAN) -> versioned.VersionedTable:
+    """A stream of changes (key, other columns, version, deleted) into an index under root.
 
-    def merge(batch: DataFrame, number: int) -> None:
-        index = current(spark, root, stream.schema)
-        latest = batch.groupBy("path").agg(F.max_by(F.struct(*stream.columns), "hash").alias("r")).select("r.*")
-        changed = latest.join(index.select("path", "hash"), ["path", "hash"], "left_anti")
-        publish(index.join(changed, "path", "left_anti").unionByName(changed), root)
-
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return current(spark, root, stream.schema)
+    A batch writes its changes alone, whatever the size of the index: of two versions of a source the higher counts, also
+    if it came in an earlier batch, and a deleted source leaves. Batches that are run again change nothing.
+    """
+    schema = StructType([f for f in stream.schema.fields if f.name not in ("version", "deleted")])
+    table = versioned.VersionedTable(stream.sparkSession, f"{root}/runs", schema, key, fan)
+    stream.writeStream.foreachBatch(table.apply).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return table
 
 
 # -- queries ------------------------------------------------------------------------------------------------------------
@@ -136,7 +136,8 @@ def synced(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/document[s].parquet")
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    return sync_index(docs.select(path.alias("path"), F.md5("text").alias("hash"), "text"), f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}")
+    changes = docs.select(path.alias("path"), F.md5("text").alias("hash"), "text", F.col("doc_id").alias("version"), F.lit(False).alias("deleted"))
+    return sync_index(changes, f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}").read()
 
 
 QUERIES = {

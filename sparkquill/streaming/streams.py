@@ -9,15 +9,22 @@ once, when the watermark has passed its end, and what comes later than that is d
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 #: How late an event may come; sessions end and repeated questions are forgotten after these times.
 LATE, IDLE, REPEAT = "1 hour", "30 minutes", "300 seconds"
+#: How long after its last decision a review is kept, and what is given of it.
+KEEP = dt.timedelta(days=30)
+REVIEW = "user_id long, state string, us long, ended boolean"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +61,60 @@ def deduped(stream: DataFrame) -> DataFrame:
     return stream.select("event_id", "user_id", "event_type", "ts").withWatermark("ts", REPEAT).dropDuplicatesWithinWatermark(["user_id", "event_type"])
 
 
-def review_state(stream: DataFrame) -> DataFrame:
-    """The latest decision on each interaction: user_id, state, decided_at."""
-    last = F.max_by("event_type", F.struct("ts", "event_id")).alias("state")
-    return stream.groupBy("user_id").agg(last, F.max("ts").alias("decided_at"))
+class Reviews(StatefulProcessor):
+    """Of each key the latest decision: its time, event and state. A timer, set anew by each later decision, ends the review and forgets it."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "us long, event_id long, state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        had = self.latest.get() if self.latest.exists() else None
+        best = had
+        for r in rows:
+            decision = (r.us, r.event_id, r.event_type)
+            if r.us // 1000 >= passed and (best is None or decision[:2] > tuple(best)[:2]):  # late ones may be of a review that has ended
+                best = decision
+        if best is not had:
+            if had is not None:
+                self.handle.deleteTimer(had[0] // 1000 + self.keep_ms)
+            self.handle.registerTimer(best[0] // 1000 + self.keep_ms)
+            self.latest.update(tuple(best))
+            yield Row(user_id=key[0], state=best[2], us=best[0], ended=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.latest.exists():
+            us, _, state = self.latest.get()
+            self.latest.clear()
+            yield Row(user_id=key[0], state=state, us=us, ended=True)
+
+
+def review_state(stream: DataFrame, keep: dt.timedelta = KEEP) -> DataFrame:
+    """user_id, state, decided_at, ended: the latest decision of each user by time and event, each time that it changes, and once more when the review ends.
+
+    A review ends when the watermark, LATE behind the latest event, has passed its last decision by keep; it is then
+    forgotten, so that the state holds the users of that time only. Decisions behind the watermark are dropped, repeated
+    ones change nothing; a user who decides again later has a new review.
+    """
+    rows = stream.select("user_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "event_type").withWatermark("ts", LATE).groupBy("user_id")
+    out = rows.transformWithState(Reviews(int(keep.total_seconds() * 1000)), REVIEW, "Update", "EventTime")
+    return out.select("user_id", "state", F.timestamp_micros("us").alias("decided_at"), "ended")
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start meanwhile keep their state in RocksDB, as timers need it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -81,7 +138,8 @@ def drain(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFr
         batch.write.mode("overwrite").parquet(path)
         written.append(path)
 
-    stream.writeStream.outputMode("update" if keys else "append").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with state_in_rocksdb(spark):
+        stream.writeStream.outputMode("update" if keys else "append").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     if not written:
         return spark.createDataFrame([], stream.schema)
     rows = spark.read.option("basePath", f"{base}/rows").schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(*sorted(set(written)))
@@ -90,7 +148,7 @@ def drain(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFr
 
 def registered(name: str, operator, keys: list[str] | None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = drain(operator(events(spark, sf_dir)), name, keys)
+        out = drain(operator(events(spark, sf_dir)), name, keys).drop("ended")
         # as in the table: without a time zone
         return out.select(*(F.col(f.name).cast("timestamp_ntz") if f.dataType.typeName() == "timestamp" else f.name for f in out.schema))
 

@@ -51,19 +51,37 @@ def test_repeats_within_the_time_are_dropped(stream):
     assert {3, 4, 6, 7, 8, 9, 10} <= got and len(got & {1, 2}) == 1 and 5 not in got
 
 
+def reviews(stream, *batches, keep=60):
+    out = streams.review_state(stream(*batches), dt.timedelta(minutes=keep))
+    return {(r.user_id, r.state, r.decided_at, r.ended) for r in streams.drain(out, "reviews", ["user_id"]).collect()}
+
+
 def test_the_latest_decision_wins_over_batches(stream):
-    s = stream([(1, 0, 1, "view"), (2, 5, 2, "view")], [(3, 9, 1, "error")], [(4, 3, 1, "click")])
-    got = {(r.user_id, r.state, r.decided_at) for r in streams.drain(streams.review_state(s), "reviews", ["user_id"]).collect()}
-    assert got == {(1, "error", at(9)), (2, "view", at(5))}
-
-
-def test_index_follows_its_sources(spark, tmp_path):
-    ddl = "path string, hash string, text string"
-    root = f"file://{tmp_path}/index"
-    for rows in ([("a", "1", "x"), ("b", "1", "y")], [("a", "2", "z"), ("c", "1", "w")]):
-        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        out = maintenance.sync_index(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")), root)
-    assert sorted(map(tuple, out.collect())) == [("a", "2", "z"), ("b", "1", "y"), ("c", "1", "w")]
+    # an earlier and a repeated decision of later batches change nothing; of one time the larger event counts
+    got = reviews(stream, [(1, 0, 1, "view"), (2, 5, 2, "view")], [(3, 9, 1, "error"), (4, 9, 1, "click")], [(5, 3, 1, "click"), (4, 9, 1, "click")])
+    assert got == {(1, "click", at(9), False), (2, "view", at(5), False)}
+
+
+def test_a_review_ends_after_its_time_and_late_decisions_are_dropped(stream):
+    # user 3 moves the watermark an hour behind 300, so users 1 and 2 end; what user 1 decides at 12 is late, what user 2 decides at 290 opens a new review
+    got = reviews(stream, [(1, 10, 1, "view"), (2, 20, 2, "view")], [(3, 300, 3, "view")], [(4, 12, 1, "error"), (5, 290, 2, "click")])
+    assert got == {(1, "view", at(10), True), (2, "click", at(290), False), (3, "view", at(300), False)}
+
+
+def test_a_later_decision_moves_the_end(stream):
+    got = reviews(stream, [(1, 10, 1, "view")], [(2, 60, 1, "error"), (3, 100, 2, "view")], [(4, 150, 2, "view")], [(5, 151, 2, "view")])
+    assert got == {(1, "error", at(60), False), (2, "view", at(151), False)}
+
+
+def test_the_state_of_reviews_is_bounded(spark, stream, tmp_path):
+    """Each batch has new users; those of earlier ones are forgotten."""
+    batches = [[(100 * b + i, 200 * b + i, 100 * b + i, "view") for i in range(20)] for b in range(8)]
+    out, seen = streams.review_state(stream(*batches), dt.timedelta(minutes=30)), []
+    with streams.state_in_rocksdb(spark):
+        query = out.writeStream.outputMode("update").foreachBatch(lambda df, n: seen.append(df.count())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert sum(seen) >= 8 * 20 + 6 * 20 and max(rows) <= 3 * rows[0]
 
 
 def test_an_empty_build_is_not_published(spark, tmp_path):
