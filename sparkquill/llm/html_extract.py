@@ -2,17 +2,21 @@
 
 A page becomes a flat list of text blocks, each with its word count and link density, those of its
 neighbours, and what kind of element holds it. A decision tree, trained on the small labelled table
-below, tells the article's blocks from the rest; the tree is one Spark conditional expression. Its
-first levels ask of word counts and link densities only, of the block and of its neighbours. The
-element is asked below them: a short paragraph of an article and a short notice have the same counts.
+below, tells the article's blocks from the rest; the tree is one Spark conditional expression. Each
+labelled page is learned from twice, as it is and with all elements taken for plain ones, and any
+question may be asked at any level. Where a leaf has seen few blocks, the element is asked too.
 """
 
 from __future__ import annotations
 
+import collections
 import html
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,7 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "address"}
 ARTICLE = {"article", "main"}
 WHOLE = {"html", "body"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsored|promo|promotion|banner|cookies?|consent|notice|popup|modal|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widget|footer|header|masthead|comments?|replies|reply|disqus|share|sharing|social|related|recommended|subscribe|subscription|newsletter|signup|login|search|pagination|pager|copyright|toolbar|skip)(?:$|[\s_-])", re.I)
 #: Of an article only these: readers' comments and adverts are articles too.
 ARTICLE_HINT = re.compile(r"^(?:ads?|adverts?|advertisement|sponsored|promo|promotion|comments?|reply|replies|related|recommended|teaser)(?:$|[_-])", re.I)
@@ -33,15 +38,17 @@ ARTICLE_HINT = re.compile(r"^(?:ads?|adverts?|advertisement|sponsored|promo|prom
 ABOUT = ("with-", "has-", "no-", "without-", "hide-", "show-")
 ROLE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
-#: What the first TEXT_LEVELS levels of the tree may ask, and what the others may.
+#: What the tree may ask: words and link densities of a block and its neighbours (0 where there is none), whether it is a heading, and two of the elements around it.
 TEXT_FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after"]
-FEATURES = [*TEXT_FEATURES, "in_article", "in_shell"]
-TEXT_LEVELS = 2
-#: Labelled blocks on either side of a question, in the first levels and below them.
-LEAST_BLOCKS = (4, 2)
-BLOCK = "array<struct<text:string,words:int,link_density:double,words_before:int,link_density_before:double,words_after:int,link_density_after:double,in_article:int,in_shell:int,label:int>>"
-
-#: The labelled table: small pages, y="1" on what holds the article and y="0" on the rest.
+ELEMENT_FEATURES = ["in_article", "in_shell"]
+FEATURES = [*TEXT_FEATURES, "heading", *ELEMENT_FEATURES]
+#: Questions one below the other, blocks on either side of one, and blocks that a leaf must have seen to be sure without the element.
+DEPTH, LEAST_BLOCKS, SURE = 10, 6, 100
+#: An element that holds this share of a page's words is no shell, whatever its name.
+MOST = 0.5
+BLOCK = "array<struct<text:string,words:int,link_density:double,words_before:int,link_density_before:double,words_after:int,link_density_after:double,heading:int,in_article:int,in_shell:int,label:int>>"
+
+#: The labelled table, to which made_page() adds: small pages, y="1" on what holds the article and y="0" on the rest.
 LABELLED = [
     '<body><nav y="0"><ul><li><a href="/a">Home</a></li><li><a href="/b">World news</a></li></ul></nav><div class="ad" y="0">Buy two lamps and get a third one for nothing today.</div><article y="1"><h1>A long walk by the river</h1><p>We left the town before the sun was up and followed the water for many hours.</p><p>Short.</p><p>Later the path turned away from the river and climbed a low hill with old trees.</p></article><footer y="0">&copy; Example press, all rights reserved.</footer></body>',
     '<body><header y="0"><a href="/">The daily page</a></header><main y="1"><h2>Bread</h2><p>Mix <a href="/f">flour</a> and water, then wait.</p><ul><li>One pound of flour</li><li>Salt</li></ul><p>Bake until the crust is brown and the loaf sounds hollow when tapped from below.</p></main><aside y="0"><h3>Related</h3><p>How to bake rolls in a small oven at home</p></aside><footer y="0"><p>Write to us at the address on this page.</p></footer></body>',
@@ -61,6 +68,32 @@ LABELLED = [
 ]
 
 
+#: Words and number of the pages that made_page() adds to the table.
+FILL = "the river carried old boats past a mill where people of the town had kept bees and bread for many winters while snow lay on hills and no road led north".split()
+MADE = 170
+
+
+def made_page(seed: int) -> str:
+    """A labelled page with links, an advert, an article and perhaps a sidebar and a footer; half of the pages name their elements, the other half have plain boxes."""
+    rng, bare = random.Random(seed), seed % 2
+    say = lambda lo, hi: " ".join(rng.choice(FILL) for _ in range(rng.randint(lo, hi)))
+    links = lambda n, most: "".join(f'<li><a href="/{i}">{say(1, most)}</a></li>' for i in range(n))
+    box = lambda tag, inner, y: f'<{"div" if bare else tag} y="{y}">{inner}</{"div" if bare else tag}>'
+    kinds = [lambda: f"<p>{say(25, 160)}</p>", lambda: f"<p>{say(1, 24)}</p>", lambda: f"<ul><li>{say(2, 9)}</li><li>{say(2, 9)}</li></ul>", lambda: f"<ul>{links(rng.randint(2, 4), 4)}</ul>"]
+    heads = [lambda: f"<h1>{say(1, 8)}</h1>", lambda: f"<h1>{say(4, 24)}</h1>", lambda: f"<h1>{say(12, 60)}</h1>", lambda: f"<p>{say(12, 40)}</p>"]
+    ends = [lambda: say(1, 4), lambda: say(5, 24), lambda: say(25, 120)]
+    out = box("nav", f"<ul>{links(rng.randint(1, 9), 3)}</ul>", 0) if rng.random() < 0.8 else ""
+    if rng.random() < 0.7:
+        out += f'<div class="{"" if bare else "ad"}" y="0">{say(3, rng.choice([14] * 6 + [24]))}</div>'
+    body = [f() for f in rng.choices(kinds, [65, 20, 10, 5], k=rng.randint(2, 8))]
+    out += box("article", f"{rng.choices(heads, [50, 35, 5, 10])[0]()}{''.join(body)}<p>{rng.choices(ends, [35, 35, 30])[0]()}</p>", 1)
+    if rng.random() < 0.4:
+        out += box("aside", f"<ul>{links(rng.randint(2, 6), 5)}</ul>", 0)
+    if rng.random() < 0.5:
+        out += box("footer", f"<p>{say(5, 30)}</p>", 0)
+    return f"<body>{out}</body>"
+
+
 def boiler_name(attributes: str, hint: re.Pattern) -> bool:
     """Whether a class, id or role among these attributes says that the element is no text of the article."""
     names = (n for x in ROLE.findall(attributes) for n in (x[0] or x[1] or x[2]).split())
@@ -68,9 +101,10 @@ def boiler_name(attributes: str, hint: re.Pattern) -> bool:
 
 
 def blocks(page: str) -> list[tuple]:
-    """(text, words, link words, in_article, in_boiler, label) for each block of text, in page order."""
+    """(text, words, link words, in_article, hinted elements that hold it, in_boiler, label, heading) for each block of text, in page order."""
     out: list[tuple] = []
-    stack: list[tuple[str, int, int, int]] = []  # tag, then what holds inside it: article, boiler, label
+    stack: list[tuple[str, int, tuple, int, int]] = []  # tag, then what holds inside it: article, hinted elements, boiler, label
+    n_hinted = 0
     text, link = [], 0
     linked: list[str] = []
 
@@ -78,8 +112,8 @@ def blocks(page: str) -> list[tuple]:
         nonlocal link
         words = "".join(text).split()
         if words:
-            state = stack[-1][1:] if stack else (0, 0, -1)
-            out.append((" ".join(words), len(words), len("".join(linked).split()), *state))
+            tag, *state = stack[-1] if stack else ("", 0, (), 0, -1)
+            out.append((" ".join(words), len(words), len("".join(linked).split()), *state, int(tag in HEADINGS)))
         text.clear()
         linked.clear()
 
@@ -119,9 +153,10 @@ def blocks(page: str) -> list[tuple]:
             continue
         while stack and (stack[-1][0] == "p" or stack[-1][0] == tag in ("li", "tr", "td", "th", "dt", "dd", "option")):
             stack.pop()
-        a, b, y = stack[-1][1:] if stack else (0, 0, -1)
+        a, held, b, y = stack[-1][1:] if stack else (0, (), 0, -1)
         given = re.search(r'\by="([01])"', m[3])
-        stack.append((tag, int(a or tag in ARTICLE), int(b or tag in BOILER or hinted), int(given[1]) if given else y))
+        n_hinted += hinted
+        stack.append((tag, int(a or tag in ARTICLE), (*held, n_hinted) if hinted else held, int(b or tag in BOILER), int(given[1]) if given else y))
     flush()
     return out
 
@@ -129,42 +164,53 @@ def blocks(page: str) -> list[tuple]:
 def described(page: str) -> list[dict]:
     """BLOCK entries of a page."""
     found = blocks(page)
-    articles = any(b[3] and not b[4] for b in found)  # then all that is outside them is shell
-    density = [b[2] / b[1] for b in found]
-    words = [b[1] for b in found]
-    at = lambda v, i: v[min(max(i, 0), len(v) - 1)]  # at an end of the page the block stands for the neighbour it has not
+    total, inside = sum(b[1] for b in found), collections.Counter()
+    for b in found:
+        inside.update(dict.fromkeys(b[4], b[1]))
+    wrappers = {h for h, n in inside.items() if n > MOST * total}
+    shell = [bool(b[5] or set(b[4]) - wrappers) for b in found]
+    articles = any(b[3] and not s for b, s in zip(found, shell))  # then all that is outside them is shell
+    words, density = [0, *(b[1] for b in found), 0], [0.0, *(b[2] / b[1] for b in found), 0.0]
     return [
-        {"text": b[0], "words": b[1], "link_density": density[i], "words_before": at(words, i - 1), "link_density_before": float(at(density, i - 1)), "words_after": at(words, i + 1), "link_density_after": float(at(density, i + 1)), "in_article": int(b[3] and not b[4]), "in_shell": int(b[4] or (articles and not b[3])), "label": b[5]}
-        for i, b in enumerate(found)
+        {"text": b[0], "words": b[1], "link_density": density[i], "words_before": words[i - 1], "link_density_before": density[i - 1], "words_after": words[i + 1], "link_density_after": density[i + 1], "heading": b[7], "in_article": int(b[3] and not s), "in_shell": int(s or (articles and not b[3])), "label": b[6]}
+        for i, (b, s) in enumerate(zip(found, shell), 1)
     ]
 
 
-def grow_tree(rows: list[dict], level: int = 0, depth: int = 6) -> dict:
-    """A binary tree by Gini impurity: {'y': label} or {'f': feature, 't': threshold, 'le': tree, 'gt': tree}."""
-    ones = sum(r["label"] for r in rows)
-    leaf = {"y": int(2 * ones >= len(rows))}
-    if level == depth or ones in (0, len(rows)):
-        return leaf
+def grow_tree(x: np.ndarray, y: np.ndarray, level: int = 0) -> dict:
+    """A binary tree by Gini impurity over rows of FEATURES: {'y': label} or {'f': feature, 't': threshold, 'le': tree, 'gt': tree}."""
+    n, ones = len(y), int(y.sum())
+    leaf = {"y": int(2 * ones >= n)}
     best = (1e-9, None)
-    gini = lambda n, p: 2 * p * (n - p) / n if n else 0
-    for f in TEXT_FEATURES if level < TEXT_LEVELS else FEATURES:
-        values = sorted({r[f] for r in rows})
-        for lo, hi in zip(values, values[1:]):
-            t = (lo + hi) / 2
-            left = [r["label"] for r in rows if r[f] <= t]
-            if min(len(left), len(rows) - len(left)) < LEAST_BLOCKS[level >= TEXT_LEVELS]:
-                continue
-            gain = gini(len(rows), ones) - gini(len(left), sum(left)) - gini(len(rows) - len(left), ones - sum(left))
-            if gain > best[0] + 1e-12:
-                best = (gain, (f, t))
+    gini = lambda n, p: 2 * p * (n - p) / n
+    if level < DEPTH and 0 < ones < n:
+        for f in range(x.shape[1]):
+            order = np.argsort(x[:, f], kind="stable")
+            value, left = x[order, f], np.cumsum(y[order])
+            cut = np.arange(LEAST_BLOCKS, n - LEAST_BLOCKS + 1)
+            cut = cut[value[cut - 1] < value[np.minimum(cut, n - 1)]]
+            if len(cut):
+                gain = gini(n, ones) - gini(cut, left[cut - 1]) - gini(n - cut, ones - left[cut - 1])
+                at = int(np.argmax(gain))
+                if gain[at] > best[0] + 1e-12:
+                    best = (gain[at], (f, float(value[cut[at] - 1] + value[cut[at]]) / 2))
     if best[1] is None:
-        return leaf
+        if n >= SURE:
+            return leaf
+        return {"f": "in_shell", "t": 0.5, "le": {"f": "in_article", "t": 0.5, "le": leaf, "gt": {"y": 1}}, "gt": {"y": 0}}
     f, t = best[1]
-    return {"f": f, "t": t, "le": grow_tree([r for r in rows if r[f] <= t], level + 1, depth), "gt": grow_tree([r for r in rows if r[f] > t], level + 1, depth)}
-
-
-def train(pages: list[str] = LABELLED) -> dict:
-    return grow_tree([b for p in pages for b in described(p) if b["label"] >= 0])
+    low = x[:, f] <= t
+    return {"f": FEATURES[f], "t": t, "le": grow_tree(x[low], y[low], level + 1), "gt": grow_tree(x[~low], y[~low], level + 1)}
+
+
+@lru_cache(1)
+def train() -> dict:
+    """The tree of the labelled table."""
+    found = [b for p in [*LABELLED, *map(made_page, range(MADE))] for b in described(p) if b["label"] >= 0]
+    rows = np.array([[b[f] for f in FEATURES] for b in found], float)
+    plain = rows.copy()
+    plain[:, -len(ELEMENT_FEATURES) :] = 0
+    return grow_tree(np.concatenate([rows, plain]), np.tile([b["label"] for b in found], 2))
 
 
 def tree_column(tree: dict, block: Column) -> Column:

@@ -191,8 +191,8 @@ PAGES = {
     "boxes in an article": (f"<article><h1>Flood</h1><nav><a href='/a'>Top</a> <a href='/b'>End</a></nav><p>{TEXT}</p><aside><p>Readers also liked the story of the old mill by the river.</p></aside><form><p>Send us your own pictures of the flood tonight</p></form><p>Short.</p><footer><p>Printed by the river press in town.</p></footer></article>", f"Flood\n{TEXT}\nShort."),
     "header in main": (f"<main><header><p>Filed under water on a Monday</p></header><p>{TEXT}</p></main>", TEXT),
     "comments are articles": (f"<article><p>{TEXT}</p></article><article class='comment'><p>I was there and saw it all from the hill, what a night that was.</p></article><div class='comments'><article><p>Thank you for this, it is just as I remember it from then.</p></article></div>", TEXT),
-    "no article, last block": (f"<div class='menu'><a href='/'>Home</a></div><div><p>{TEXT}</p><p>The mill stood.</p></div>", f"{TEXT}\nThe mill stood."),
-    "no article, one word": (f"<div><p>{TEXT}</p><p>Then it was over for us all.</p><p>Silence.</p></div><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul>", f"{TEXT}\nThen it was over for us all.\nSilence."),
+    "no article, last block": (f"<div class='menu'><a href='/'>Home</a></div><div><p>{TEXT} {TEXT}</p><p>The mill stood.</p></div>", f"{TEXT} {TEXT}\nThe mill stood."),
+    "no article, one word": (f"<div><p>{TEXT} {TEXT}</p><p>Then it was over for us all.</p><p>Silence.</p></div><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul>", f"{TEXT} {TEXT}\nThen it was over for us all.\nSilence."),
     "inline marks": ("<article class='post has-comments'><p>Tea <b>and</b> caf&eacute;&nbsp;au\n lait<br>now</p><ul><li><a href='/x'>A link to it</a></li><li>x</li></ul></article>", "Tea and café au lait now\nA link to it\nx"),
 }
 
@@ -204,15 +204,53 @@ def test_pages_that_are_built_otherwise(spark, name):
     assert html_extract.extract(df).first().text == want
 
 
-def test_the_tree_asks_of_words_and_links_first():
-    tree = html_extract.train()
-    assert tree["f"] in html_extract.TEXT_FEATURES and {tree[x].get("f", "words") for x in ("le", "gt")} <= set(html_extract.TEXT_FEATURES)
-    blocks = [b for p in html_extract.LABELLED for b in html_extract.described(p)]
+BODY = f"<h1>Flood at the lower bridge</h1><p>{TEXT} {TEXT}</p><p>{TEXT} {TEXT} {TEXT}</p>"
+WRAPPED = {
+    "sidebar": f'<div class="menu"><a href="/">Home</a></div><div class="content-sidebar">{BODY}</div><div class="sidebar"><p>Most read this week</p></div>',
+    "header": f'<nav><a href="/">Home</a></nav><div class="wrap layout-header-fixed">{BODY}</div>',
+    "social": f'<section class="social-policy">{BODY}</section><div class="social"><a href="/s">Share</a></div>',
+    "share": f'<div class="article share-wrapper">{BODY}</div><div class="comments"><p>I saw it too.</p></div>',
+    "named twice": f'<div class="widget"><div class="content-sidebar">{BODY}<div class="ad">Buy a boat now.</div></div></div>',
+    "unnamed footer": f'<div><a href="/">Home</a> <a href="/n">News</a></div><div>{BODY}</div><div class="bottom">Copyright by the river press of the old town and of all its writers since the flood</div>',
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_a_name_on_what_holds_most_of_a_page_is_no_sign(spark, name):
+    df = spark.createDataFrame([(1, f"<html><body>{WRAPPED[name]}</body></html>"), (2, None), (2, "")] * 2, "page_id long, html string")
+    assert [r.text for r in html_extract.extract(df).collect()] == [f"Flood at the lower bridge\n{TEXT} {TEXT}\n{TEXT} {TEXT} {TEXT}", "", ""] * 2
+
+
+def test_a_very_long_page_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, f"<article>{BODY * 3000}</article><footer><p>The press.</p></footer>", "mine", 5)], "page_id long, html string, blocks string, label int")
+    row = html_extract.extract(df).first()
+    assert row.text == "\n".join(["Flood at the lower bridge", f"{TEXT} {TEXT}", f"{TEXT} {TEXT} {TEXT}"] * 3000) and row.label == 5
+
+
+def verdict(tree, block):
+    while "y" not in tree:
+        tree = tree["le"] if block[tree["f"]] <= tree["t"] else tree["gt"]
+    return tree["y"]
+
+
+@pytest.fixture(scope="module")
+def page_blocks():
+    import pyarrow.parquet as pq
+
+    return [b for r in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pylist() for b in html_extract.described(r["html"])]
+
+
+def test_words_and_links_find_the_articles_without_elements(page_blocks):
+    tree, plain = html_extract.train(), [b | dict.fromkeys(html_extract.ELEMENT_FEATURES, 0) for b in page_blocks]
+    pairs = [(verdict(tree, p), b["in_article"]) for p, b in zip(plain, page_blocks)]
+    assert 2 * sum(x and y for x, y in pairs) / sum(x + y for x, y in pairs) > 0.95
+    assert all(verdict(tree, b) == b["in_article"] for b in page_blocks)
 
-    def answer(t, b):
-        return t["y"] if "y" in t else answer(t["le"] if b[t["f"]] <= t["t"] else t["gt"], b)
 
-    assert all(answer(tree, b) == b["label"] for b in blocks)
+@pytest.mark.parametrize("feature", html_extract.TEXT_FEATURES)
+def test_each_text_feature_changes_verdicts(page_blocks, feature):
+    tree, plain = html_extract.train(), [b | dict.fromkeys(html_extract.ELEMENT_FEATURES, 0) for b in page_blocks]
+    assert any(sum(verdict(tree, b) != verdict(tree, b | {feature: v}) for b in plain) > 50 for v in (0, 1))
 
 
 NUMBER = re.compile(r"^([$€£]?)(\d[\d.,/:-]*)([a-zA-Z%$€£]*)$")
