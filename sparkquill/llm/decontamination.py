@@ -6,8 +6,10 @@ lower-cased and stripped of punctuation. A second form takes capitalised words a
 for names too, and a third has no placeholders, so that word-for-word copies are always found. Windows of
 template words are hash-joined with those of the benchmark. Hits of one item at one place of a text, on
 one diagonal or on some near each other, are judged together: they must cover enough of the item, and the
-slots, what stands behind the placeholders, must map consistently: one value of the item to one value of the text. So an item counts as leaked
-also where its numbers, names or units were changed, but not where a template merely looks alike.
+slots, what stands behind the placeholders, must map consistently: one value of the item to one value of the text,
+and one name of the text back to one name of the item. So an item counts as leaked also where its numbers,
+names or units were changed, but not where a template merely looks alike. A template says nothing if it has
+few words of its own: an item with fewer than LITERALS words that are no placeholders is found word for word only.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .text import SEPARATOR, U, grams, mix, ragged, span_hashes, text_slices, wo
 WINDOW = 8
 #: Share of an item's template windows that must be found at one place.
 COVER = 0.6
-#: So many words that are no placeholders must be in what was found, or all that the item has, if fewer.
+#: So many words that are no placeholders must an item have to be looked for as a template, and so many must be in what was found.
 LITERALS = 6
 #: Diagonals so near each other are one place of the text.
 SHIFT = 4
@@ -35,17 +37,15 @@ BLOCK_WINDOWS = 2_000_000
 #: Words that are units after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years w kw mw v kv a ma hz khz mhz ghz j kj cal kcal pa kpa bar k c f % $ € £ ¥ eur usd gbp euro euros dollar dollars cent cents percent degree degrees meter meters metre metres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres kb mb gb tb".split()
 
-#: Words that are numbers, in the languages of the corpus.
+#: Words that are numbers, in the languages of the corpus, but for those that are common words of another of them (once, seize, elf, cent, mil, mille).
 NUMBER_WORDS = """one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand
-dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil
-deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille
-zwei drei vier sechs sieben acht neun zehn elf dreizehn vierzehn zwanzig dreissig vierzig hundert tausend""".split()
+dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien
+deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze vingt trente quarante cinquante soixante
+zwei drei vier sechs sieben acht neun zehn dreizehn vierzehn zwanzig dreissig vierzig hundert tausend""".split()
 
 NUM, UNIT, NAME = (mix(np.array([n], U))[0] for n in (101, 102, 103))
 #: Forms of a text: capitalised words at the start of a sentence are literals, or names as others; no placeholders at all.
 STRICT, LOOSE, VERBATIM = FORMS = range(3)
-#: Literals that an item must have in a form to be looked for in it; with fewer a template says nothing. All are looked for verbatim.
-LEAST_LITERALS = {STRICT: 1, LOOSE: 2, VERBATIM: 0}
 LITERAL, SLOT_NUM, SLOT_UNIT, SLOT_NAME = 0, 1, 2, 3
 HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("item_windows", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("n_slots", pa.int64()), ("n_changed", pa.int64())])
 HIT_DDL = "doc_id long, item_id long, n_windows long, item_windows long, first_word long, last_word long, n_slots long, n_changed long"
@@ -164,7 +164,7 @@ class Words:
         return hashed[head], kind[head], own, self.rows[head], head
 
 
-def item_windows(items: Iterator[tuple[int, str]]) -> dict:
+def item_windows(items: Iterator[tuple[int, str]], literals: int) -> dict:
     """For each form, sorted template windows of the items of one block, with places, and the items' words."""
     found, ids = {f: ([], [], [], {}) for f in FORMS}, []
     for item, (name, text) in enumerate(items):
@@ -173,7 +173,7 @@ def item_windows(items: Iterator[tuple[int, str]]) -> dict:
         split = Words(data, np.array([0, len(data)]))
         for form, (hashes, owner, place, words) in found.items():
             h, kind, own, _, _ = split.template(form)
-            if not len(h) or int((kind == LITERAL).sum()) < LEAST_LITERALS[form]:
+            if not len(h) or (form != VERBATIM and int((kind == LITERAL).sum()) < literals):
                 continue
             k = min(WINDOW, len(h))
             words[item] = (kind, own, len(h) - k + 1, k)
@@ -192,12 +192,18 @@ def item_windows(items: Iterator[tuple[int, str]]) -> dict:
     return out
 
 
-def consistent(kind: np.ndarray, item_words: np.ndarray, words: np.ndarray) -> tuple[bool, int, int]:
-    """Whether slots map one value of the item to one of the text; number of slots, of changed ones."""
-    slots = kind != LITERAL
-    a, b = item_words[slots], words[slots]
+def one_to_one(a: np.ndarray, b: np.ndarray, back: bool) -> bool:
+    """Whether each value of a stands beside one value of b, and with back each of b beside one of a."""
     pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0))
-    return len(np.unique(pairs[0])) == pairs.shape[1], int(slots.sum()), int((a != b).sum())
+    return len(np.unique(pairs[0])) == pairs.shape[1] and (not back or len(np.unique(pairs[1])) == pairs.shape[1])
+
+
+def consistent(kind: np.ndarray, item_words: np.ndarray, words: np.ndarray) -> tuple[bool, int, int]:
+    """Whether slots map one value of the item to one of the text, and names back too; number of slots, of changed ones. A name that is also a literal of the item, where a sentence starts, is the same there."""
+    slots, name = kind != LITERAL, kind == SLOT_NAME
+    tied = name | ((kind == LITERAL) & np.isin(item_words, item_words[name]))
+    good = one_to_one(item_words[slots], words[slots], False) and one_to_one(item_words[tied], words[tied], True)
+    return good, int(slots.sum()), int((item_words[slots] != words[slots]).sum())
 
 
 def window_hits(block: dict, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -228,7 +234,7 @@ def judged(word: tuple, own: np.ndarray, diagonal: np.ndarray, place: np.ndarray
         covered = ragged(own_places, np.full(len(own_places), k))
         at[covered] = covered + d
     covered = np.flatnonzero(at >= 0)
-    if int((item_kind[covered] == LITERAL).sum()) < min(literals, int((item_kind == LITERAL).sum())):
+    if int((item_kind[covered] == LITERAL).sum()) < literals:
         return None
     good, slots, changed = consistent(item_kind[covered], item_own[covered], own[at[covered]])
     return (found, int(at[covered].min()), int(at[covered].max()), slots, changed) if good else None
@@ -289,7 +295,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text)
 
     def block(items: list) -> DataFrame:
-        index = spark.sparkContext.broadcast(item_windows(iter(items)))
+        index = spark.sparkContext.broadcast(item_windows(iter(items), literals))
         return rows.mapInArrow(find(index, cover, literals), HIT_DDL)
 
     held, size = [], 0

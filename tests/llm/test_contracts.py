@@ -256,32 +256,45 @@ def test_each_text_feature_changes_verdicts(page_blocks, feature):
 NUMBER = re.compile(r"^([$€£]?)(\d[\d.,/:-]*)([a-zA-Z%$€£]*)$")
 
 
-def brute_template(text):
-    """Words of a text without punctuation around them; numbers, the units on them and capitalised words inside it as slots."""
-    out = []
-    for n, w in enumerate(text.split()):
-        w = w.strip("(),.;:!?\"'")
+def brute_template(text, form):
+    """Words of a text without punctuation around them; numbers, the units on them and runs of capitalised words as slots: strict: inside a sentence, loose: anywhere, verbatim: no slots."""
+    out, fresh = [], True
+    for raw in text.split():
+        w = raw.strip("(),.;:!?\"'")
         m = NUMBER.match(w)
         if m:
             out += [("unit", m[1])] * bool(m[1]) + [("num", m[2])] + [("unit", m[3])] * bool(m[3])
-        elif n and w[:1].isupper():
-            out.append(("name", w.lower()))
+        elif out and out[-1][0] == "num" and w.lower() in decontamination.UNITS:
+            out.append(("unit", w.lower()))
+        elif w[:1].isupper() and (form == "loose" or not fresh):
+            if out and out[-1][0] == "name" and joined and not fresh:
+                out[-1] = ("name", f"{out[-1][1]} {w.lower()}")
+            else:
+                out.append(("name", w.lower()))
         elif w:
             out.append((w.lower(), None))
-    return out
+        fresh, joined = raw[-1:] in tuple(".!?:;"), raw[-1:] == w[-1:]
+    return [(x if y is None else y, None) for x, y in out] if form == "verbatim" else out
 
 
 def brute_leaks(texts, items):
-    """Items whose whole template stands somewhere in a text, with slots that map one to one value."""
+    """Items whose whole template stands somewhere in a text: slots map to one value, names one to one; with fewer than six literals word for word only."""
     found = set()
     for i, text in enumerate(texts):
-        t = brute_template(text)
         for j, item in enumerate(items):
-            q = brute_template(item)
-            for at in range(len(t) - len(q) + 1):
-                pairs = {(a[0], a[1], b[1]) for a, b in zip(q, t[at : at + len(q)]) if a[1] is not None}
-                if all(a[0] == b[0] for a, b in zip(q, t[at:])) and len({(k, a) for k, a, _ in pairs}) == len(pairs):
-                    found.add((i, j))
+            for form in ("strict", "loose", "verbatim"):
+                t, q = brute_template(text, form), brute_template(item, form)
+                if form != "verbatim" and sum(v is None for _, v in q) < 6:
+                    continue
+                names = {v for k, v in q if k == "name"}
+                for at in range(len(t) - len(q) + 1):
+                    here = t[at : at + len(q)]
+                    if any(a[0] != b[0] for a, b in zip(q, here)):
+                        continue
+                    pairs = {(a[1], b[1]) for a, b in zip(q, here) if a[1] is not None}
+                    tied = {(a[1] or a[0], b[1] or b[0]) for a, b in zip(q, here) if a[0] == "name" or (a[1] is None and a[0] in names)}
+                    if len({a for a, _ in pairs}) == len(pairs) and len({a for a, _ in tied}) == len({b for _, b in tied}) == len(tied):
+                        found.add((i, j))
     return found
 
 
@@ -290,26 +303,51 @@ def test_leaks_are_those_of_a_plain_matcher(spark):
         "when the train with twelve cars leaves at 10:30 it carries $400 of mail to Boston and comes back with 15% less",
         "each of the workers lifts 30kg of sand in 5 h so how much do they lift until the evening of the day",
         "the shop of Anna sells bread for 3 euros and milk for 2 euros while the shop of Berta sells both for 4 euros",
+        "Anna has 5 apples and then Ben takes 2 of them away, so how many apples does Anna have at the end of the day?",
+        "Who wrote Hamlet?",
+        "What is 12 times 13?",
+        "Is it 5 km?",
+        "What is the capital of France?",
+        "Ann Lee and Joe rode 20 km on the old road in the rain",
     ]
     changed = [
         items[0].replace("10:30", "7:45").replace("$400", "€85").replace("Boston", "Denver").replace("15%", "9%"),
         items[1].replace("30kg", "12lb").replace("5 h", "8 h"),
         items[2].replace("Anna", "Clara").replace("Berta", "Dora").replace("3 euros", "7 euros"),
-        items[2].replace("Berta", "Anna").replace("3 euros", "9 euros"),  # two of the item's names have become one, which is still a map
+        items[2].replace("Berta", "Anna").replace("3 euros", "9 euros"),  # two of the item's names have become one
         items[2].replace("2 euros", "2 pounds"),  # one unit has become two
         "nothing of the kind is in this text of many words that goes on for a while and then ends",
+        items[3].replace("does Anna", "does Ben"),
+        items[3].replace("Anna", "Clara").replace("5 apples", "7 apples"),
+        items[3].replace("Anna", "Ben").replace("then Ben", "then Anna"),
+        "Who wrote Emma? they said",
+        "what is 7 times 9",
+        "is it 9 miles",
+        "What is the capital of Germany?",
+        "who wrote Hamlet? it was he",
+        items[8].replace("Ann Lee", "Sue Ray").replace("20 km", "9 mi"),
     ]
     texts = [f"so we read on. it said that {c} and no more of it." for c in [*items, *changed]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench, cover=1.0).collect()}
     want = brute_leaks(texts, items)
-    assert {(3, 0), (5, 2)} <= want and got >= want and {x for x in got if x[0] == 8} == set()
+    assert got == want and {(i, j) for i, j in want if i >= len(items)} == {(9, 0), (10, 1), (11, 2), (16, 3), (17, 3), (22, 4), (23, 8)}
+
+
+def test_clashing_columns_and_odd_rows_of_leaks(spark):
+    item = "each of the workers lifts 30kg of sand in 5 h so how much do they lift until the evening of the day"
+    rows = [(1, f"We read that {item}", 7, "x"), (1, f"We read that {item}", 7, "x"), (2, None, 8, "y"), (None, item.replace("30kg", "9kg"), 9, "z"), (3, "", 1, "w"), (4, "word " * 60_000 + item, 2, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id long, n_windows string")
+    bench = spark.createDataFrame([(5, item, "q"), (6, None, "q"), (7, "", "q"), (None, item, "q")], "item_id long, text string, doc_id string")
+    same([(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()], [(1, 5), (1, 5), (None, 5), (4, 5)])
+    kept = decontamination.clean(df, bench)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.item_id, r.n_windows) for r in kept.collect()) == [(2, 8, "y"), (3, 1, "w")]
 
 
 def test_number_words_are_slots(spark):
-    items = ["if three workers dig the ditch in five days how long do nine workers need for it", "a box with twelve eggs"]
-    texts = [f"They ask: {items[0].replace('three', 'seven').replace('five', '6').replace('nine', 'eleven')}", f"They ask: {items[0].replace('workers', 'horses')}", "We bought a box with ten eggs"]
+    items = ["if three workers dig the ditch in five days how long do nine workers need for it", "a box with twelve eggs stood on the table by the door", "a box with nine pears"]
+    texts = [f"They ask: {items[0].replace('three', 'seven').replace('five', '6').replace('nine', 'eleven')}", f"They ask: {items[0].replace('workers', 'horses')}", "We saw that a box with ten eggs stood on the table by the door, and once more a box with two pears"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()) == [(0, 0), (2, 1)]
