@@ -7,15 +7,7 @@ from __future__ import annotations
 
 #: A line that opens a section: short, a few words, no stop at its end.
 HEADING = "(length(trim(line)) between 1 and 80 and LEN(split(trim(line), ' ')) <= 10 and not trim(line) like '%.' and RX(trim(line), '^[A-ZÄÖÜÉÁÍÓÚÑ]'))"
-LETTERS = "length(regexp_replace(lower(line), '[^a-zà-ÿ]', ''<g>))"
-WORDS = "ARR_FILTER(split(trim(regexp_replace(lower(text), '[^a-zà-ÿ0-9]+', ' '<g>)), ' '), λw: length(w) >= 5)"
 MATCH = "trim(regexp_replace(regexp_replace(BARE(text), '[.,;:!?¿¡()]+', ' '<g>), '[ \t\n]+', ' '<g>))"
-INTENT = """case when RX(lower(text), 'donde|where|wo ') then 'document_location' when RX(lower(text), 'tabla|table') then 'table_lookup'
-  when RX(lower(text), 'compara|versus|than') then 'comparison' when RX(lower(text), '[0-9]') then 'numeric_value' when RX(lower(text), 'como|how|pasos') then 'procedure'
-  when RX(lower(text), 'lista|list') then 'list' when RX(lower(text), 'que es|what is|definicion') then 'definition' else 'general' end"""
-AGGREGATE = "case when RX(lower(text), 'cuant|count|number') then 'count' when RX(lower(text), 'media|average|mean') then 'avg' when RX(lower(text), 'mayor|top|most') then 'top' when RX(lower(text), 'importe|total|sum') then 'sum' end"
-ROUTE = """case when length(trim(text)) < 3 then 'invalid' when RX(lower(text), '^(hola|hello|gracias|thanks)') then 'smalltalk' when RX(lower(text), 'documentos disponibles|inventory') then 'document_inventory'
-  when RX(lower(text), 'importe|cliente|oferta') and RX(lower(text), 'articulo|tabla') then 'mixed_scope' when RX(lower(text), 'articulo|tabla|seccion') then 'knowledge' when RX(lower(text), 'importe|cliente|oferta') then 'business_tenders' else 'knowledge' end"""
 #: Question tokens against chunk tokens, distinct: containment of a term by an equi-join on tokens.
 HITS = """asked as (select distinct question_id, token from (select item_id as question_id, EXPLODE(TOKENS(text)) as token from benchmark) a),
  words as (select distinct chunk_id, source, page, doc_id, token from (select chunk_id, source, page, doc_id, EXPLODE(TOKENS(text)) as token from v_chunks) b),
@@ -23,7 +15,6 @@ HITS = """asked as (select distinct question_id, token from (select item_id as q
  ranked as (select *, row_number() over (partition by question_id order by hits desc, chunk_id) as rank from scored)"""
 
 QUERIES = {
-    # sources
     # text and chunks
     "normalize_text": "select doc_id, BARE(text) as normal from documents",
     "normalize_for_matching": f"select conv_id, turn, {MATCH} as normal from conversations",
@@ -43,8 +34,6 @@ select token, term from t join v_terms on substr(token, 1, 4) = substr(term, 1,
     "candidate_union": f"""
 with {HITS}, lists as (select question_id, chunk_id, 1 as list, rank from ranked where rank <= 10 union all select question_id, chunk_id, 2 as list, row_number() over (partition by question_id order by page, chunk_id) as rank from scored where hits >= 2)
 select question_id, chunk_id, list from (select *, row_number() over (partition by question_id, chunk_id order by list, rank) as rn from lists) x where rn = 1""",
-    # validated memory
-    # conversations and interactions
     # business
     "format_value_locale": "select id, coalesce(concat(<<replace(replace(replace(format_number(cast(amount as decimal(18,2)), 2), ',', '#'), '.', ','), '#', '.')|||replace(replace(replace(format('{:,.2f}', cast(cast(amount as decimal(18,2)) as double)), ',', '#'), '.', ','), '#', '.')>>, ' €'), 'sin dato') as amount_text, coalesce(<<date_format(award_date, 'dd/MM/yyyy')|||strftime(award_date, '%d/%m/%Y')>>, 'sin dato') as award_text from v_tenders",
     # evaluation

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import nearest_rank, percentile_cont, ranked_values
 from ..sources import views
-from .corpus import HITS, ROUTE
+from . import listings
+from .corpus import HITS
 from .retrieval import tokens
 from .scoring import bare
 
@@ -116,8 +117,8 @@ def golden_report(rows: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(ranked_values(rows, "latency_ms").agg(F.round(nearest_rank(0.5), 2).alias("p50"), F.round(nearest_rank(0.95), 2).alias("p95"))))
 
 
-BATTERY = f"""
-select case when question_id >= 2000000000 then 'technical' when question_id >= 1000000000 then 'business' else 'chat' end as part, case question_id % 3 when 0 then 'easy' when 1 then 'medium' else 'hard' end as difficulty, text, {ROUTE} as route,
+BATTERY = """
+select case when question_id >= 2000000000 then 'technical' when question_id >= 1000000000 then 'business' else 'chat' end as part, case question_id % 3 when 0 then 'easy' when 1 then 'medium' else 'hard' end as difficulty, text, question_id,
  case when question_id >= 2000000000 then 'knowledge' when question_id >= 1000000000 then 'business_tenders' else 'knowledge' end as expected_route,
  case when question_id >= 2000000000 then ARRAY_OF('articulo', 'tabla') when question_id >= 1000000000 then ARRAY_OF('importe', 'cliente') else ARRAY_OF('e', 'n') end as terms,
  case when question_id >= 2000000000 then 'pag[.] [1-6]' when question_id >= 1000000000 then 'EST-[0-9]+-199[2-6]' else '[a-z]' end as pattern from v_questions"""
@@ -127,10 +128,16 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expectations of all questions, held against the routes of the cascade."""
+    rows = views.run(spark, sf_dir, BATTERY)
+    return battery_expectations(rows.join(listings.routes(rows).select("question_id", "route"), "question_id"))
+
+
 QUERIES = {
     "faithfulness": lambda spark, sf_dir: faithfulness(turns(spark, sf_dir)),
     "answer_confidence": lambda spark, sf_dir: answer_confidence(turns(spark, sf_dir).withColumn("n_sources", F.col("turn") % 3)),
-    "battery_expectations": lambda spark, sf_dir: battery_expectations(views.run(spark, sf_dir, BATTERY)),
+    "battery_expectations": battery,
     "golden_report": lambda spark, sf_dir: golden_report(views.run(spark, sf_dir, GOLDEN)),
     "latency_breakdown": lambda spark, sf_dir: latency_breakdown(views.run(spark, sf_dir, "select * from v_interactions")),
 }
@@ -158,8 +165,8 @@ p as (select *, case when l >= 180 then 0.25 when l >= 90 then 0.18 when l >= 60
 select conv_id, turn, round(length_part, 4) as length_part, round(source_part, 4) as source_part, round(overlap_part, 4) as overlap_part, round(evidence_part, 4) as evidence_part, round(signal_part, 4) as signal_part, round(support_part, 4) as support_part, round(qualifier_part, 4) as qualifier_part, cap,
  round(least(greatest(length_part + source_part + overlap_part + evidence_part + signal_part + support_part + qualifier_part, 0), cap), 4) as confidence from p""",
     "battery_expectations": views.oracle(f"""
-with b as ({BATTERY}), m as (select part, difficulty, route = expected_route and len(list_filter(terms, lambda t: not contains(lower(text), t))) = 0 and regexp_matches(text, pattern) as met from b)
-select part, difficulty, count(*) as n, count(*) filter (met) as n_passed, round(count(*) filter (met)::double / count(*), 4) as pass_rate from m group by part, difficulty"""),
+with {listings._routed("select question_id as id, text from v_questions")}, bt as (select x.*, route from ({BATTERY}) x join r on r.id = x.question_id), mt as (select part, difficulty, route = expected_route and len(list_filter(terms, lambda t: not contains(lower(text), t))) = 0 and regexp_matches(text, pattern) as met from bt)
+select part, difficulty, count(*) as n, count(*) filter (met) as n_passed, round(count(*) filter (met)::double / count(*), 4) as pass_rate from mt group by part, difficulty"""),
     "golden_report": views.oracle(f"""
 with g as ({GOLDEN}), w as (select *, string_split(lower(text), ' ') as words, list_distinct(regexp_extract_all(text, '[0-9]+')) as evidence, n_candidates * 0.5 as ms, coalesce(context, '') as known from g),
 h as (select *, case when len(words) >= 6 then [array_to_string(words[1:3], ' '), array_to_string(words[-3:], ' ')] end as phrases, (row_number() over (order by ms) - 1) as pos, count(*) over () as total from w)

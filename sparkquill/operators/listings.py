@@ -190,7 +190,7 @@ def inventory(sources: DataFrame) -> DataFrame:
 
 ASKED = "select question_id, case question_id % 11 when 0 then concat('hola ', text) when 1 then concat('lista de documentos disponibles ', text) when 2 then 'receta de futbol' when 3 then concat('licitacion en curso ', text) when 4 then 'ok' when 5 then concat('obra en curso del cliente ', text) when 6 then 'cartera del cliente en la tabla 3' else text end as text from v_questions"
 TURNS = "select conv_id, turn, case turn % 4 when 0 then concat('licitacion del cliente ', text) when 1 then 'ok' when 2 then concat('y eso ', text) else concat('pero ', text) end as text from conversations"
-MESSAGES = "select conv_id, turn, question, answer from (select conv_id, turn, role, substr(text, 1, 3) as question, substr(lead(text) over (partition by conv_id order by turn), 1, 2) as answer from conversations) x where role = 'user' and answer is not null"
+MESSAGES = "select conv_id, turn, question, answer from (select conv_id, turn, role, text as question, lead(text) over (partition by conv_id order by turn) as answer from conversations) x where role = 'user' and answer is not null"
 APPLIED = "select m.conv_id, m.question, m.answer, e.event_id as id, e.ts as created_at from events e join (MESSAGES) m on e.event_id % 300 = m.conv_id and m.turn % 3 = e.event_id % 3".replace("MESSAGES", MESSAGES)
 MODES = "select conv_id, turn, text, case conv_id % 4 when 0 then 'Negocio' when 1 then 'technical' when 2 then '' end as mode from conversations"
 DETAIL = "select event_id as id, event_id % 100 as conv_id, event_id % 40 as user_id, case when event_id % 5 = 0 then 'rejected' else 'validated' end as state, event_type as route, case event_id % 4 when 0 then '[\"a.pdf\",\"b.pdf\"]' when 1 then 'c.pdf' when 2 then '[broken' end as sources from events"

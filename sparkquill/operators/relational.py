@@ -12,8 +12,9 @@ QUERIES = {
 with files as (select path, regexp_replace(path, '[.](md|pdf)$', '') as stem, path like '%.md' as is_md from v_sources_all)
 select f.path from files f left join files m on f.stem = m.stem and m.is_md and not f.is_md where m.stem is null""",
     "registry_upsert": """
-select coalesce(n.path, o.path) as path, coalesce(n.hash, o.hash) as hash, case when o.path is null then 'pendiente_revision' when n.path is null then 'retirado' else 'vigente' end as state, coalesce(n.source, o.source) as domain
-from v_sources o full outer join v_sources_new n on o.path = n.path""",
+with registry as (select path, hash, source, case doc_id % 4 when 0 then 'vigente' when 1 then 'caducado' else 'pendiente_revision' end as validity, case when doc_id % 3 = 0 then concat('team-', lang) end as owner from v_sources)
+select coalesce(n.path, o.path) as path, coalesce(n.hash, o.hash) as hash, coalesce(n.source, o.source) as domain, case when n.path is null then 'retirado' else 'indexado' end as index_state, case when o.path is null then 'pendiente_revision' else o.validity end as validity, o.owner as owner
+from registry o full outer join v_sources_new n on o.path = n.path""",
     "indexed_sources": "select source, min_by(hash, path) as file_hash, count(*) as n_files from v_sources_all group by source",
     "active_sources": "select path, source from v_sources_all where lang = 'en' and source <> 'src0'",
     "embedding_cache_reuse": """
@@ -31,9 +32,6 @@ from v_interactions i left join v_prices p on i.model = p.model where i.model is
     "retrieval_summary": f"select count(*) as total, count_if(state = 'rejected') as rejected, {RATE} as validation_rate, round(avg(cast(confidence as double)), 4) as avg_confidence, count_if(confidence < 0.65) as low_confidence from v_interactions",
     "route_summary": f"select coalesce(route, 'unknown') as route, count(*) as total, count_if(state = 'rejected') as rejected, round(avg(cast(confidence as double)), 4) as avg_confidence, {RATE} as validation_rate from v_interactions group by coalesce(route, 'unknown')",
     "weekly_timeline": f"select cast(date_trunc('week', created_at + interval '1' day) as date) as week, count(*) as total, count_if(state = 'rejected') as rejected, round(avg(cast(confidence as double)), 4) as avg_confidence, {RATE} as validation_rate from v_interactions group by cast(date_trunc('week', created_at + interval '1' day) as date)",
-    "period_compare": f"""
-with spans as (select run_id, completed_at as s, lead(completed_at) over (order by completed_at) as e from v_runs)
-select run_id, count(*) as total, round(avg(total_ms), 2) as avg_ms, {RATE} as validation_rate from v_interactions join spans on created_at >= s and (created_at < e or e is null) group by run_id""",
     "user_workload": "select user_id, count_if(state = 'pending') as pending, count_if(state = 'validated') as validated, count_if(state = 'rejected') as rejected, max(created_at) as last_activity from v_interactions group by user_id",
     "review_queue": "select id, user_id, created_at from v_interactions where state = 'pending' order by created_at desc, id desc limit 50",
     "last_n_turns": "select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc) as rn from conversations) x where rn <= 6",
@@ -46,7 +44,4 @@ select run_id, count(*) as total, round(avg(total_ms), 2) as avg_ms, {RATE} as v
     "top_n": "select id, client, amount from v_tenders order by amount desc, id limit 10",
     "latest_row_per_key": "select id, area, period, line, value_text from (select *, row_number() over (partition by id, coalesce(area, '') order by period desc, updated_at desc, line desc, value_text desc) as rn from v_closings) x where rn = 1",
     "parse_decimal_locale": "select id, line, try_cast(case when value_text like '%,%' then replace(replace(value_text, '.', ''), ',', '.') else value_text end as decimal(18,2)) as parsed from v_closings",
-    "closing_aggregate": """
-with latest as (select * from (select *, row_number() over (partition by id, area order by period desc, updated_at desc, line desc, value_text desc) as rn from v_closings) x where rn = 1)
-select area, count(*) as n, cast(sum(try_cast(replace(value_text, ',', '.') as decimal(18,2))) as double) as total from latest group by area""",
 }

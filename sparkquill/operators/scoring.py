@@ -155,7 +155,7 @@ def source_mention(questions: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def hybrid_rerank(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """question_id, chunk_id, cosine, bm25, score: hits + 9 cosine + 6 BM25, the last without document frequency and with the mean length of a question's candidates."""
+    """question_id, chunk_id, cosine, bm25, score: base + 9 cosine + 6 BM25, the last without document frequency and with the mean length of a question's candidates. pairs: candidates with base, question_vec and chunk_vec, the ids of their vectors."""
     q = vectors.select(F.col("vec_id").alias("question_vec"), F.col("embedding").alias("q"))
     c = vectors.select(F.col("vec_id").alias("chunk_vec"), F.col("embedding").alias("c"))
     words = F.split(F.trim(F.regexp_replace(bare(F.col("text")), r"[ \t\n]+", " ")), " ")
@@ -164,9 +164,9 @@ def hybrid_rerank(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     length = 1 - B + B * F.size("words") / F.col("mean")
     tf = lambda t: F.size(F.filter("words", lambda w: w == t)).cast("double")
     bm25 = F.aggregate(F.transform("asked", tf), F.lit(0.0), lambda s, n: s + n * (K1 + 1) / (n + K1 * length))
-    both = pairs.withColumn("bm25", bm25).join(q, F.col("question_vec") == F.col("question_id") % 500).join(c, F.col("chunk_vec") == F.col("doc_id") % 500)
+    both = pairs.withColumn("bm25", bm25).join(q, "question_vec").join(c, "chunk_vec")
     cosine = dot(F.col("q"), F.col("c")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("c"), F.col("c")))
-    return both.select("question_id", "chunk_id", F.round(cosine, 5).alias("cosine"), F.round("bm25", 5).alias("bm25"), F.round(F.col("hits") + COSINE * cosine + BM25 * F.col("bm25"), 4).alias("score"))
+    return both.select("question_id", "chunk_id", F.round(cosine, 5).alias("cosine"), F.round("bm25", 5).alias("bm25"), F.round(F.col("base") + COSINE * cosine + BM25 * F.col("bm25"), 4).alias("score"))
 
 
 def greedy_select(pairs: DataFrame, k: int = K) -> DataFrame:
@@ -215,6 +215,14 @@ def structural_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural_anchor(chunks.join(refs, "article_no")).select("ref", "chunk_id", "anchor", "clean")
 
 
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with the vectors there are: each question and document has one, by its number among as many as there are."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = vectors.count()
+    pairs = candidates(spark, sf_dir).withColumns({"base": F.col("hits"), "question_vec": F.col("question_id") % n, "chunk_vec": F.col("doc_id") % n})
+    return hybrid_rerank(pairs, vectors)
+
+
 QUERIES = {
     "feature_score": lambda spark, sf_dir: feature_score(candidates(spark, sf_dir), WEIGHTS),
     "lexical_feature_score": lambda spark, sf_dir: feature_score(candidates(spark, sf_dir), LEXICAL_WEIGHTS, LEXICAL_BASE),
@@ -222,7 +230,7 @@ QUERIES = {
     "lexical_contains": lambda spark, sf_dir: lexical_contains(views.run(spark, sf_dir, "select item_id as question_id, text from benchmark"), views.run(spark, sf_dir, "select chunk_id, text from v_chunks")),
     "structural_anchor": structural_query,
     "source_mention_boost": lambda spark, sf_dir: source_mention(views.run(spark, sf_dir, MENTIONS), views.run(spark, sf_dir, ALL_PATHS)),
-    "hybrid_rerank": lambda spark, sf_dir: hybrid_rerank(candidates(spark, sf_dir), spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+    "hybrid_rerank": reranked,
     "capped_diverse_topk": lambda spark, sf_dir: greedy_select(candidates(spark, sf_dir)),
     "coverage_repair": lambda spark, sf_dir: coverage_repair(candidates(spark, sf_dir), CLASSES),
 }
@@ -272,7 +280,7 @@ m as (select *, avg(len(words)) over (partition by question_id) as mean from t),
 u as (select question_id, chunk_id, doc_id, hits, len(words) as n, mean, words, unnest(asked) as token from m),
 f as (select question_id, chunk_id, any_value(n) as n, any_value(mean) as mean, token, len(list_filter(any_value(words), lambda w: w = token))::double as tf from u group by question_id, chunk_id, token),
 b as (select question_id, chunk_id, sum(tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * n / mean))) as bm25 from f group by 1, 2),
-s as (select m.question_id, m.chunk_id, hits, coalesce(bm25, 0) as bm25, list_cosine_similarity(x.embedding::double[], y.embedding::double[]) as cosine from m left join b using (question_id, chunk_id) join embeddings x on x.vec_id = m.question_id % 500 join embeddings y on y.vec_id = m.doc_id % 500)
+s as (select m.question_id, m.chunk_id, hits, coalesce(bm25, 0) as bm25, list_cosine_similarity(x.embedding::double[], y.embedding::double[]) as cosine from m left join b using (question_id, chunk_id) join embeddings x on x.vec_id = m.question_id % (select count(*) from embeddings) join embeddings y on y.vec_id = m.doc_id % (select count(*) from embeddings))
 select question_id, chunk_id, round(cosine, 5) as cosine, round(bm25, 5) as bm25, round(hits + 9 * cosine + 6 * bm25, 4) as score from s"""),
     "capped_diverse_topk": sql("""
 , g as (select question_id, list([{'rank': rank, 'id': chunk_id, 'source': source, 'page': page, 'doc': doc_id}] order by rank, chunk_id) as items from c group by question_id),

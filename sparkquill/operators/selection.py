@@ -212,7 +212,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = of("select conv_id * 100 + turn as key_id, conv_id, text from conversations where role = 'user'")(spark, sf_dir)
-    return rows.select("key_id", F.substring("text", 1, 6).alias("text"), (F.col("conv_id") % 2).alias("k"), F.when(F.col("conv_id") % 5 == 0, "norms").alias("domain"), F.when(F.col("key_id") % 2 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("hints"))
+    return rows.select("key_id", "text", (F.col("conv_id") % 2).alias("k"), F.when(F.col("conv_id") % 5 == 0, "norms").alias("domain"), F.when(F.col("key_id") % 2 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("hints"))
 
 
 def normative(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +277,7 @@ s as (select question_id, string_agg(label, '; ' order by first) as sources from
 with c as ({CANDIDATES}), t as (select question_id, rank, n.text from c join v_norms n on n.chunk_id = c.chunk_id where rank <= 8), m as (select question_id, rank, unnest(regexp_extract_all(text, '\bC(?:1[0-3]?|[1-9])\s+[a-z][a-z ]{{2,40}}')) as m from t),
 d as (select question_id, rank, regexp_extract(m, '^(C[0-9]+)', 1) as code, trim(regexp_extract(m, '^C[0-9]+\s+(.*)$', 1)) as meaning from m) select question_id, code, meaning from d qualify row_number() over (partition by question_id, code order by rank, meaning) = 1"""),
     "query_dedupe": rf"""
-with q as (select conv_id * 100 + turn as key_id, conv_id % 2 as k, conv_id % 5 = 0 as d, trim(regexp_replace(regexp_replace(lower(strip_accents(text[1:6])), '[.,;:!?¿¡()]+', ' ', 'g'), '\s+', ' ', 'g')) as t from conversations where role = 'user')
+with q as (select conv_id * 100 + turn as key_id, conv_id % 2 as k, conv_id % 5 = 0 as d, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[.,;:!?¿¡()]+', ' ', 'g'), '\s+', ' ', 'g')) as t from conversations where role = 'user')
 select key_id, min(key_id) over w as result_of, count(*) over w as n from q window w as (partition by t, k, d)""",
     "retrieval_stats": sql(_STATS + " select st.*, top_source from st join ts using (question_id)"),
     "retrieval_quality": sql(_STATS + " select item_id as question_id, case when n is null then 'empty' when all_below or (not has_domain and supported_ratio = 0 and max_coverage < 0.25) or (has_domain and domain_match_ratio < 0.34) then 'poor' when domain_match_ratio >= 0.67 or not has_domain then 'good' else 'mixed' end as quality from benchmark left join st on st.question_id = item_id"),

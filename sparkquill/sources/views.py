@@ -58,18 +58,13 @@ select chunk_id, source, doc_id, page, chunk, case chunk % 4 when 0 then concat(
     "v_asks": """
 select question_id, case question_id % 6 when 0 then concat(text, ' segun la ITC-BT-', cast(question_id % 60 as string), ' y la guia 7, tabla 03.1') when 1 then concat(text, ' art. 0', cast(question_id % 9 + 1 as string), ' y articulo 12 del RD 0842/2002, pag. 4 y pagina 5')
  when 2 then concat('IT 1.2 e IT 1.2 con 0,2 mm2, 16A y 230 V clase II tipo b', cast(question_id % 4 as string), ' IP45 esquema TN-S ', text) when 3 then concat(text, ' IK 08 categoría 3 de 1,5kW') else text end as text from v_questions""",
-    "v_pages_first": "select page, chunk_id from (select page, chunk_id, row_number() over (partition by page order by chunk_id) as rn from v_chunks) x where rn <= 20",
     "v_questions": """
 select conv_id * 100 + turn as question_id, text from conversations where role = 'user'
 union all select 1000000000 + o_orderkey, concat('importe total de EST-', cast(o_orderkey % 1000 as string), '-', cast(year(o_orderdate) as string), ' para el cliente ', c_name, ' trimestre ', cast(quarter(o_orderdate) as string)) from orders join customer on o_custkey = c_custkey
 union all select 2000000000 + p_partkey, concat('articulo ', cast(p_size as string), ' tabla 3.1 pag. ', cast(p_size % 9 + 1 as string), ' clase a1 seccion 0,2 mm2 ', lower(p_name)) from part""",
     # Dictionaries are inputs of a user; these few rows stand for them.
     "v_terms": "select * from (values ('with', 'web', true), ('that', 'books', true), ('tion', 'forum', true), ('this', 'web', false), ('importe', 'tenders', true), ('cliente', 'tenders', false), ('articulo', 'norms', true), ('tabla', 'norms', false)) as t(term, domain, is_strong)",
-    "v_rules": "select * from (values (1, 'importe', 'valor de la oferta'), (2, 'cliente', 'nombre del cliente'), (3, 'tabla', 'filas de la tabla'), (4, 'that', 'which one')) as t(rule_no, if_any, emits)",
-    "v_fields": "select * from (values ('importe', 'amount'), ('total', 'amount'), ('cliente', 'client'), ('trimestre', 'quarter'), ('seccion', 'section')) as t(synonym, field)",
-    "v_layers": "select * from (values ('src0', 8), ('src1', 4), ('src2', -5)) as t(source, boost)",
     "v_profiles": "select * from (values ('src0', 'legal'), ('src0/en', 'legal_en'), ('src1', 'manual'), ('src2/de', 'norm')) as t(prefix, profile)",
-    "v_page_refs": "select * from (values ('src0', 1, 2, 'itc-01'), ('src0', 2, 4, 'itc-02'), ('src3', 1, 1, 'annex-1')) as t(source, lo, hi, ref)",
 }
 
 #: Letters of the corpus languages and the same letters without their marks.
