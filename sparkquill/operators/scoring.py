@@ -27,9 +27,7 @@ K, SOURCE_CAP, PAGE_CAP = 6, 2, 1
 COSINE, BM25 = 9, 6
 #: Words of file names that say nothing about the file.
 NOISE = "pdf baja tension alta manual boe reglamento guia para los las del con por que de en la el un una e y o v2 v1 esp 1 2 3".split()
-#: What each hit of a part is worth, for candidates by vector and for those found by words only (which start from a base).
-WEIGHTS = {"overlap": 1, "keyword": 2, "core": 4, "number": 8, "phrase": 80, "heading": 14, "noise": -90}
-LEXICAL_WEIGHTS = {"overlap": 1, "keyword": 1, "core": 2, "number": 4, "phrase": 30, "heading": 6, "noise": -40}
+#: What candidates found by words only start from.
 LEXICAL_BASE = 8
 
 #: The same candidates as SQL, for the engine that checks.
@@ -66,32 +64,21 @@ def longest(words: Column, n: int) -> Column:
 
 
 def with_parts(pairs: DataFrame) -> DataFrame:
-    """pairs with a count of hits for each part of the score."""
+    """pairs with the counts that the order of multi_key_sort() asks for."""
     asked, have = F.array_distinct(tokens(F.col("question"))), F.array_distinct(tokens(F.col("text")))
     pairs = pairs.withColumns({"asked": asked, "have": have})
     words = F.split(F.trim(F.regexp_replace(F.col("question"), r"[ \t\n]+", " ")), " ")
     hits = lambda of: F.size(F.array_intersect(of, "have"))
-    digits = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"([0-9]+)"), 1))
     flag = lambda c: F.when(c, 1).otherwise(0)
     return pairs.withColumns(
         {
             "overlap": hits(F.col("asked")),
-            "keyword": hits(F.filter("asked", lambda w: F.length(w) >= 5)),
             "core": hits(longest(F.col("asked"), 4)),
-            "number": F.size(F.array_intersect(digits(F.col("question")), digits(F.col("text")))),
             "phrase": flag((F.size(words) >= 3) & (F.instr(F.lower("text"), F.lower(F.array_join(F.slice(words, 1, 3), " "))) > 0)),
-            "heading": flag((F.length("text") <= 80) & ~F.col("text").endswith(".")),
-            "noise": flag(F.length(F.regexp_replace("text", r"[^A-Za-zÀ-ÿ]", "")) < 0.3 * F.length("text")),
         }
     )
 
 
-def feature_score(pairs: DataFrame, weights: dict[str, int], base: int = 0) -> DataFrame:
-    """question_id, chunk_id, the points of each part, and their sum."""
-    parts = with_parts(pairs).select("question_id", "chunk_id", *((F.col(p) * w).cast("long").alias(p) for p, w in weights.items()))
-    return parts.withColumn("score", reduce(Column.__add__, (F.col(p) for p in weights), F.lit(base).cast("long")))
-
-
 def multi_key_sort(pairs: DataFrame) -> DataFrame:
     """question_id, chunk_id, rank: by the opening phrase, the words that matter most, all words, then the page and the id."""
     order = [F.desc("phrase"), F.desc("core"), F.desc("overlap"), "page", "chunk_id"]
@@ -215,22 +202,11 @@ def structural_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural_anchor(chunks.join(refs, "article_no")).select("ref", "chunk_id", "anchor", "clean")
 
 
-def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with the vectors there are: each question and document has one, by its number among as many as there are."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    n = vectors.count()
-    pairs = candidates(spark, sf_dir).withColumns({"base": F.col("hits"), "question_vec": F.col("question_id") % n, "chunk_vec": F.col("doc_id") % n})
-    return hybrid_rerank(pairs, vectors)
-
-
 QUERIES = {
-    "feature_score": lambda spark, sf_dir: feature_score(candidates(spark, sf_dir), WEIGHTS),
-    "lexical_feature_score": lambda spark, sf_dir: feature_score(candidates(spark, sf_dir), LEXICAL_WEIGHTS, LEXICAL_BASE),
     "multi_key_sort": lambda spark, sf_dir: multi_key_sort(candidates(spark, sf_dir)),
     "lexical_contains": lambda spark, sf_dir: lexical_contains(views.run(spark, sf_dir, "select item_id as question_id, text from benchmark"), views.run(spark, sf_dir, "select chunk_id, text from v_chunks")),
     "structural_anchor": structural_query,
     "source_mention_boost": lambda spark, sf_dir: source_mention(views.run(spark, sf_dir, MENTIONS), views.run(spark, sf_dir, ALL_PATHS)),
-    "hybrid_rerank": reranked,
     "capped_diverse_topk": lambda spark, sf_dir: greedy_select(candidates(spark, sf_dir)),
     "coverage_repair": lambda spark, sf_dir: coverage_repair(candidates(spark, sf_dir), CLASSES),
 }
@@ -244,22 +220,13 @@ def sql(body: str) -> str:
 _TOK = r"list_distinct(regexp_extract_all(lower({0}), '\p{{L}}{{4,}}'))"
 _PARTS = f"""
 , t as (select *, {_TOK.format("question")} as asked, {_TOK.format("text")} as have, regexp_split_to_array(trim(regexp_replace(question, '[ \t\n]+', ' ', 'g')), ' ') as qw from c),
-p as (select question_id, chunk_id, len(list_intersect(asked, have)) as overlap, len(list_intersect(list_filter(asked, lambda w: length(w) >= 5), have)) as keyword,
+p as (select question_id, chunk_id, len(list_intersect(asked, have)) as overlap,
  len(list_intersect(list_transform(list_sort(list_transform(asked, lambda w: {{'l': -length(w), 'w': w}}))[1:4], lambda x: x.w), have)) as core,
- len(list_intersect(list_distinct(regexp_extract_all(question, '[0-9]+')), list_distinct(regexp_extract_all(text, '[0-9]+')))) as number,
- case when len(qw) >= 3 and contains(lower(text), lower(qw[1] || ' ' || qw[2] || ' ' || qw[3])) then 1 else 0 end as phrase,
- case when length(text) <= 80 and not text like '%.' then 1 else 0 end as heading,
- case when length(regexp_replace(text, '[^A-Za-zÀ-ÿ]', '', 'g')) < 0.3 * length(text) then 1 else 0 end as noise from t)
+ case when len(qw) >= 3 and contains(lower(text), lower(qw[1] || ' ' || qw[2] || ' ' || qw[3])) then 1 else 0 end as phrase from t)
 select question_id, chunk_id, """
 
 
-def _scored(weights: dict[str, int], base: int) -> str:
-    return sql(_PARTS + ", ".join(f"{p} * {w} as {p}" for p, w in weights.items()) + f", {base} + " + " + ".join(f"{p} * ({w})" for p, w in weights.items()) + " as score from p")
-
-
 SQL = {
-    "feature_score": _scored(WEIGHTS, 0),
-    "lexical_feature_score": _scored(LEXICAL_WEIGHTS, LEXICAL_BASE),
     "multi_key_sort": sql(_PARTS.rsplit("select question_id, chunk_id, ", 1)[0] + " select question_id, chunk_id, row_number() over (partition by question_id order by phrase desc, core desc, overlap desc, page, chunk_id) as rank from p join c using (question_id, chunk_id)"),
     "lexical_contains": views.oracle(rf"""
 with a as (select item_id as question_id, unnest(list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '\p{{L}}{{4,}}')), lambda w: {{'l': -length(w), 'w': w}}))[1:8], lambda x: x.w)) as term from benchmark)
@@ -274,14 +241,6 @@ select ref, chunk_id, anchor, case when anchor = 0 then 0 else anchor + case whe
 with q as (select distinct question_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as token from ({MENTIONS}) m),
 s as (select distinct path, unnest(regexp_split_to_array(lower(path), '[^a-z0-9]+')) as token from ({ALL_PATHS}) p)
 select question_id, path, 14 as boost from q join s using (token) where token <> '' and token not in ({", ".join(f"'{w}'" for w in NOISE)}) group by question_id, path having count(*) > 1 or min(length(token)) >= 5"""),
-    "hybrid_rerank": sql(r"""
-, t as (select *, regexp_split_to_array(trim(regexp_replace(lower(strip_accents(text)), '[ \t\n]+', ' ', 'g')), ' ') as words, list_distinct(list_transform(regexp_extract_all(lower(question), '\p{L}{4,}'), lambda w: strip_accents(w))) as asked from c),
-m as (select *, avg(len(words)) over (partition by question_id) as mean from t),
-u as (select question_id, chunk_id, doc_id, hits, len(words) as n, mean, words, unnest(asked) as token from m),
-f as (select question_id, chunk_id, any_value(n) as n, any_value(mean) as mean, token, len(list_filter(any_value(words), lambda w: w = token))::double as tf from u group by question_id, chunk_id, token),
-b as (select question_id, chunk_id, sum(tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * n / mean))) as bm25 from f group by 1, 2),
-s as (select m.question_id, m.chunk_id, hits, coalesce(bm25, 0) as bm25, list_cosine_similarity(x.embedding::double[], y.embedding::double[]) as cosine from m left join b using (question_id, chunk_id) join embeddings x on x.vec_id = m.question_id % (select count(*) from embeddings) join embeddings y on y.vec_id = m.doc_id % (select count(*) from embeddings))
-select question_id, chunk_id, round(cosine, 5) as cosine, round(bm25, 5) as bm25, round(hits + 9 * cosine + 6 * bm25, 4) as score from s"""),
     "capped_diverse_topk": sql("""
 , g as (select question_id, list([{'rank': rank, 'id': chunk_id, 'source': source, 'page': page, 'doc': doc_id}] order by rank, chunk_id) as items from c group by question_id),
 k as (select question_id, list_transform(items, lambda i: i[1].id) as ids, list_transform(list_reduce(items, lambda a, x: case when len(a) < 6 and len(list_filter(a, lambda y: y.source = x[1].source)) < 2 and len(list_filter(a, lambda y: y.doc = x[1].doc and y.page = x[1].page)) < 1 then list_concat(a, x) else a end), lambda i: i.id) as chosen from g),
