@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .retrieval import every_pair, knn_topk
+from .retrieval import every_pair
 
 #: Vectors that cells are fitted on, queries of the sample that the number of cells to look at is found with, cells at most, rounds of fitting.
 SAMPLE, TRIED, MAX_CELLS, ROUNDS = 20_000, 256, 4096, 8
@@ -140,19 +140,11 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.unionByName(again).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
 
 
-def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The single nearest stored answer of each query, taken if it is near and of the same label: its confidence, else null."""
-    q, v = asked(spark, sf_dir)
-    best = knn_topk(q, v.select("vec_id", "embedding"), 1).join(v.select("vec_id", "label"), "vec_id").join(q.select("query_id", "q_label"), "query_id")
-    taken = (F.col("score") >= 0.4) & (F.col("label") == F.col("q_label"))
-    return best.select("query_id", "vec_id", taken.alias("accepted"), F.when(taken, F.greatest(F.lit(0.9), F.round("score", 4))).alias("confidence"))
-
-
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_structured(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"ann_topk": ann, "filtered_search_fallback": filtered, "memory_lookup": memory, "chunk_structured": chunks}
+QUERIES = {"ann_topk": ann, "filtered_search_fallback": filtered, "chunk_structured": chunks}
 
 COSINE = "round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 5)"
 SQL = {
@@ -169,7 +161,4 @@ select doc_id, row_number() over (partition by doc_id order by s) - 1 as chunk,
 with s as (select q.vec_id as query_id, v.vec_id, q.label = v.label as same, {COSINE} as score from embeddings q join embeddings v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id),
 f as (select query_id, bool_or(same and score >= 0.5) as found from s group by 1)
 select query_id, vec_id, score, found as filtered, row_number() over (partition by query_id order by score desc, vec_id) as rank from s join f using (query_id) where (found and same and score >= 0.5) or not coalesce(found, false) qualify rank <= 5""",
-    "memory_lookup": f"""
-with s as (select q.vec_id as query_id, v.vec_id, q.label = v.label as same, {COSINE} as score from embeddings q join embeddings v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id)
-select query_id, vec_id, score >= 0.4 and same as accepted, case when score >= 0.4 and same then greatest(0.9, round(score, 4)) end as confidence from s qualify row_number() over (partition by query_id order by score desc, vec_id) = 1""",
 }
