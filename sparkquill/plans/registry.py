@@ -7,13 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import business, chunks, closings, corpus, evaluation, listings, maintenance, memory, metadata, questions, relational, relevance, retrieval, scoring, selection, vectors
+from ..operators import business, chunks, closings, context_swap, corpus, evaluation, listings, maintenance, memory, metadata, questions, relational, relevance, retrieval, scoring, selection, vectors
 from ..sources import views
 from ..streaming import streams
 
 FLAGSHIP = "answer_questions"
 #: Modules whose queries and SQL are written apart.
-MODULES = (retrieval, vectors, scoring, relevance, chunks, metadata, questions, evaluation, selection, business, listings, memory, closings, maintenance, streams)
+MODULES = (retrieval, vectors, scoring, relevance, context_swap, chunks, metadata, questions, evaluation, selection, business, listings, memory, closings, maintenance, streams)
 #: Queries whose one text serves Spark and the SQL that checks it.
 SHARED = relational.QUERIES | corpus.QUERIES
 
