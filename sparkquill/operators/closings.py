@@ -14,17 +14,17 @@ def parsed(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(",")), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(text).try_cast("decimal(18,2)")
 
 
-def latest(rows: DataFrame, *keys: str) -> DataFrame:
-    """The row of the last period, update and line of each key; null areas are ''."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("period"), F.desc("updated_at"), F.desc("line"))
+def latest(rows: DataFrame, content: str, *keys: str) -> DataFrame:
+    """The row of the last period, update and line of each key, of those the one with the last content; null areas are ''."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("period"), F.desc("updated_at"), F.desc("line"), F.desc(content))
     return rows.withColumn("area", F.coalesce("area", F.lit(""))).withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
 def closing_values(rows: DataFrame, values: DataFrame, field: str) -> DataFrame:
     """id, area, period, value: of each latest row of a work (id) and area the field's latest normalised value of the same period, else what the row's JSON has."""
-    given = latest(values.where(F.col("field") == field), "id", "field", "area").select("id", "area", "period", parsed(F.col("value_text")).alias("given"))
+    given = latest(values.where(F.col("field") == field), "value_text", "id", "field", "area").select("id", "area", "period", parsed(F.col("value_text")).alias("given"))
     own = parsed(F.get_json_object("json", f"$.{field}"))
-    return latest(rows, "id", "area").join(given, ["id", "area", "period"], "left").select("id", "area", "period", F.coalesce("given", own).alias("value"))
+    return latest(rows, "json", "id", "area").join(given, ["id", "area", "period"], "left").select("id", "area", "period", F.coalesce("given", own).alias("value"))
 
 
 def closing_aggregate(found: DataFrame, n: int = 3) -> DataFrame:
@@ -63,8 +63,8 @@ QUERIES = {
 
 SQL = {
     "closing_aggregate": views.oracle(f"""
-with a as (select *, coalesce(area, '') as ar from ({ROWS}) r), l as (select * from a qualify row_number() over (partition by id, ar order by period desc, updated_at desc, line desc) = 1),
-b as (select *, coalesce(area, '') as ar from ({VALUES}) r), w as (select id, ar, period, try_cast(value_text as decimal(18,2)) as given from b qualify row_number() over (partition by id, field, ar order by period desc, updated_at desc, line desc) = 1),
+with a as (select *, coalesce(area, '') as ar from ({ROWS}) r), l as (select * from a qualify row_number() over (partition by id, ar order by period desc, updated_at desc, line desc, json desc) = 1),
+b as (select *, coalesce(area, '') as ar from ({VALUES}) r), w as (select id, ar, period, try_cast(value_text as decimal(18,2)) as given from b qualify row_number() over (partition by id, field, ar order by period desc, updated_at desc, line desc, value_text desc) = 1),
 v as (select l.id, l.ar as area, coalesce(given, try_cast(replace(replace(json_extract_string(json, '$.production'), '.', ''), ',', '.') as decimal(18,2))) as value from l left join w on w.id = l.id and w.ar = l.ar and w.period = l.period),
 t as (select area, value from v where value <> 0 qualify row_number() over (partition by area order by value desc, id) <= 3)
 select area, count(*) as n, sum(value)::double as total, round(avg(value::double), 2) as mean, max(value)::double as largest, (select round(avg(t.value::double), 2) from t where t.area = v.area) as mean_of_top from v group by area"""),
