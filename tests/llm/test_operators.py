@@ -255,11 +255,11 @@ def leaked(spark, texts, items):
     return sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(decontamination.leaks(df, bench)).collect())
 
 
-def test_items_of_few_literals_are_found(spark):
+def test_items_of_few_literals_are_found_word_for_word(spark):
     items = ["What is 12 times 13 plus 14 minus 15?", "Add 3 apples", "12 13 14 15", "der Hund und die Katze von Anna Schmidt aus Berlin"]
     texts = [f"Here it is. {q} So it was." for q in items]
     assert leaked(spark, texts, items) == [(i, i) for i in range(4)]
-    assert leaked(spark, ["We had it. Add 7 apples", "He wrote 1 2 3 4 down"], items) == [(0, 1)]
+    assert leaked(spark, ["We had it. Add 3 apples", "We had it. Add 7 apples", "He wrote 1 2 3 4 down"], items) == [(0, 1)]
 
 
 def test_reparameterised_items_are_found(spark):
