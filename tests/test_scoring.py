@@ -28,6 +28,29 @@ def test_one_short_word_is_no_mention(spark):
     assert sorted((r.question_id, r.path, r.boost) for r in scoring.source_mention(q, s).collect()) == [(1, "x/acero.pdf", 14), (3, "x/caja-roja.pdf", 14)]
 
 
+def test_mentions_by_common_and_by_rare_words(spark, monkeypatch):
+    """Each threshold of common words gives what every pair held against each other does, and no pair is shuffled."""
+    words = ["doc", "md", "src0", "src1", "es", "fr", "legal", "norma"]
+    rng = np.random.default_rng(3)
+    q = [(i, " ".join(rng.choice(words, rng.integers(0, 4))) + f" {i % 40}") for i in range(60)] + [(7, "doc legal"), (99, None)]
+    s = [("/".join(rng.choice(words, rng.integers(1, 4))) + f"/{i % 40}",) for i in range(120)]
+    asked = {}
+    for i, t in q:
+        asked.setdefault(i, set()).update((t or "").split())
+    want = set()
+    for i, tokens in asked.items():
+        for (path,) in s:
+            both = (tokens & set(path.split("/"))) - set(scoring.NOISE)
+            if len(both) > 1 or any(len(w) >= 5 for w in both):
+                want.add((i, path))
+    questions, sources = spark.createDataFrame(q, "question_id long, text string"), spark.createDataFrame(s, "path string")
+    for common, at_once in ((0, 1000), (5, 20), (30, 1000), (1000, 1000)):
+        monkeypatch.setattr(scoring, "COMMON", common)
+        monkeypatch.setattr(scoring, "QUESTIONS_AT_ONCE", at_once)
+        got = [(r.question_id, r.path) for r in scoring.source_mention(questions, sources).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_greedy_caps_and_backfill(spark):
     rows = [(1, f"c{i}", i, "s1" if i < 5 else "s2", 1 if i in (1, 2) else i, 7) for i in range(1, 7)]
     df = spark.createDataFrame(rows, "question_id long, chunk_id string, rank int, source string, page long, doc_id long")
