@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .retrieval import every_pair
+from .retrieval import nearest, ranked
 
 #: Vectors that cells are fitted on, queries of the sample that the number of cells to look at is found with, cells at most, rounds of fitting.
 SAMPLE, TRIED, MAX_CELLS, ROUNDS = 20_000, 256, 4096, 8
+#: Score that a neighbour of the query's own domain must have.
+LEAST = 0.5
 #: Characters of a chunk, characters shared with the one before, and the shortest chunk that is kept.
 CHUNK, OVERLAP, SHORTEST = 450, 90, 80
 #: How far a cut may move to the end of a sentence, and to a space.
@@ -50,26 +53,26 @@ class Cells:
         self.probes = int(needed[min(int(np.ceil(recall * len(needed))), len(needed)) - 1]) + 1 if len(needed) else 1
 
     def of(self, rows: DataFrame, vector: str, probes: int) -> DataFrame:
-        """rows, each once for each of its nearest cells, in the column cell; null vectors and those without a direction have none."""
+        """rows with the numbers of their nearest cells, an array; null vectors and those without a direction are left out."""
         shared = rows.sparkSession.sparkContext.broadcast(self.centres)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centres = shared.value
             for b in batches:
                 x = np.stack([np.asarray(v, np.float64) for v in b.column(vector).to_pylist()]) if b.num_rows else np.zeros((0, centres.shape[1]))
-                cells = np.argsort(-(x @ centres.T), axis=1)[:, :probes].astype(np.int32)
+                near = x @ centres.T
+                cells = (near.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-near, axis=1)[:, :probes]).astype(np.int32)
                 yield b.append_column("cells", pa.array(list(cells), pa.list_(pa.int32())))
 
         rows = rows.where(F.col(vector).isNotNull() & (dot(F.col(vector), F.col(vector)) > 0))
-        placed = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cells", ArrayType(IntegerType()))]))
-        return placed.withColumn("cell", F.explode("cells")).drop("cells")
+        return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cells", ArrayType(IntegerType()))]))
 
 
 def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, recall: float = 0.95) -> DataFrame:
     """About the k nearest vectors by cosine of each query (query_id, q): query_id, vec_id, score, rank.
 
-    Vectors go to one cell each, as many as the square root of their number (MAX_CELLS at most); a query meets, by an
-    equi-join, those of the nearest cells, so many that the sample's own queries find this share of their neighbours.
+    Vectors go to one cell each, as many as the square root of their number (MAX_CELLS at most); a query meets
+    those of the nearest cells, so many that the sample's own queries find this share of their neighbours.
     Cells are fitted on SAMPLE vectors, every vector is in one. Candidates are scored exactly. Null vectors are left out.
     """
     some = vectors.where(F.col("embedding").isNotNull() & (dot(F.col("embedding"), F.col("embedding")) > 0))
@@ -77,10 +80,22 @@ def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, recall: float =
     if len(sample) < 2:
         return queries.select("query_id").join(vectors.select("vec_id"), F.lit(False)).select("query_id", "vec_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     cells = Cells(np.array(sample, np.float64), some.count(), k, recall)
-    pairs = cells.of(queries.select("query_id", "q"), "q", cells.probes).join(cells.of(vectors.select("vec_id", "embedding"), "embedding", 1), "cell").where("query_id <> vec_id")
-    score = F.round(dot(F.col("q"), F.col("embedding")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("embedding"), F.col("embedding"))), 5)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near, placed = cells.of(queries.select("query_id", "q"), "q", cells.probes), cells.of(vectors.select("vec_id", "embedding"), "embedding", 1)
+    # vectors of a cell come together, so that a pack has few cells
+    placed = placed.withColumn("cell", F.get("cells", F.lit(0))).repartitionByRange("cell", F.xxhash64("vec_id")).sortWithinPartitions("cell")
+    return ranked(nearest(near, placed, k, [(in_cells, None)], ["cells"], ["cell"]).drop("kind"), k)
+
+
+def in_cells(queries: pa.StructArray, vectors: pa.StructArray) -> np.ndarray:
+    """Whether a query looks at the cell of a vector."""
+    cell, probed = vectors.field("cell").to_numpy(), queries.field("cells")
+    seen, at = np.unique(cell, return_inverse=True)
+    wanted = probed.flatten().to_numpy()
+    row = np.repeat(np.arange(len(queries)), pc.list_value_length(probed).to_numpy())
+    place = np.minimum(np.searchsorted(seen, wanted), len(seen) - 1)
+    looks = np.zeros((len(queries), len(seen)), bool)
+    looks[row[seen[place] == wanted], place[seen[place] == wanted]] = True
+    return looks[:, at]
 
 
 def boundary(text: str, start: int, end: int) -> int:
@@ -133,11 +148,16 @@ def ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vectors of the query's own domain that are close enough; a query with none is asked again without the filter."""
     q, v = asked(spark, sf_dir)
-    scored = lambda pairs: pairs.where("query_id <> vec_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("embedding"), F.col("embedding"))), 5).alias("score"))
-    inside = scored(q.join(v, q.q_label == v.label)).where("score >= 0.5").withColumn("filtered", F.lit(True))
-    again = scored(every_pair(q.join(inside.select("query_id").distinct(), "query_id", "left_anti"), v, of=q)).withColumn("filtered", F.lit(False))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return inside.unionByName(again).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    best = nearest(q, v, 5, [(same_label, LEAST), (None, None)], ["q_label"], ["label"]).withColumn("filtered", F.col("kind") == 0)
+    best = best.withColumn("found", F.bool_or("filtered").over(Window.partitionBy("query_id"))).where("filtered = found")
+    return ranked(best.select("query_id", "vec_id", "score", "filtered"), 5)
+
+
+def same_label(queries: pa.StructArray, vectors: pa.StructArray) -> np.ndarray:
+    code = pa.concat_arrays([queries.field("q_label"), vectors.field("label")]).dictionary_encode().indices
+    code = pc.fill_null(code, -1).to_numpy()
+    a, b = code[: len(queries), None], code[None, len(queries) :]
+    return (a == b) & (a >= 0)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,33 @@ def test_chunks_cover_whole_texts():
 def test_chunks_of_null_and_empty(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "y" * 1000)], "doc_id long, text string")
     assert {r.doc_id for r in vectors.chunk_structured(docs).collect()} == {3}
+
+
+def test_packs_give_what_every_pair_scored_alone_does(spark, monkeypatch):
+    """Copies, nulls, zero vectors and other lengths; packs of three and of all, so that ties and packs of one occur."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)], i % 3) for i in range(60)] + [(i, [1.0, 2.0, 0.0, 1.0], 1) for i in range(60, 80)] + [(80, None, 1), (81, [1.0], 2), (82, [0.0] * 4, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3, "vec_id")
+    ids = [*range(0, 80, 9), 80, 81]
+    q = v.where(v.vec_id.isin(ids)).selectExpr("vec_id query_id", "embedding q", "label q_label")
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or not any(a) or not any(b):
+            return None
+        return round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 5)
+
+    want = set()
+    for i in ids:
+        near = sorted(((cosine(rows[i][1], x), j) for j, x, _ in rows if j != i), key=lambda s: (s[0] is None, -(s[0] or 0), s[1]))
+        want |= {(i, j, s, n + 1) for n, (s, j) in enumerate(near[:5])}
+    for size in (1, 3, 1000):
+        monkeypatch.setattr(retrieval, "VECTORS", size)
+        monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", size)
+        assert {(r.query_id, r.vec_id, r.score, r.rank) for r in retrieval.knn_topk(q, v).collect()} == want
+
+
+def test_only_the_best_of_each_pack_leave_a_task(spark):
+    rows = [(i, np.random.default_rng(i).normal(size=8).tolist()) for i in range(1000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    q = v.where("vec_id % 100 = 0").selectExpr("vec_id query_id", "embedding q")
+    assert retrieval.nearest(q, v, 5, [(None, None)]).count() == 50
