@@ -19,6 +19,8 @@ SAMPLE, TRIED, MAX_CELLS, ROUNDS = 20_000, 256, 4096, 8
 LEAST = 0.5
 #: Characters of a chunk, characters shared with the one before, and the shortest chunk that is kept.
 CHUNK, OVERLAP, SHORTEST = 450, 90, 80
+#: Chunks that leave a task at once; all that it holds of them.
+CHUNKS_AT_ONCE = 2000
 #: How far a cut may move to the end of a sentence, and to a space.
 SENTENCE, SPACE = 120, 80
 
@@ -128,9 +130,17 @@ def chunk_structured(docs: DataFrame) -> DataFrame:
     """Chunks of whole texts: doc_id, chunk, start, text. Null and short texts have none. Documents do not depend on each other, so no shuffle."""
 
     def chunked(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("chunk", pa.int64()), ("start", pa.int64()), ("text", pa.string())])
+        rows: list[tuple] = []
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
         for batch in batches:
-            rows = [(d, n, s, t) for d, text in zip(batch["doc_id"].to_pylist(), batch["text"]) for n, (s, t) in enumerate(pieces(text.as_py()))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "chunk", "start", "text"])
+            for d, text in zip(batch["doc_id"], batch["text"]):
+                for n, (s, t) in enumerate(pieces(text.as_py())):
+                    rows.append((d.as_py(), n, s, t))
+                    if len(rows) == CHUNKS_AT_ONCE:
+                        yield give()
+                        rows.clear()
+        yield give()
 
     return docs.select("doc_id", "text").mapInArrow(chunked, "doc_id long, chunk long, start long, text string")
 

@@ -52,6 +52,16 @@ def test_chunks_cover_whole_texts():
     assert list(vectors.pieces(None)) == list(vectors.pieces("")) == list(vectors.pieces("short")) == []
 
 
+def test_chunks_leave_a_task_in_small_batches(spark):
+    """Ten long texts in one batch are more chunks than leave a task at once, and none is lost."""
+    text = "abc def. " * 20_000
+    docs = spark.createDataFrame([(i, text) for i in range(10)], "doc_id long, text string").coalesce(1)
+    want = [(n, s, t) for n, (s, t) in enumerate(vectors.pieces(text))]
+    assert len(want) * 10 > 2 * vectors.CHUNKS_AT_ONCE
+    got = [tuple(r) for r in vectors.chunk_structured(docs).collect()]
+    assert sorted(got) == [(i, *w) for i in range(10) for w in want]
+
+
 def test_chunks_of_null_and_empty(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "y" * 1000)], "doc_id long, text string")
     assert {r.doc_id for r in vectors.chunk_structured(docs).collect()} == {3}
